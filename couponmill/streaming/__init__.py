@@ -1,0 +1 @@
+"""The analysis is batch only: its inputs are complete daily logs, so no streaming operator exists."""
