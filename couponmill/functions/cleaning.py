@@ -16,8 +16,8 @@ MISSING_TOKENS = (
 # Texts that mean "no discount".
 NO_DISCOUNT_TOKENS = ("null", "", "None")
 
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-WHITESPACE = " \t\n\r\x0b\x0c"
+# A plain number with optional white space around it; type suffixes do not match.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def null_tokens(df: DataFrame, cols: list[str], tokens: tuple[str, ...] = MISSING_TOKENS) -> DataFrame:
@@ -25,57 +25,58 @@ def null_tokens(df: DataFrame, cols: list[str], tokens: tuple[str, ...] = MISSIN
     return df.withColumns({c: F.when(~F.col(c).isin(*tokens), F.col(c)) for c in cols})
 
 
-def parse_day(c: Column | str) -> Column:
+def parse_day(c: str) -> Column:
     """``yyyyMMdd`` text to a date, NULL when it is not one."""
-    return F.try_to_date(F.col(c) if isinstance(c, str) else c, "yyyyMMdd")
+    return F.try_to_date(F.col(c), "yyyyMMdd")
 
 
-def parse_num(c: Column | str) -> Column:
-    """Decimal text to a double, NULL when it is not a plain number.
+def number_sql(text: str) -> str:
+    """SQL text: ``text`` as a double, NULL when it is not a plain number.
 
     The pattern is checked first because a cast also accepts type suffixes.
     """
-    text = F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(WHITESPACE))
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return f"CASE WHEN {text} RLIKE r'{NUMBER}' THEN try_cast({text} AS double) END"
 
 
-def action_name(c: Column | str) -> Column:
+def parse_num(c: str) -> Column:
+    """Decimal text to a double, NULL when it is not a plain number."""
+    return F.expr(number_sql(c))
+
+
+def action_name(c: str) -> Column:
     """Name of an online action code, NULL for any other code."""
-    code = F.col(c) if isinstance(c, str) else c
-    name = F.lit(None).cast("string")
-    for value, text in ACTION_NAMES.items():
-        name = F.when(code == value, text).otherwise(name)
-    return name
+    arms = " ".join(f"WHEN {code} THEN '{name}'" for code, name in ACTION_NAMES.items())
+    return F.expr(f"CASE {c} {arms} END")
 
 
-def parse_discount(c: Column | str) -> dict[str, Column]:
-    """Discount type, threshold, reduction and equivalent rate of a raw rate text.
+def with_discount(df: DataFrame, c: str = "discount_rate", eq_rate: str = "discount_eq_rate") -> DataFrame:
+    """Add discount type, threshold, reduction and equivalent rate of a raw rate text.
 
     ``150:20`` is a fixed reduction, ``0.8`` or ``80`` a discount.  The
-    equivalent rate of a fixed reduction is rounded half to even.
+    equivalent rate of a fixed reduction is rounded half to even.  The numbers
+    are parsed in a projection of their own, so each is read once per row.
     """
-    raw = F.col(c) if isinstance(c, str) else c
-    missing = raw.isNull() | raw.isin(*NO_DISCOUNT_TOKENS)
-    text = F.btrim(raw, F.lit(WHITESPACE))
-    paired = F.contains(text, F.lit(":"))
-    man = parse_num(F.split_part(text, F.lit(":"), F.lit(1)))
-    jian = parse_num(F.split_part(text, F.lit(":"), F.lit(2)))
-    fixed = ~missing & paired & man.isNotNull() & jian.isNotNull()
-    rate = parse_num(text)
-    discount = ~missing & ~paired & (rate > 0)
-
-    kind = (
-        F.when(missing, "none")
-        .when(fixed, "fixed")
-        .when(discount, "discount")
-        .otherwise("unknown")
-    )
-    equivalent = F.when(fixed & (man > 0), F.bround(F.try_divide(man - jian, man), 4)).when(
-        discount, F.when(rate <= 1, rate).otherwise(rate / 100)
-    )
-    return {
-        "discount_type": kind,
-        "discount_man": F.when(fixed, man).try_cast("decimal(10,2)"),
-        "discount_jian": F.when(fixed, jian).try_cast("decimal(10,2)"),
-        "discount_eq_rate": equivalent.try_cast("decimal(6,4)"),
-    }
+    tokens = ", ".join(f"'{t}'" for t in NO_DISCOUNT_TOKENS)
+    rule = F.expr(f"CASE WHEN {c} NOT IN ({tokens}) THEN {c} END")
+    man, jian = (number_sql(f"split_part(_rule, ':', {part})") for part in (1, 2))
+    rate = number_sql("_rule")
+    numbers = df.withColumn("_rule", rule).withColumns({
+        "_man": F.expr(f"CASE WHEN contains(_rule, ':') THEN {man} END"),
+        "_jian": F.expr(f"CASE WHEN contains(_rule, ':') THEN {jian} END"),
+        "_rate": F.expr(f"CASE WHEN NOT contains(_rule, ':') THEN {rate} END"),
+    })
+    fixed = "_man IS NOT NULL AND _jian IS NOT NULL"
+    kind = f"""CASE
+        WHEN _rule IS NULL THEN 'none' WHEN {fixed} THEN 'fixed' WHEN _rate > 0 THEN 'discount' ELSE 'unknown'
+    END"""
+    equivalent = f"""CASE
+        WHEN {fixed} THEN CASE WHEN _man > 0 THEN bround(try_divide(_man - _jian, _man), 4) END
+        WHEN _rate > 1 THEN _rate / 100
+        WHEN _rate > 0 THEN _rate
+    END"""
+    return numbers.withColumns({
+        "discount_type": F.expr(kind),
+        "discount_man": F.expr(f"try_cast(CASE WHEN {fixed} THEN _man END AS decimal(10,2))"),
+        "discount_jian": F.expr(f"try_cast(CASE WHEN {fixed} THEN _jian END AS decimal(10,2))"),
+        eq_rate: F.expr(f"try_cast({equivalent} AS decimal(6,4))"),
+    }).drop("_rule", "_man", "_jian", "_rate")

@@ -26,27 +26,25 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _first_match(rules: list[tuple[Column, str]], default: Column | str) -> Column:
-    chain = F.lit(default) if isinstance(default, str) else default
-    for cond, label in reversed(rules):
-        chain = F.when(cond, label).otherwise(chain)
-    return chain
+def _case(rules: list[tuple[str, str]], default: str) -> Column:
+    """First matching condition wins; ``default`` is SQL text, labels are plain text."""
+    arms = " ".join(f"WHEN {cond} THEN '{label}'" for cond, label in rules)
+    return F.expr(f"CASE {arms} ELSE {default} END")
 
 
-def bucket(c: Column | str, spec: BucketSpec) -> Column:
-    """Label of the first rung of ``spec`` that the value meets."""
-    value = _col(c)
-    rules = [(value.isNull(), spec.missing)]
+def bucket(c: str, spec: BucketSpec) -> Column:
+    """Label of the first rung of ``spec`` that the value of ``c`` (SQL text) meets."""
+    rules = [(f"({c}) IS NULL", spec.missing)]
     if spec.negative is not None:
-        rules.append((value < 0, spec.negative))
-    rules += [(value == v, label) for v, label in spec.exact]
-    rules += [(value <= edge, label) for edge, label in spec.upper]
-    return _first_match(rules, spec.above)
+        rules.append((f"({c}) < 0", spec.negative))
+    rules += [(f"({c}) = {v}", label) for v, label in spec.exact]
+    rules += [(f"({c}) <= {edge}", label) for edge, label in spec.upper]
+    return _case(rules, f"'{spec.above}'")
 
 
-def fixed_threshold(kind: Column | str = "discount_type", man: Column | str = "discount_man") -> Column:
-    """Threshold of a fixed reduction, NULL for any other discount type."""
-    return F.when(_col(kind) == "fixed", _col(man))
+# SQL text for ``bucket``: days from receipt to use, and the threshold of a fixed reduction.
+GAP_DAYS = "datediff(date_used, date_received)"
+FIXED_THRESHOLD = "CASE WHEN discount_type = 'fixed' THEN discount_man END"
 
 
 def is_used(c: Column | str = "date_used") -> Column:
@@ -57,9 +55,9 @@ def is_received(c: Column | str = "date_received") -> Column:
     return _col(c).isNotNull()
 
 
-def gap_days(used: Column | str = "date_used", received: Column | str = "date_received") -> Column:
+def gap_days() -> Column:
     """Days from receipt to use."""
-    return F.datediff(_col(used), _col(received))
+    return F.expr(GAP_DAYS)
 
 
 def day_type(c: Column | str, null_label: str | None = DAY_UNKNOWN) -> Column:
@@ -69,11 +67,9 @@ def day_type(c: Column | str, null_label: str | None = DAY_UNKNOWN) -> Column:
     return F.when(day.isNull(), F.lit(null_label)).otherwise(known)
 
 
-def type_label(c: Column | str, labels: dict[str, str] | None = None, default: Column | str | None = None) -> Column:
-    """Display name of a discount type."""
-    code = _col(c)
-    rules = [(code == k, v) for k, v in (labels or TYPE_LABELS).items()]
-    return _first_match(rules, TYPE_LABEL_DEFAULT if default is None else default)
+def type_label(c: str, labels: dict[str, str] | None = None, default: str = f"'{TYPE_LABEL_DEFAULT}'") -> Column:
+    """Display name of a discount type; ``default`` is SQL text."""
+    return _case([(f"{c} = '{k}'", v) for k, v in (labels or TYPE_LABELS).items()], default)
 
 
 def ym(c: Column | str) -> Column:
@@ -92,18 +88,24 @@ def recency(c: Column | str, ref: date, default: date) -> Column:
     return F.datediff(F.lit(ref), F.coalesce(_col(c), F.lit(default)))
 
 
-def _score_rules(rules: tuple, r: Column | str, f: Column | str) -> list[tuple[Column, str]]:
-    return [(_col(r).between(*rs) & _col(f).between(*fs), label) for label, rs, fs in rules]
+def _by_scores(rules: tuple, default: str) -> Column:
+    return _case(
+        [
+            (f"r_score BETWEEN {r[0]} AND {r[1]} AND f_score BETWEEN {f[0]} AND {f[1]}", label)
+            for label, r, f in rules
+        ],
+        f"'{default}'",
+    )
 
 
-def rfm_segment(r: Column | str = "r_score", f: Column | str = "f_score") -> Column:
-    """One of six user segments from the recency and frequency scores."""
-    return _first_match(_score_rules(SEGMENT_RULES, r, f), SEGMENT_DEFAULT)
+def rfm_segment() -> Column:
+    """One of six user segments from ``r_score`` and ``f_score``."""
+    return _by_scores(SEGMENT_RULES, SEGMENT_DEFAULT)
 
 
-def rfm_sub_segment(r: Column | str = "r_score", f: Column | str = "f_score") -> Column:
-    """One of eight finer labels from the recency and frequency scores."""
-    return _first_match(_score_rules(SUB_SEGMENT_RULES, r, f), SUB_SEGMENT_DEFAULT)
+def rfm_sub_segment() -> Column:
+    """One of eight finer labels from ``r_score`` and ``f_score``."""
+    return _by_scores(SUB_SEGMENT_RULES, SUB_SEGMENT_DEFAULT)
 
 
 def rfm_combine(weights: tuple[float, float, float] = RFM_WEIGHTS) -> dict[str, Column]:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from couponmill.functions.cleaning import action_name, null_tokens, parse_day, parse_discount, parse_num
+from couponmill.functions.cleaning import action_name, null_tokens, parse_day, parse_num, with_discount
 from couponmill.operators.ordering import sized_broadcast
 from couponmill.schema import CANONICAL, LOG_COLUMNS, TRANSACTIONS
 from couponmill.session import pin
@@ -68,11 +68,6 @@ def union_sources(online: DataFrame, offline: DataFrame, test: DataFrame) -> Dat
     return reduce(DataFrame.unionByName, logs)
 
 
-def with_discount(df: DataFrame, c: str = "discount_rate") -> DataFrame:
-    """Add the parsed discount columns."""
-    return df.withColumns(parse_discount(c))
-
-
 def with_input_ids(logs: DataFrame, name: str = "transaction_id") -> DataFrame:
     """Consecutive 1..N in input order: source, then file, then line.
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from couponmill.operators.keyed import keyed_join
 from couponmill.params import DISCOUNT_TYPES
 
 
@@ -59,16 +60,13 @@ def orphan_report(f: DataFrame, dims: dict[str, tuple[DataFrame, str]]) -> DataF
 
 def cascade(f: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """The fact without rows whose key is no longer in the dimension."""
-    return f.join(dim.select(key), key, "left_semi")
+    return keyed_join(f, dim, key, "left_semi")
 
 
 def set_null_missing(f: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """The fact with its key set to NULL where the dimension lacks it."""
-    known = dim.select(F.col(key).alias("_known")).distinct()
-    kept = F.when(F.col("_known").isNotNull(), F.col(key)).alias(key)
-    return f.join(known, F.col(key) == F.col("_known"), "left").select(
-        *[kept if c == key else F.col(c) for c in f.columns]
-    )
+    kept = F.when(F.col("_known"), F.col(key)).alias(key)
+    return keyed_join(f, dim, key, "left").select(*[kept if c == key else F.col(c) for c in f.columns])
 
 
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:

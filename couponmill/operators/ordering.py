@@ -262,7 +262,5 @@ def top_k(df: DataFrame, order: list[str], k: int) -> DataFrame:
 
 def order_labels(df: DataFrame, c: str, labels: tuple[str, ...]) -> DataFrame:
     """Sort by the position of the label in ``labels``, unknown labels last."""
-    position = F.lit(len(labels))
-    for i, label in enumerate(labels):
-        position = F.when(F.col(c) == label, i).otherwise(position)
-    return df.orderBy(position, F.col(c))
+    arms = " ".join(f"WHEN '{label}' THEN {i}" for i, label in enumerate(labels))
+    return df.orderBy(F.expr(f"CASE {c} {arms} ELSE {len(labels)} END"), c)

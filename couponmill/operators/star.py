@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from couponmill.functions.cleaning import parse_discount
+from couponmill.functions.cleaning import with_discount
 from couponmill.operators.ingest import build_fact
 from couponmill.session import pin
 
@@ -51,15 +51,7 @@ def first_by(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame
 def coupon_dimension(f: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Each coupon with the first rate seen and its parsed discount."""
     first = first_by(f.where(F.col("coupon_id").isNotNull()), "coupon_id", "discount_rate", order or ["transaction_id"])
-    parsed = parse_discount("discount_rate")
-    return first.select(
-        "coupon_id",
-        "discount_rate",
-        parsed["discount_type"].alias("discount_type"),
-        parsed["discount_man"].alias("discount_man"),
-        parsed["discount_jian"].alias("discount_jian"),
-        parsed["discount_eq_rate"].alias("eq_discount"),
-    )
+    return with_discount(first, eq_rate="eq_discount")
 
 
 def star_of(fact: DataFrame) -> Star:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from couponmill.functions.derive import bucket, gap_days, is_received, is_used
+from couponmill.functions.derive import GAP_DAYS, bucket, is_received, is_used
 from couponmill.functions.measures import cond_count, mean_of, pct
 from couponmill.operators.filters import has, only_source, train_only
 from couponmill.operators.ordering import order_labels
@@ -93,7 +93,7 @@ def distance_usage(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
 def gap_counts(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
     """Receipts by time to redemption, unsorted."""
     rows = has(train_only(f, p.training_sources), "date_received")
-    return rows.groupBy(bucket(gap_days(), p.gap).alias("gap_bucket")).agg(F.count("*").alias("cnt"))
+    return rows.groupBy(bucket(GAP_DAYS, p.gap).alias("gap_bucket")).agg(F.count("*").alias("cnt"))
 
 
 def gap_distribution(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:

@@ -80,10 +80,9 @@ def growth_points(monthly: DataFrame) -> DataFrame:
 
 def coupon_type_chart(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
     """Redemption by discount type with its display name."""
-    code = F.col("discount_type")
     return (
-        usage_by(coupon_rows(f, p), code, "discount_type", half_even=True)
-        .withColumn("label", type_label(code, CHART_TYPE_LABELS, default=code))
+        usage_by(coupon_rows(f, p), F.col("discount_type"), "discount_type", half_even=True)
+        .withColumn("label", type_label("discount_type", CHART_TYPE_LABELS, default="discount_type"))
         .orderBy(F.desc("usage_rate_pct"), "discount_type")
     )
 

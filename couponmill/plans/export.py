@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from couponmill.functions.derive import bucket, day_type, fixed_threshold, gap_days, is_received, is_used, type_label, ym
+from couponmill.functions.derive import (
+    FIXED_THRESHOLD,
+    GAP_DAYS,
+    bucket,
+    day_type,
+    gap_days,
+    is_received,
+    is_used,
+    type_label,
+    ym,
+)
 from couponmill.functions.measures import cond_count, pct, ratio, uniques
 from couponmill.operators.filters import has, only_source
 from couponmill.operators.ingest import project
@@ -28,8 +38,8 @@ def with_derived(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
         "distance_bucket": bucket("distance", p.export_distance),
         "day_type": day_type("date_used"),
         "gap_days": gap_days(),
-        "gap_bucket": bucket(gap_days(), p.gap),
-        "threshold_bucket": bucket(fixed_threshold(), p.export_threshold),
+        "gap_bucket": bucket(GAP_DAYS, p.gap),
+        "threshold_bucket": bucket(FIXED_THRESHOLD, p.export_threshold),
         "discount_type_cn": type_label("discount_type"),
         "year_month": ym("date_used"),
     })

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from couponmill.functions.derive import is_received, is_used
 from couponmill.functions.measures import cond_count, mean_of, pct, uniques
 from couponmill.operators.filters import having, train_only
+from couponmill.operators.keyed import keyed_join
 from couponmill.operators.ordering import rank_top
 from couponmill.params import OVERALL_SCOPE, ReportParams
 from couponmill.session import pin
@@ -96,8 +97,8 @@ def merchants_above(f: DataFrame, rate: float, min_received: int, p: ReportParam
 
 
 def facts_of_merchants(f: DataFrame, merchants: DataFrame) -> DataFrame:
-    """Fact rows of the given merchants (semi-join)."""
-    return f.join(merchants, "merchant_id", "left_semi")
+    """Fact rows of the given merchants (semi-join); an aggregated list is pinned first."""
+    return keyed_join(f, pin(merchants), "merchant_id", "left_semi")
 
 
 def high_rate_coupon_mix(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from couponmill.functions.cleaning import action_name, parse_discount
+from couponmill.functions.cleaning import action_name, with_discount
 from couponmill.operators.ingest import canonical_fact
 from couponmill.operators.ordering import with_row_id
 
@@ -20,53 +20,56 @@ EVENT_ORDER = [
 ]
 
 
+# Declared columns, so that opening a table reads no footer.
+TABLES = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+}
+
+EVENTS = [
+    "o_custkey AS user_id",
+    "l_suppkey AS merchant_id",
+    "CASE WHEN l_discount > 0 THEN cast(l_partkey AS string) END AS coupon_id",
+    """CASE
+        WHEN l_discount = 0 THEN NULL
+        WHEN p_size % 10 = 0 THEN 'fixed'
+        WHEN l_linenumber % 2 = 1 THEN concat(p_size * 12, ':', p_size)
+        ELSE cast(round(1 - l_discount, 2) AS string)
+    END AS discount_rate""",
+    # The test source wins over the order status.
+    "CASE WHEN l_linenumber = 7 THEN 'offline_test' WHEN o_orderstatus = 'P' THEN 'online' ELSE 'offline' END AS source",
+    "CASE WHEN o_orderstatus <> 'P' AND p_size <= 45 THEN p_size % 13 END AS distance",
+    "CASE WHEN l_discount > 0 THEN cast(o_orderdate AS date) END AS date_received",
+    """CASE
+        WHEN l_linenumber = 7 THEN NULL
+        WHEN l_discount <= 0 THEN cast(o_orderdate AS date)
+        WHEN l_returnflag = 'R' THEN date_add(cast(o_orderdate AS date), cast(l_quantity AS int) - 5)
+    END AS date_used""",
+    """CASE WHEN l_linenumber <> 7 AND o_orderstatus = 'P' THEN
+        cast(CASE WHEN l_discount <= 0 OR l_returnflag = 'R' THEN 2 WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS tinyint)
+    END AS action""",
+]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact without transaction ids."""
-    lines = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders")
-    parts = table(spark, sf_dir, "part")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
-        parts, F.col("l_partkey") == F.col("p_partkey")
-    )
-
-    with_coupon = F.col("l_discount") > 0
-    ordered = F.col("o_orderdate").cast("date")
-    online = F.col("o_orderstatus") == "P"
-    flag = F.col("l_returnflag")
-    # The test source wins over the order status.
-    source = F.when(F.col("l_linenumber") == 7, "offline_test").when(online, "online").otherwise("offline")
-    size = F.col("p_size")
-    rate = (
-        F.when(F.col("l_discount") == 0, F.lit(None))
-        .when(size % 10 == 0, "fixed")
-        .when(F.col("l_linenumber") % 2 == 1, F.concat((size * 12).cast("string"), F.lit(":"), size.cast("string")))
-        .otherwise(F.round(1 - F.col("l_discount"), 2).cast("string"))
-    )
-    used = (
-        F.when(source == "offline_test", F.lit(None))
-        .when(~with_coupon, ordered)
-        .when(flag == "R", F.date_add(ordered, F.col("l_quantity").cast("int") - 5))
-    )
-    action = F.when(
-        source == "online",
-        F.when(~with_coupon | (flag == "R"), 2).when(flag == "A", 1).otherwise(0),
-    ).cast("byte")
-    log = joined.select(
-        F.col("o_custkey").cast("long").alias("user_id"),
-        F.col("l_suppkey").cast("long").alias("merchant_id"),
-        F.when(with_coupon, F.col("l_partkey").cast("string")).alias("coupon_id"),
-        rate.alias("discount_rate"),
-        source.alias("source"),
-        F.when(~online & (size <= 45), size % 13).cast("int").alias("distance"),
-        F.when(with_coupon, ordered).alias("date_received"),
-        used.alias("date_used"),
-        action.alias("action"),
-    )
-    return log.withColumns({**parse_discount("discount_rate"), "action_name": action_name("action")})
+    lines, orders, parts = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
+    joined = lines.join(orders, F.expr("l_orderkey = o_orderkey")).join(parts, F.expr("l_partkey = p_partkey"))
+    return with_discount(joined.selectExpr(*EVENTS)).withColumn("action_name", action_name("action"))
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
