@@ -91,7 +91,7 @@ def order_statistics(
         .withColumn("_part", F.spark_partition_id())
     )
     sizes: dict[int, list[tuple[int, int]]] = {i: [] for i in range(len(metrics))}
-    for row in placed.groupBy("metric", "_part").count().orderBy("metric", "_part").collect():
+    for row in sorted(placed.groupBy("metric", "_part").count().collect()):
         sizes[row["metric"]].append((row["_part"], row["count"]))
 
     wanted: dict[tuple[int, int, int], int] = {}

@@ -65,16 +65,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact without transaction ids."""
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events before their discount is parsed."""
     lines, orders, parts = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
     joined = lines.join(orders, F.expr("l_orderkey = o_orderkey")).join(parts, F.expr("l_partkey = p_partkey"))
-    return with_discount(joined.selectExpr(*EVENTS)).withColumn("action_name", action_name("action"))
+    return joined.selectExpr(*EVENTS)
+
+
+def _parsed(log: DataFrame) -> DataFrame:
+    return with_discount(log).withColumn("action_name", action_name("action"))
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact without transaction ids."""
+    return _parsed(event_log(spark, sf_dir))
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full fact, numbered in event order."""
-    return canonical_fact(with_row_id(events(spark, sf_dir), EVENT_ORDER, "transaction_id"))
+    """The full fact, numbered in event order before the discount is parsed."""
+    return canonical_fact(_parsed(with_row_id(event_log(spark, sf_dir), EVENT_ORDER, "transaction_id")))
 
 
 def dimensions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
