@@ -58,25 +58,27 @@ def with_discount(df: DataFrame, c: str = "discount_rate", eq_rate: str = "disco
     """
     tokens = ", ".join(f"'{t}'" for t in NO_DISCOUNT_TOKENS)
     rule = F.expr(f"CASE WHEN {c} NOT IN ({tokens}) THEN {c} END")
-    man, jian = (number_sql(f"split_part(_rule, ':', {part})") for part in (1, 2))
-    rate = number_sql("_rule")
+    man_text = "substring_index(_rule, ':', 1)"
+    jian_text = "substring_index(substring_index(_rule, ':', 2), ':', -1)"
     numbers = df.withColumn("_rule", rule).withColumns({
-        "_man": F.expr(f"CASE WHEN contains(_rule, ':') THEN {man} END"),
-        "_jian": F.expr(f"CASE WHEN contains(_rule, ':') THEN {jian} END"),
-        "_rate": F.expr(f"CASE WHEN NOT contains(_rule, ':') THEN {rate} END"),
+        "_man": F.expr(f"CASE WHEN contains(_rule, ':') THEN {number_sql(man_text)} END"),
+        "_jian": F.expr(f"CASE WHEN contains(_rule, ':') THEN {number_sql(jian_text)} END"),
+        "_rate": F.expr(f"CASE WHEN NOT contains(_rule, ':') THEN {number_sql('_rule')} END"),
     })
     fixed = "_man IS NOT NULL AND _jian IS NOT NULL"
     kind = f"""CASE
         WHEN _rule IS NULL THEN 'none' WHEN {fixed} THEN 'fixed' WHEN _rate > 0 THEN 'discount' ELSE 'unknown'
     END"""
+    # Amounts come from the text, which is cheaper and no less exact than from the double.
     equivalent = f"""CASE
-        WHEN {fixed} THEN CASE WHEN _man > 0 THEN bround(try_divide(_man - _jian, _man), 4) END
-        WHEN _rate > 1 THEN _rate / 100
-        WHEN _rate > 0 THEN _rate
+        WHEN {fixed} THEN
+            CASE WHEN _man > 0 THEN try_cast(try_cast(rint((_man - _jian) * 10000 / _man) AS int) * 0.0001 AS decimal(6,4)) END
+        WHEN _rate > 1 THEN try_cast(_rate / 100 AS decimal(6,4))
+        WHEN _rate > 0 THEN try_cast(_rule AS decimal(6,4))
     END"""
     return numbers.withColumns({
         "discount_type": F.expr(kind),
-        "discount_man": F.expr(f"try_cast(CASE WHEN {fixed} THEN _man END AS decimal(10,2))"),
-        "discount_jian": F.expr(f"try_cast(CASE WHEN {fixed} THEN _jian END AS decimal(10,2))"),
-        eq_rate: F.expr(f"try_cast({equivalent} AS decimal(6,4))"),
+        "discount_man": F.expr(f"CASE WHEN {fixed} THEN try_cast({man_text} AS decimal(10,2)) END"),
+        "discount_jian": F.expr(f"CASE WHEN {fixed} THEN try_cast({jian_text} AS decimal(10,2)) END"),
+        eq_rate: F.expr(equivalent),
     }).drop("_rule", "_man", "_jian", "_rate")

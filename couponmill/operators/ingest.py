@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from couponmill.functions.cleaning import action_name, null_tokens, parse_day, parse_num, with_discount
 from couponmill.operators.ordering import sized_broadcast
 from couponmill.schema import CANONICAL, LOG_COLUMNS, TRANSACTIONS
-from couponmill.session import pin
+from couponmill.session import pin, stage
 
 # Source tags in the order their rows are numbered.
 SOURCES = ("online", "offline", "offline_test")
@@ -72,10 +72,10 @@ def with_input_ids(logs: DataFrame, name: str = "transaction_id") -> DataFrame:
     """Consecutive 1..N in input order: source, then file, then line.
 
     ``logs`` carries the position columns of ``read_raw(position=True)`` and is
-    pinned here, so the ids stay the same for every later job.  Rows are not
+    staged here, so the ids stay the same for every later job.  Rows are not
     moved: each file block gets an offset and its rows count on from it.
     """
-    placed = pin(logs)
+    placed = stage(logs)
     block = ["_source_rank", "_file", "_block"]
     before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     # One row per file block read.

@@ -3,7 +3,7 @@
 A window with no partition keys pulls every row into one task.  The operators
 here range-partition the rows on a total order instead, so that a value shared
 by a third of all rows is still split by its tie-break key.  Row placement is
-pinned before it is counted; only per-partition counts and the few rows at the
+written down before it is counted; only per-partition counts and the few rows at the
 requested positions reach the driver.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from couponmill.session import BROADCAST_ROWS, pin
+from couponmill.session import BROADCAST_ROWS, pin, stage
 
 # Integer and decimal metrics are compared in this type, so mixed metrics share one sort.
 METRIC_TYPE = T.DecimalType(28, 6)
@@ -35,16 +35,22 @@ def sort_columns(order: list[str]) -> list[Column]:
 
 
 def with_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
-    """Consecutive 1..N in ``order``, which should end in a unique key."""
-    keys = sort_columns(order)
-    placed = pin(
-        df.repartitionByRange(*keys)
+    """Consecutive 1..N in ``order``, which should identify a row up to exact copies.
+
+    Copies are told apart by the input partition they come from, so that many
+    copies of one row do not end up in one task.
+    """
+    keys = [*sort_columns(order), F.col("_from")]
+    placed = stage(
+        df.withColumn("_from", F.spark_partition_id())
+        .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_pos", F.monotonically_increasing_id())
+        .drop("_from")
     )
     part = F.shiftright("_pos", _PARTITION_SHIFT).alias("_part")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per partition of the pinned layout.
+    # One row per partition of the staged layout.
     offsets = (
         placed.groupBy(part)
         .agg(F.count("*").alias("_n"))
@@ -84,7 +90,7 @@ def order_statistics(
         ])
     )
     keys = sort_columns(["metric", "value", *tie])
-    placed = pin(
+    placed = stage(
         df.select(stacked.alias("_m"), *tie)
         .select("_m.metric", "_m.value", *tie)
         .repartitionByRange(*keys)
@@ -206,7 +212,7 @@ def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def rank_all(df: DataFrame, by: str, tie: list[str]) -> DataFrame:
     """``row_num``, ``rank_num``, ``dense_rnk`` and ``pct_rank`` (0-100) over all rows."""
     column = by.lstrip("-")
-    numbered = pin(with_row_id(df, [by, *tie], "row_num"))
+    numbered = stage(with_row_id(df, [by, *tie], "row_num"))
     total = numbered.count()
     # The first row number of each value is its rank; the values themselves are few.
     firsts = numbered.groupBy(column).agg(F.min("row_num").alias("rank_num"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from couponmill.functions.cleaning import with_discount
 from couponmill.operators.ingest import build_fact
-from couponmill.session import pin
 
 
 @dataclass(frozen=True)
@@ -66,4 +65,4 @@ def star_of(fact: DataFrame) -> Star:
 
 def build_star(online: DataFrame, offline: DataFrame, test: DataFrame) -> Star:
     """Clean the three raw logs and derive all four tables."""
-    return star_of(pin(build_fact(online, offline, test)))
+    return star_of(build_fact(online, offline, test))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,10 +51,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and cut its lineage.
+    """Compute an aggregated frame once into the checkpoint folder and cut its lineage.
 
-    Used where one result feeds several jobs, or where row placement must not
-    change between jobs.  The files survive the loss of any executor.
+    Used where one result feeds several jobs.  The files survive the loss of
+    any executor.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write a fact-sized frame once as Parquet in the checkpoint folder and read it back.
+
+    Compressed and columnar, so a later pass reads only the columns it needs;
+    row positions stored in a column stay as they were written.
+    """
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -156,3 +156,18 @@ def test_broadcast_only_when_counted_small(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", conf)
     assert "BroadcastHashJoin" in hinted and "BroadcastHashJoin" not in plain
+
+
+def test_copies_of_one_row_are_spread(spark):
+    df = spark.range(8000).repartition(8).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("v")
+    )
+    got = o.with_row_id(df, ["v"], "n").cache()
+    assert sorted(r.n for r in got.collect()) == list(range(1, 8001))
+    before = None
+    for r in got.orderBy("n").collect():
+        assert before is None or before <= r.v
+        before = r.v
+    tagged = df.withColumn("_from", F.spark_partition_id()).repartitionByRange(8, "v", "_from")
+    sizes = [r["count"] for r in tagged.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 0.25 * 8000
