@@ -50,7 +50,7 @@ def with_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFr
     )
     part = F.shiftright("_pos", _PARTITION_SHIFT).alias("_part")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per partition of the staged layout.
+    # One row per range partition, of which there are at most spark.sql.shuffle.partitions.
     offsets = (
         placed.groupBy(part)
         .agg(F.count("*").alias("_n"))
@@ -149,7 +149,7 @@ def ntile_columns(df: DataFrame, tiles: int, metrics: list[str], tie: list[str])
     """``ntile(tiles)`` over ``(metric, *tie)`` for each metric, as plain expressions.
 
     Only the boundary rows are looked up, so no ranked copy is joined back.
-    ``df`` should be pinned; the returned columns apply to the same frame.
+    ``df`` should be staged; the returned columns apply to the same frame.
     """
     stats = order_statistics(df, metrics, tie, lambda n: ntile_cuts(n, tiles))
     columns = {}

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from couponmill.operators import integrity, ordering, star
+from couponmill.operators import ingest, integrity, ordering, star
 from couponmill.params import ReportParams
 from couponmill.plans import bucket, chart, export, merchant, rfm, summary, trend
+from couponmill.schema import CANONICAL, RAW_SCHEMAS
+from couponmill.session import scratch_folder, stage
 from couponmill.sources import readers, tpch, writers
 
 # The dates these tables cover.
@@ -142,7 +144,36 @@ def _sql_monthly_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _raw_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events written out as three raw logs and taken in again."""
+    log = stage(tpch.event_log(spark, sf_dir)).withColumnsRenamed({v: k for k, v in CANONICAL.items()})
+    dates = {c: F.date_format(c, "yyyyMMdd") for c in ("Date_received", "Date")}
+    folder = scratch_folder(spark)
+    logs = []
+    for source in ingest.SOURCES:
+        rows = log.where(F.col("source") == source).withColumns(dates).select(RAW_SCHEMAS[source].names)
+        rows.write.option("header", True).option("nullValue", "null").csv(f"{folder}/{source}")
+        logs.append(readers.read_raw(spark, f"{folder}/{source}", source))
+    return ingest.build_fact(*logs)
+
+
+def _raw_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portable(_raw_fact(spark, sf_dir).drop("transaction_id"))
+
+
+def _raw_ingest_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids run through the sources in order, without gaps."""
+    return _raw_fact(spark, sf_dir).groupBy("source").agg(
+        F.count("*").alias("row_count"),
+        F.min("transaction_id").alias("first_id"),
+        F.max("transaction_id").alias("last_id"),
+        F.count_distinct("transaction_id").alias("ids"),
+    )
+
+
 QUERIES: dict[str, Query] = {
+    "raw_ingest": _raw_ingest,
+    "raw_ingest_ids": _raw_ingest_ids,
     "dim_users": _over_events(star.dimension, key="user_id"),
     "dim_merchants": _over_events(star.dimension, key="merchant_id"),
     "dim_coupons": _dim_coupons,

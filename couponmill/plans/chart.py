@@ -14,7 +14,7 @@ from couponmill.params import CHART_TYPE_LABELS, RFM_FALLBACK_SCORE, RFM_TILES,
 from couponmill.plans.bucket import coupon_rows, usage_by
 from couponmill.plans.rfm import segment_counts
 from couponmill.plans.trend import used_rows
-from couponmill.session import pin
+from couponmill.session import stage
 
 DEFAULTS = ReportParams()
 
@@ -40,7 +40,7 @@ def rfm_distribution_chart(f: DataFrame, p: ReportParams = DEFAULTS, compat: boo
         .groupBy("user_id")
         .agg(F.max("date_used").alias("last_used"), F.count("date_used").alias("frequency"))
     )
-    users = pin(
+    users = stage(
         having(counts, "frequency > 0").select(
             "user_id", "frequency", recency("last_used", p.ref_date, p.ref_date).alias("recency")
         )

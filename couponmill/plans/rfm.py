@@ -1,6 +1,6 @@
 """RFM user segmentation, by tiles or by quantile bins.
 
-The per-user frame is computed once and pinned.  Tiles and bins need only the
+The per-user frame is computed once and staged.  Tiles and bins need only the
 few users on a boundary, so no ranked copy of the users is shuffled back.
 """
 
@@ -15,7 +15,7 @@ from couponmill.operators.filters import having, train_only
 from couponmill.operators.ordering import ntile_columns, quantile_bin, quantile_edges
 from couponmill.operators.windows import share
 from couponmill.params import RFM_FALLBACK_SCORE, RFM_TILES, ReportParams
-from couponmill.session import pin
+from couponmill.session import stage
 
 DEFAULTS = ReportParams()
 
@@ -48,7 +48,7 @@ def rfm_inputs(f: DataFrame, p: ReportParams = DEFAULTS, digits: int = 2) -> Dat
 def rfm_scored(inputs: DataFrame, metrics: tuple[str, ...] = ("recency_days", "frequency", "avg_monetary")) -> DataFrame:
     """Tile scores 1-5, 5 being best; ties are broken by user.
 
-    ``inputs`` is read several times and should be pinned.
+    ``inputs`` is read several times and should be staged.
     """
     tiles = ntile_columns(inputs, RFM_TILES, list(metrics), ["user_id"])
     names = {"recency_days": "r_score", "frequency": "f_score", "avg_monetary": "m_score"}
@@ -60,7 +60,7 @@ def rfm_scored(inputs: DataFrame, metrics: tuple[str, ...] = ("recency_days", "f
 def rfm_users(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
     """Every redeeming user with scores, totals, segment and sub-segment."""
     return (
-        rfm_scored(pin(rfm_inputs(f, p)))
+        rfm_scored(stage(rfm_inputs(f, p)))
         .withColumns(rfm_combine())
         .select(
             "user_id", "recency_days", "frequency", F.col("avg_monetary").alias("monetary"), "total_received",
@@ -73,7 +73,7 @@ def rfm_users(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
 
 def rfm_segments(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
     """Users per segment and their share."""
-    inputs = pin(rfm_inputs(f, p).select("user_id", "recency_days", "frequency"))
+    inputs = stage(rfm_inputs(f, p).select("user_id", "recency_days", "frequency"))
     scored = rfm_scored(inputs, ("recency_days", "frequency"))
     return share(segment_counts(scored.select(rfm_segment().alias("segment")), "segment"), "user_count").orderBy(
         F.desc("user_count"), "segment"
@@ -88,7 +88,7 @@ def segment_counts(df: DataFrame, c: str = "user_segment") -> DataFrame:
 def rfm_view(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
     """The columns of the RFM view."""
     return (
-        rfm_scored(pin(rfm_inputs(f, p)))
+        rfm_scored(stage(rfm_inputs(f, p)))
         .withColumn("rfm_total", rfm_combine()["rfm_total"])
         .select(
             "user_id", "last_used_date", "frequency", "avg_monetary", "total_received", "recency_days",
@@ -109,7 +109,7 @@ def rfm_qcut(f: DataFrame, p: ReportParams = DEFAULTS, compat: bool = False) ->
 
     Recent users score 5.  ``compat`` scores them 1, as published results do.
     """
-    inputs = pin(rfm_inputs(f, p, digits=6))
+    inputs = stage(rfm_inputs(f, p, digits=6))
     metrics = ["recency_days", "frequency", "avg_monetary"]
     edges = quantile_edges(inputs, metrics, ["user_id"], RFM_TILES)
     bins = {m: quantile_bin(m, edges[m], None) for m in metrics}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -46,6 +48,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="couponmill-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return folder
 
@@ -60,12 +63,17 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name inside the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Write a fact-sized frame once as Parquet in the checkpoint folder and read it back.
+    """Write a large frame once as Parquet in the checkpoint folder and read it back.
 
     Compressed and columnar, so a later pass reads only the columns it needs;
     row positions stored in a column stay as they were written.
     """
-    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    folder = scratch_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

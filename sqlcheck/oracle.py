@@ -343,7 +343,14 @@ _ACTIVE = "SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0"
 
 def queries() -> dict[str, str]:
     return {
-        # Star schema and integrity
+        # Raw logs, star schema and integrity
+        "raw_ingest": _with(FACT) + f"""
+SELECT {_FACT_COLUMNS}, CAST(action AS INTEGER) AS action, action_name, source FROM fact""",
+        "raw_ingest_ids": _with(FACT) + """
+SELECT source, n AS row_count, CAST(last_id - n + 1 AS BIGINT) AS first_id, last_id, n AS ids
+FROM (
+  SELECT source, n, CAST(sum(n) OVER (ORDER BY list_position(['online', 'offline', 'offline_test'], source)) AS BIGINT) AS last_id
+  FROM (SELECT source, count(*) AS n FROM fact GROUP BY source))""",
         "dim_users": _with(FACT) + "SELECT DISTINCT user_id FROM fact",
         "dim_merchants": _with(FACT) + "SELECT DISTINCT merchant_id FROM fact",
         "dim_coupons": _with(FACT, NUMBERED) + """

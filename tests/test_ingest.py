@@ -121,6 +121,9 @@ def test_star_round_trip(spark, tables, tmp_path):
         "users": 5, "merchants": 4, "coupons": 4, "transactions": 8
     }
     assert [r.user_id for r in stored.users.collect()] == [11, 12, 13, 14, 15]
+    offline = stored.transactions.where("source = 'offline'")
+    plan = offline._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(source" in plan and offline.count() == 3
     pruned = readers.read_fact(spark, f"{tmp_path}/transactions", ["user_id", "date_used"])
     assert pruned.columns == ["user_id", "date_used"]
 
