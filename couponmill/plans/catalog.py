@@ -144,17 +144,22 @@ def _sql_monthly_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _raw_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events written out as three raw logs and taken in again."""
+def write_raw_logs(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, str]:
+    """The events as three raw logs in CSV; returns the path of each."""
     log = stage(tpch.event_log(spark, sf_dir)).withColumnsRenamed({v: k for k, v in CANONICAL.items()})
     dates = {c: F.date_format(c, "yyyyMMdd") for c in ("Date_received", "Date")}
-    folder = scratch_folder(spark)
-    logs = []
+    paths = {}
     for source in ingest.SOURCES:
+        paths[source] = f"{folder}/{source}"
         rows = log.where(F.col("source") == source).withColumns(dates).select(RAW_SCHEMAS[source].names)
-        rows.write.option("header", True).option("nullValue", "null").csv(f"{folder}/{source}")
-        logs.append(readers.read_raw(spark, f"{folder}/{source}", source))
-    return ingest.build_fact(*logs)
+        rows.write.option("header", True).option("nullValue", "null").csv(paths[source])
+    return paths
+
+
+def _raw_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw logs taken in again."""
+    paths = write_raw_logs(spark, sf_dir, scratch_folder(spark))
+    return ingest.build_fact(*(readers.read_raw(spark, path, source) for source, path in paths.items()))
 
 
 def _raw_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:

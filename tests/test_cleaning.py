@@ -1,5 +1,6 @@
 from datetime import date
-from decimal import Decimal
+from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +103,52 @@ def test_large_columns_stay_native(spark):
     df = spark.range(10).select(F.col("id").cast("string").alias("discount_rate"))
     plan = with_discount(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def by_hand(raw):
+    """The rules of a discount text in plain Python."""
+    def number(text):
+        try:
+            if any(ch in text for ch in "_nN"):
+                raise ValueError
+            return float(text)
+        except ValueError:
+            return None
+
+    def amount(value):
+        value = Decimal(repr(value)).quantize(Decimal("0.01"), ROUND_HALF_UP)
+        return value if abs(value) < 10**8 else None
+
+    def rate(value, rounding):
+        value = value.quantize(Decimal("0.0001"), rounding)
+        return value if abs(value) < 100 else None
+
+    if raw in (None, "", "null", "None"):
+        return "none", None, None, None
+    if ":" in raw:
+        man, jian = (number(part) for part in raw.split(":")[:2])
+        if man is None or jian is None:
+            return "unknown", None, None, None
+        eq = None
+        if man > 0:
+            exact = (Decimal(repr(man)) - Decimal(repr(jian))) / Decimal(repr(man))
+            eq = rate(exact, ROUND_HALF_EVEN)
+        return "fixed", amount(man), amount(jian), eq
+    value = number(raw)
+    if value is None or value <= 0:
+        return "unknown", None, None, None
+    return "discount", None, None, rate(Decimal(repr(value if value <= 1 else value / 100)), ROUND_HALF_UP)
+
+
+def test_discount_rules_against_plain_python(spark):
+    rnd = Random(11)
+    pieces = ["0", "1", "5", "20", "32", "64", "96", "150", "0.5", ".25", "3.", "-2", "+7", "1e2", " 8", "9 ", "x", "2d", "", " "]
+    texts = {None, "null", "None", ""}
+    while len(texts) < 3000:
+        texts.add(":".join(rnd.choice(pieces) for _ in range(rnd.choice([1, 1, 2, 2, 2, 3]))))
+        texts.add(f"{rnd.randrange(1, 700)}:{rnd.randrange(0, 300)}")
+        texts.add(str(round(rnd.random() * rnd.choice([1, 1, 120]), rnd.choice([1, 2, 4]))))
+    df = spark.createDataFrame([(t,) for t in texts], "discount_rate string")
+    for row in with_discount(df).collect():
+        got = (row.discount_type, row.discount_man, row.discount_jian, row.discount_eq_rate)
+        assert got == by_hand(row.discount_rate), row.discount_rate
