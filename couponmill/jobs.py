@@ -35,18 +35,27 @@ def load(star: Star, p: ReportParams) -> dict[str, int]:
 
 
 def all_reports(star: Star, p: ReportParams) -> dict[str, Callable[[], DataFrame]]:
-    """Every report by name; a report with a stored summary reads that instead."""
+    """Every report by name; a summary that is stored as a table is read from there.
+
+    Merchant counts, user inputs and scores, and the label cube are computed
+    once and shared.
+    """
     f, merchants, spark = star.transactions, star.merchants, star.transactions.sparkSession
+    shared = summary.shared(f, p)
+    counts, inputs = shared["summary_merchant_usage"]["counts"], shared["summary_rfm_scores"]["inputs"]
+    cube = shared["summary_coupon_type"]["cube"]
+    scored = rfm.rfm_scored(inputs)
 
     def stored(name: str) -> Callable[[], DataFrame]:
-        return lambda: readers.summary_or_compute(spark, name, lambda: summary.SUMMARIES[name](f, p))
+        compute = lambda: summary.SUMMARIES[name](f, p, **shared.get(name, {}))
+        return lambda: readers.summary_or_compute(spark, name, compute)
 
     return {
         "table_counts": lambda: writers.table_counts(star.tables()),
         "overall_stats": lambda: merchant.overall_stats(f, p),
-        "merchant_usage": lambda: merchant.merchant_usage(merchants, f, p=p),
-        "merchant_rank": lambda: merchant.merchant_rank(merchants, f, p),
-        "merchant_rank_full": lambda: merchant.merchant_rank_full(f, p),
+        "merchant_usage": lambda: merchant.merchant_usage(merchants, f, p=p, counts=counts),
+        "merchant_rank": lambda: merchant.merchant_rank(merchants, f, p, counts),
+        "merchant_rank_full": lambda: merchant.merchant_rank_full(f, p, counts),
         "high_rate_coupon_mix": lambda: merchant.high_rate_coupon_mix(f, p),
         "monthly_growth": lambda: trend.monthly_growth(f, p),
         "merchant_monthly_growth": lambda: trend.merchant_monthly_growth(f, p),
@@ -55,19 +64,19 @@ def all_reports(star: Star, p: ReportParams) -> dict[str, Callable[[], DataFrame
         "monthly_trend": lambda: trend.monthly_trend(f, p),
         "weekly_growth": lambda: trend.weekly_growth(f, p),
         "day_type_usage": lambda: trend.day_type_usage(f, p),
-        "coupon_type": lambda: bucket.coupon_type(f, p),
-        "threshold_usage": lambda: bucket.threshold_usage(f, p),
-        "distance_usage": lambda: bucket.distance_usage(f, p),
-        "gap_distribution": lambda: bucket.gap_distribution(f, p),
+        "coupon_type": lambda: bucket.coupon_type(f, p, cube),
+        "threshold_usage": lambda: bucket.threshold_usage(f, p, cube),
+        "distance_usage": lambda: bucket.distance_usage(f, p, cube),
+        "gap_distribution": lambda: bucket.gap_distribution(f, p, cube),
         **{name: stored(name) for name in summary.SUMMARIES},
-        "rfm_users": lambda: rfm.rfm_users(f, p),
-        "rfm_segments": lambda: rfm.rfm_segments(f, p),
-        "rfm_qcut": lambda: rfm.rfm_qcut(f, p),
-        "rfm_qcut_segments": lambda: rfm.rfm_qcut_segments(f, p),
-        "top_merchants_chart": lambda: chart.top_merchants_chart(f, p),
-        "rfm_distribution_chart": lambda: chart.rfm_distribution_chart(f, p),
+        "rfm_users": lambda: rfm.rfm_users(f, p, scored),
+        "rfm_segments": lambda: rfm.rfm_segments(f, p, scored),
+        "rfm_qcut": lambda: rfm.rfm_qcut(f, p, inputs=inputs),
+        "rfm_qcut_segments": lambda: rfm.rfm_qcut_segments(f, p, inputs=inputs),
+        "top_merchants_chart": lambda: chart.top_merchants_chart(f, p, counts),
+        "rfm_distribution_chart": lambda: chart.rfm_distribution_chart(f, p, inputs=inputs),
         "monthly_chart": lambda: chart.monthly_chart(f, p),
-        "coupon_type_chart": lambda: chart.coupon_type_chart(f, p),
+        "coupon_type_chart": lambda: chart.coupon_type_chart(f, p, cube),
         "kpi_overview": lambda: export.kpi_overview(f, p),
     }
 

@@ -110,8 +110,8 @@ def _set_null_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merchant_rank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = merchant.merchant_stats(tpch.events(spark, sf_dir), PARAMS.full_rank_min_received, p=PARAMS)
-    stats = stats.select("merchant_id", "received_cnt", "used_cnt", "usage_rate")
+    counts = merchant.merchant_counts(tpch.events(spark, sf_dir), PARAMS)
+    stats = merchant.merchant_stats(counts, PARAMS.full_rank_min_received).select("merchant_id", "received_cnt", "used_cnt", "usage_rate")
     return portable(ordering.rank_all(stats, "-usage_rate", ["merchant_id"]))
 
 

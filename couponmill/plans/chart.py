@@ -5,49 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from couponmill.functions.derive import recency, rfm_segment, type_label, ym
+from couponmill.functions.derive import rfm_segment, type_label, ym
 from couponmill.functions.measures import pct
-from couponmill.operators.filters import has, having, train_only, ym_between
+from couponmill.operators.filters import ym_between
 from couponmill.operators.ordering import quantile_bin, quantile_edges, top_k
 from couponmill.operators.windows import above_mean, growth, share
 from couponmill.params import CHART_TYPE_LABELS, RFM_FALLBACK_SCORE, RFM_TILES, ReportParams
-from couponmill.plans.bucket import coupon_rows, usage_by
-from couponmill.plans.rfm import segment_counts
+from couponmill.plans.bucket import coupon_type
+from couponmill.plans.merchant import merchant_counts, merchant_stats
+from couponmill.plans.rfm import rfm_inputs, segment_counts
 from couponmill.plans.trend import used_rows
 from couponmill.session import stage
 
 DEFAULTS = ReportParams()
 
 
-def top_merchants_chart(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
+def top_merchants_chart(f: DataFrame, p: ReportParams = DEFAULTS, counts: DataFrame | None = None) -> DataFrame:
     """The merchants with the best rate, their mean rate, and who reaches it."""
-    counts = (
-        train_only(f, p.training_sources)
-        .groupBy("merchant_id")
-        .agg(F.count("date_received").alias("received_cnt"), F.count("date_used").alias("used_cnt"))
-    )
-    rated = having(counts, F.col("received_cnt") >= p.chart_min_received).withColumn(
-        "usage_rate_pct", pct("used_cnt", "received_cnt", half_even=True)
+    rated = merchant_stats(merchant_counts(f, p) if counts is None else counts, p.chart_min_received, half_even=True).select(
+        "merchant_id", "received_cnt", "used_cnt", F.col("usage_rate").alias("usage_rate_pct")
     )
     top = top_k(rated, ["-usage_rate_pct", "merchant_id"], p.chart_top)
     return above_mean(top, "usage_rate_pct").orderBy(F.desc("usage_rate_pct"), "merchant_id")
 
 
-def rfm_distribution_chart(f: DataFrame, p: ReportParams = DEFAULTS, compat: bool = False) -> DataFrame:
+def rfm_distribution_chart(
+    f: DataFrame, p: ReportParams = DEFAULTS, compat: bool = False, inputs: DataFrame | None = None
+) -> DataFrame:
     """Users per segment from recency and frequency bins; both scores are 3 if either fails."""
-    counts = (
-        train_only(f, p.training_sources)
-        .groupBy("user_id")
-        .agg(F.max("date_used").alias("last_used"), F.count("date_used").alias("frequency"))
-    )
-    users = stage(
-        having(counts, "frequency > 0").select(
-            "user_id", "frequency", recency("last_used", p.ref_date, p.ref_date).alias("recency")
-        )
-    )
-    edges = quantile_edges(users, ["recency", "frequency"], ["user_id"], RFM_TILES)
-    r, f_bin = quantile_bin("recency", edges["recency"], None), quantile_bin("frequency", edges["frequency"], None)
+    users = (stage(rfm_inputs(f, p).select("user_id", "frequency", "recency_days")) if inputs is None else inputs)
+    edges = quantile_edges(users, ["recency_days", "frequency"], ["user_id"], RFM_TILES)
+    r = quantile_bin("recency_days", edges["recency_days"], None)
     r = r if compat else RFM_TILES + 1 - r
+    f_bin = quantile_bin("frequency", edges["frequency"], None)
     failed = r.isNull() | f_bin.isNull()
     fallback = F.lit(RFM_FALLBACK_SCORE)
     scored = users.select(
@@ -78,15 +68,14 @@ def growth_points(monthly: DataFrame) -> DataFrame:
     return monthly.dropna(subset=["mom_pct"])
 
 
-def coupon_type_chart(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
+def coupon_type_chart(f: DataFrame, p: ReportParams = DEFAULTS, cube: DataFrame | None = None) -> DataFrame:
     """Redemption by discount type with its display name."""
     return (
-        usage_by(coupon_rows(f, p), F.col("discount_type"), "discount_type", half_even=True)
-        .withColumn("label", type_label("discount_type", CHART_TYPE_LABELS, default="discount_type"))
+        coupon_type(f, p, cube)
+        .select(
+            "discount_type", "total_count", "used_count",
+            pct("used_count", "total_count", half_even=True).alias("usage_rate_pct"),
+            type_label("discount_type", CHART_TYPE_LABELS, default="discount_type").alias("label"),
+        )
         .orderBy(F.desc("usage_rate_pct"), "discount_type")
     )
-
-
-def redeemed_rows(f: DataFrame) -> DataFrame:
-    """Rows with a date of use."""
-    return has(f, "date_used")

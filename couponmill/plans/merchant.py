@@ -22,30 +22,38 @@ DEFAULTS = ReportParams()
 
 
 def merchant_counts(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
-    """Rows, receipts and uses per merchant over the labelled sources."""
+    """Rows, receipts and uses per merchant over the labelled sources.
+
+    All merchant reports can start from one stored copy of this frame.
+    """
     return train_only(f, p.training_sources).groupBy("merchant_id").agg(
         F.count("*").alias("total_records"),
         F.count("date_received").alias("received_cnt"),
         F.count("date_used").alias("used_cnt"),
         cond_count(~is_used() & is_received()).alias("unused_cnt"),
+        cond_count(is_used() & is_received()).alias("redeemed_cnt"),
     )
 
 
 def merchant_stats(
-    f: DataFrame, min_received: int, merchants: DataFrame | None = None, p: ReportParams = DEFAULTS
+    counts: DataFrame, min_received: int, merchants: DataFrame | None = None, half_even: bool = False
 ) -> DataFrame:
     """Merchant counts with the redemption rate, for merchants with enough receipts.
 
     With ``merchants`` only merchants of that dimension are kept.
     """
-    counts = having(merchant_counts(f, p), F.col("received_cnt") >= min_received)
+    enough = having(counts, F.col("received_cnt") >= min_received)
     if merchants is not None:
-        counts = counts.join(merchants.select("merchant_id"), "merchant_id", "inner")
-    return counts.withColumn("usage_rate", pct("used_cnt", "received_cnt"))
+        enough = enough.join(merchants.select("merchant_id"), "merchant_id", "inner")
+    return enough.withColumn("usage_rate", pct("used_cnt", "received_cnt", half_even=half_even))
 
 
 def merchant_usage(
-    merchants: DataFrame, f: DataFrame, min_received: int | None = None, p: ReportParams = DEFAULTS
+    merchants: DataFrame,
+    f: DataFrame,
+    min_received: int | None = None,
+    p: ReportParams = DEFAULTS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Transactions, redeemed, unredeemed and redemption rate per merchant.
 
@@ -53,7 +61,7 @@ def merchant_usage(
     """
     least = p.usage_min_received if min_received is None else min_received
     return (
-        merchant_stats(f, least, merchants, p)
+        merchant_stats(merchant_counts(f, p) if counts is None else counts, least, merchants)
         .select(
             "merchant_id",
             F.col("total_records").alias("total_txn"),
@@ -65,9 +73,11 @@ def merchant_usage(
     )
 
 
-def merchant_rank(merchants: DataFrame, f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
+def merchant_rank(
+    merchants: DataFrame, f: DataFrame, p: ReportParams = DEFAULTS, counts: DataFrame | None = None
+) -> DataFrame:
     """The merchants with the best rate under three ranking rules."""
-    stats = merchant_stats(f, p.rank_min_received, merchants, p).select(
+    stats = merchant_stats(merchant_counts(f, p) if counts is None else counts, p.rank_min_received, merchants).select(
         "merchant_id",
         F.col("received_cnt").alias("total_received"),
         F.col("used_cnt").alias("total_used"),
@@ -80,13 +90,13 @@ def merchant_rank(merchants: DataFrame, f: DataFrame, p: ReportParams = DEFAULTS
     )
 
 
-def merchant_rank_full(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
+def merchant_rank_full(f: DataFrame, p: ReportParams = DEFAULTS, counts: DataFrame | None = None) -> DataFrame:
     """The best merchants with ranks, percent rank and decile among all merchants."""
-    stats = pin(
-        merchant_stats(f, p.full_rank_min_received, p=p).select(
-            "merchant_id", "received_cnt", "used_cnt", "usage_rate"
-        )
+    stats = merchant_stats(merchant_counts(f, p) if counts is None else counts, p.full_rank_min_received).select(
+        "merchant_id", "received_cnt", "used_cnt", "usage_rate"
     )
+    if counts is None:
+        stats = pin(stats)
     return rank_top(stats, "-usage_rate", ["merchant_id"], p.full_rank_top, total=stats.count()).orderBy("row_num")
 
 

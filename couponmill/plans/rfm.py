@@ -32,12 +32,16 @@ def user_base(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
     )
 
 
-def rfm_inputs(f: DataFrame, p: ReportParams = DEFAULTS, digits: int = 2) -> DataFrame:
-    """Inputs of the scores for every user with at least one use."""
+def rfm_inputs(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
+    """Inputs of the scores for every user with at least one use.
+
+    All RFM reports can start from one stored copy of this frame.
+    """
     base = train_only(f, p.training_sources).groupBy("user_id").agg(
         F.max("date_used").alias("last_used_date"),
         F.count("date_used").alias("frequency"),
-        F.coalesce(mean_of("discount_man", digits, is_used()), F.lit(0)).alias("avg_monetary"),
+        F.coalesce(mean_of("discount_man", 2, is_used()), F.lit(0)).alias("avg_monetary"),
+        F.coalesce(mean_of("discount_man", 6, is_used()), F.lit(0)).alias("mean_threshold"),
         F.count("date_received").alias("total_received"),
     )
     return having(base, "frequency > 0").withColumn(
@@ -57,10 +61,14 @@ def rfm_scored(inputs: DataFrame, metrics: tuple[str, ...] = ("recency_days", "f
     })
 
 
-def rfm_users(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
+def _scored(f: DataFrame, p: ReportParams) -> DataFrame:
+    return rfm_scored(stage(rfm_inputs(f, p).drop("mean_threshold")))
+
+
+def rfm_users(f: DataFrame, p: ReportParams = DEFAULTS, scored: DataFrame | None = None) -> DataFrame:
     """Every redeeming user with scores, totals, segment and sub-segment."""
     return (
-        rfm_scored(stage(rfm_inputs(f, p)))
+        (_scored(f, p) if scored is None else scored)
         .withColumns(rfm_combine())
         .select(
             "user_id", "recency_days", "frequency", F.col("avg_monetary").alias("monetary"), "total_received",
@@ -71,10 +79,11 @@ def rfm_users(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
     )
 
 
-def rfm_segments(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
+def rfm_segments(f: DataFrame, p: ReportParams = DEFAULTS, scored: DataFrame | None = None) -> DataFrame:
     """Users per segment and their share."""
-    inputs = stage(rfm_inputs(f, p).select("user_id", "recency_days", "frequency"))
-    scored = rfm_scored(inputs, ("recency_days", "frequency"))
+    if scored is None:
+        inputs = stage(rfm_inputs(f, p).select("user_id", "recency_days", "frequency"))
+        scored = rfm_scored(inputs, ("recency_days", "frequency"))
     return share(segment_counts(scored.select(rfm_segment().alias("segment")), "segment"), "user_count").orderBy(
         F.desc("user_count"), "segment"
     )
@@ -85,10 +94,10 @@ def segment_counts(df: DataFrame, c: str = "user_segment") -> DataFrame:
     return df.groupBy(c).agg(F.count("*").alias("user_count"))
 
 
-def rfm_view(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
+def rfm_view(f: DataFrame, p: ReportParams = DEFAULTS, scored: DataFrame | None = None) -> DataFrame:
     """The columns of the RFM view."""
     return (
-        rfm_scored(stage(rfm_inputs(f, p)))
+        (_scored(f, p) if scored is None else scored)
         .withColumn("rfm_total", rfm_combine()["rfm_total"])
         .select(
             "user_id", "last_used_date", "frequency", "avg_monetary", "total_received", "recency_days",
@@ -104,20 +113,25 @@ def register_rfm_view(f: DataFrame, name: str = "v_user_rfm", p: ReportParams =
     return view
 
 
-def rfm_qcut(f: DataFrame, p: ReportParams = DEFAULTS, compat: bool = False) -> DataFrame:
+def rfm_qcut(
+    f: DataFrame, p: ReportParams = DEFAULTS, compat: bool = False, inputs: DataFrame | None = None
+) -> DataFrame:
     """RFM with quantile-bin scores; a score whose edges repeat is 3 for everyone.
 
     Recent users score 5.  ``compat`` scores them 1, as published results do.
     """
-    inputs = stage(rfm_inputs(f, p, digits=6))
+    users = (stage(rfm_inputs(f, p)) if inputs is None else inputs).select(
+        "user_id", "last_used_date", "frequency", F.col("mean_threshold").alias("avg_monetary"), "total_received",
+        "recency_days",
+    )
     metrics = ["recency_days", "frequency", "avg_monetary"]
-    edges = quantile_edges(inputs, metrics, ["user_id"], RFM_TILES)
+    edges = quantile_edges(users, metrics, ["user_id"], RFM_TILES)
     bins = {m: quantile_bin(m, edges[m], None) for m in metrics}
     if not compat:
         bins["recency_days"] = RFM_TILES + 1 - bins["recency_days"]
     fallback = F.lit(RFM_FALLBACK_SCORE)
     return (
-        inputs.withColumns({
+        users.withColumns({
             "r_score": F.coalesce(bins["recency_days"], fallback),
             "f_score": F.coalesce(bins["frequency"], fallback),
             "m_score": F.coalesce(bins["avg_monetary"], fallback),
@@ -127,8 +141,10 @@ def rfm_qcut(f: DataFrame, p: ReportParams = DEFAULTS, compat: bool = False) ->
     )
 
 
-def rfm_qcut_segments(f: DataFrame, p: ReportParams = DEFAULTS, compat: bool = False) -> DataFrame:
+def rfm_qcut_segments(
+    f: DataFrame, p: ReportParams = DEFAULTS, compat: bool = False, inputs: DataFrame | None = None
+) -> DataFrame:
     """Users per quantile-bin segment and their share."""
-    return share(segment_counts(rfm_qcut(f, p, compat)), "user_count", half_even=True).orderBy(
+    return share(segment_counts(rfm_qcut(f, p, compat, inputs)), "user_count", half_even=True).orderBy(
         F.desc("user_count"), "user_segment"
     )

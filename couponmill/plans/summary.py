@@ -8,25 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from couponmill.functions.measures import pct
-from couponmill.operators.filters import has, having, train_only
-from couponmill.params import EXPORT_THRESHOLD, ReportParams
-from couponmill.plans.bucket import coupon_type, gap_counts, threshold_counts
+from couponmill.operators.filters import having
+from couponmill.params import ReportParams
+from couponmill.plans.bucket import coupon_type, gap_counts, plain_threshold_usage, usage_cube
+from couponmill.plans.merchant import merchant_counts
 from couponmill.plans.rfm import rfm_inputs
 from couponmill.plans.trend import monthly_counts
+from couponmill.session import pin, stage
 from couponmill.sources.writers import materialize, replace_table
 
 DEFAULTS = ReportParams()
 
 
-def summary_merchant_usage(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
+def summary_merchant_usage(f: DataFrame, p: ReportParams = DEFAULTS, counts: DataFrame | None = None) -> DataFrame:
     """Redemption per merchant over received rows only, so no rate exceeds 100."""
-    counts = (
-        has(train_only(f, p.training_sources), "date_received")
-        .groupBy("merchant_id")
-        .agg(F.count("*").alias("total_received"), F.count("date_used").alias("used_count"))
+    received = (merchant_counts(f, p) if counts is None else counts).select(
+        "merchant_id", F.col("received_cnt").alias("total_received"), F.col("redeemed_cnt").alias("used_count")
     )
     return (
-        having(counts, F.col("total_received") >= p.summary_min_received)
+        having(received, F.col("total_received") >= p.summary_min_received)
         .withColumn("usage_rate_pct", pct("used_count", "total_received"))
         .orderBy(F.desc("usage_rate_pct"), "merchant_id")
     )
@@ -37,24 +37,24 @@ def summary_monthly_trend(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame
     return monthly_counts(f, p).orderBy("ym")
 
 
-def summary_coupon_type(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
+def summary_coupon_type(f: DataFrame, p: ReportParams = DEFAULTS, cube: DataFrame | None = None) -> DataFrame:
     """Redemption and mean discounts by discount type."""
-    return coupon_type(f, p).drop("unused_count")
+    return coupon_type(f, p, cube).drop("unused_count")
 
 
-def summary_rfm_scores(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
+def summary_rfm_scores(f: DataFrame, p: ReportParams = DEFAULTS, inputs: DataFrame | None = None) -> DataFrame:
     """Recency, frequency and monetary inputs of every redeeming user."""
-    return rfm_inputs(f, p)
+    return (rfm_inputs(f, p) if inputs is None else inputs).drop("mean_threshold")
 
 
-def summary_threshold_bucket(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
+def summary_threshold_bucket(f: DataFrame, p: ReportParams = DEFAULTS, cube: DataFrame | None = None) -> DataFrame:
     """Redemption by threshold bucket with plain-text labels."""
-    return threshold_counts(f, EXPORT_THRESHOLD, p)
+    return plain_threshold_usage(f, p, cube)
 
 
-def summary_gap_analysis(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
+def summary_gap_analysis(f: DataFrame, p: ReportParams = DEFAULTS, cube: DataFrame | None = None) -> DataFrame:
     """Receipts by time to redemption."""
-    return gap_counts(f, p)
+    return gap_counts(f, p, cube)
 
 
 SUMMARIES: dict[str, Callable[..., DataFrame]] = {
@@ -70,9 +70,26 @@ SUMMARIES: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+def shared(f: DataFrame, p: ReportParams = DEFAULTS) -> dict[str, dict[str, DataFrame]]:
+    """The stored aggregates each summary starts from, by summary name.
+
+    The cube, the merchant counts and the user inputs are each computed once,
+    so all summaries together read the fact four times.
+    """
+    cube = {"cube": pin(usage_cube(f, p))}
+    return {
+        "summary_merchant_usage": {"counts": stage(merchant_counts(f, p))},
+        "summary_coupon_type": cube,
+        "summary_rfm_scores": {"inputs": stage(rfm_inputs(f, p))},
+        "summary_threshold_bucket": cube,
+        "summary_gap_analysis": cube,
+    }
+
+
 def build_summaries(f: DataFrame, p: ReportParams = DEFAULTS) -> dict[str, int]:
     """Write all summary tables; returns the rows of each."""
-    return {name: replace_table(fn(f, p), name) for name, fn in SUMMARIES.items()}
+    given = shared(f, p)
+    return {name: replace_table(fn(f, p, **given.get(name, {})), name) for name, fn in SUMMARIES.items()}
 
 
 def materialize_summary(f: DataFrame, name: str, p: ReportParams = DEFAULTS) -> DataFrame:

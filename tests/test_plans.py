@@ -39,7 +39,7 @@ def test_filters_and_columns_reach_the_scan(stored):
 
 
 @pytest.mark.parametrize("report, columns", [
-    (lambda f: merchant.merchant_stats(f, 50, p=PARAMS), {"merchant_id", "date_received", "date_used", "source"}),
+    (lambda f: merchant.merchant_stats(merchant.merchant_counts(f, PARAMS), 50), {"merchant_id", "date_received", "date_used", "source"}),
     (lambda f: bucket.gap_distribution(f, PARAMS), {"date_received", "date_used", "source"}),
     (lambda f: rfm.rfm_inputs(f, PARAMS), {"user_id", "date_received", "date_used", "discount_man", "source"}),
     (lambda f: export.export_day_type(f), {"user_id", "date_used"}),

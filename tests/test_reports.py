@@ -47,7 +47,7 @@ def test_partitions_of_the_same_rows_agree(events):
 
 
 def test_training_buckets_sum_to_training_rows(events):
-    rows = bucket.coupon_rows(events, PARAMS).count()
+    rows = events.where("source <> 'offline_test' AND coupon_id IS NOT NULL AND date_received IS NOT NULL").count()
     assert bucket.threshold_usage(events, PARAMS).agg(F.sum("total_cnt")).first()[0] == rows
     assert bucket.coupon_type(events, PARAMS).agg(F.sum("total_count")).first()[0] == rows
 
@@ -122,6 +122,24 @@ def test_export_all(spark, events, tmp_path):
     assert enriched.count() == events.count() and len(enriched.columns) == 21
 
 
+def test_reports_from_shared_aggregates_equal_single_reports(events, spark, sf_dir):
+    cube = bucket.usage_cube(events, PARAMS).cache()
+    for report in (
+        bucket.coupon_type, bucket.threshold_usage, bucket.plain_threshold_usage, bucket.distance_usage,
+        bucket.gap_distribution, chart.coupon_type_chart,
+    ):
+        assert sorted(report(events, PARAMS, cube=cube).collect()) == sorted(report(events, PARAMS).collect())
+    counts = merchant.merchant_counts(events, PARAMS).cache()
+    for report in (merchant.merchant_rank_full, chart.top_merchants_chart):
+        assert report(events, PARAMS, counts=counts).collect() == report(events, PARAMS).collect()
+    inputs = rfm.rfm_inputs(events, PARAMS).cache()
+    scored = rfm.rfm_scored(inputs)
+    for report in (rfm.rfm_users, rfm.rfm_segments):
+        assert report(events, PARAMS, scored=scored).collect() == report(events, PARAMS).collect()
+    for report in (rfm.rfm_qcut_segments, chart.rfm_distribution_chart):
+        assert report(events, PARAMS, inputs=inputs).collect() == report(events, PARAMS).collect()
+
+
 def test_exports_from_one_pass_equal_single_reports(events):
     tables = export.chart_tables(events, p=PARAMS)
     for name, report in (
