@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from couponmill.functions.sqltext import literal
 from couponmill.params import ACTION_NAMES
 
 # Texts that a log uses for "no value" in any field.
@@ -45,7 +46,7 @@ def parse_num(c: str) -> Column:
 
 def action_name(c: str) -> Column:
     """Name of an online action code, NULL for any other code."""
-    arms = " ".join(f"WHEN {code} THEN '{name}'" for code, name in ACTION_NAMES.items())
+    arms = " ".join(f"WHEN {code} THEN {literal(name)}" for code, name in ACTION_NAMES.items())
     return F.expr(f"CASE {c} {arms} END")
 
 
@@ -56,7 +57,7 @@ def with_discount(df: DataFrame, c: str = "discount_rate", eq_rate: str = "disco
     equivalent rate of a fixed reduction is rounded half to even.  The numbers
     are parsed in a projection of their own, so each is read once per row.
     """
-    tokens = ", ".join(f"'{t}'" for t in NO_DISCOUNT_TOKENS)
+    tokens = ", ".join(map(literal, NO_DISCOUNT_TOKENS))
     rule = F.expr(f"CASE WHEN {c} NOT IN ({tokens}) THEN {c} END")
     man_text = "substring_index(_rule, ':', 1)"
     jian_text = "substring_index(substring_index(_rule, ':', 2), ':', -1)"
@@ -71,8 +72,10 @@ def with_discount(df: DataFrame, c: str = "discount_rate", eq_rate: str = "disco
     END"""
     # Amounts come from the text, which is cheaper and no less exact than from the double.
     equivalent = f"""CASE
-        WHEN {fixed} THEN
-            CASE WHEN _man > 0 THEN try_cast(try_cast(rint((_man - _jian) * 10000 / _man) AS int) * 0.0001 AS decimal(6,4)) END
+        WHEN {fixed} THEN CASE
+            WHEN _man > 0
+            THEN try_cast(try_cast(rint((_man - _jian) * 10000 / _man) AS int) * 0.0001 AS decimal(6,4))
+        END
         WHEN _rate > 1 THEN try_cast(_rate / 100 AS decimal(6,4))
         WHEN _rate > 0 THEN try_cast(_rule AS decimal(6,4))
     END"""

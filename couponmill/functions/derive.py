@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from couponmill.functions.sqltext import literal
 from couponmill.params import (
     DAY_UNKNOWN,
     RFM_WEIGHTS,
@@ -28,7 +29,7 @@ def _col(c: Column | str) -> Column:
 
 def _case(rules: list[tuple[str, str]], default: str) -> Column:
     """First matching condition wins; ``default`` is SQL text, labels are plain text."""
-    arms = " ".join(f"WHEN {cond} THEN '{label}'" for cond, label in rules)
+    arms = " ".join(f"WHEN {cond} THEN {literal(label)}" for cond, label in rules)
     return F.expr(f"CASE {arms} ELSE {default} END")
 
 
@@ -39,7 +40,7 @@ def bucket(c: str, spec: BucketSpec) -> Column:
         rules.append((f"({c}) < 0", spec.negative))
     rules += [(f"({c}) = {v}", label) for v, label in spec.exact]
     rules += [(f"({c}) <= {edge}", label) for edge, label in spec.upper]
-    return _case(rules, f"'{spec.above}'")
+    return _case(rules, literal(spec.above))
 
 
 # SQL text for ``bucket``: days from receipt to use, and the threshold of a fixed reduction.
@@ -67,9 +68,9 @@ def day_type(c: Column | str, null_label: str | None = DAY_UNKNOWN) -> Column:
     return F.when(day.isNull(), F.lit(null_label)).otherwise(known)
 
 
-def type_label(c: str, labels: dict[str, str] | None = None, default: str = f"'{TYPE_LABEL_DEFAULT}'") -> Column:
+def type_label(c: str, labels: dict[str, str] | None = None, default: str = literal(TYPE_LABEL_DEFAULT)) -> Column:
     """Display name of a discount type; ``default`` is SQL text."""
-    return _case([(f"{c} = '{k}'", v) for k, v in (labels or TYPE_LABELS).items()], default)
+    return _case([(f"{c} = {literal(k)}", v) for k, v in (labels or TYPE_LABELS).items()], default)
 
 
 def ym(c: Column | str) -> Column:
@@ -94,7 +95,7 @@ def _by_scores(rules: tuple, default: str) -> Column:
             (f"r_score BETWEEN {r[0]} AND {r[1]} AND f_score BETWEEN {f[0]} AND {f[1]}", label)
             for label, r, f in rules
         ],
-        f"'{default}'",
+        literal(default),
     )
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from couponmill.functions.sqltext import literal
 from couponmill.session import BROADCAST_ROWS, pin, stage
 
 # Integer and decimal metrics are compared in this type, so mixed metrics share one sort.
@@ -268,5 +269,5 @@ def top_k(df: DataFrame, order: list[str], k: int) -> DataFrame:
 
 def order_labels(df: DataFrame, c: str, labels: tuple[str, ...]) -> DataFrame:
     """Sort by the position of the label in ``labels``, unknown labels last."""
-    arms = " ".join(f"WHEN '{label}' THEN {i}" for i, label in enumerate(labels))
+    arms = " ".join(f"WHEN {literal(label)} THEN {i}" for i, label in enumerate(labels))
     return df.orderBy(F.expr(f"CASE {c} {arms} ELSE {len(labels)} END"), c)

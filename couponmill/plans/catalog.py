@@ -66,7 +66,10 @@ def _remaining(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, s
     customers, suppliers, parts = (tpch.table(spark, sf_dir, n) for n in ("customer", "supplier", "part"))
     return {
         "users": (customers.where("c_acctbal >= 0").select(F.col("c_custkey").alias("user_id")), "user_id"),
-        "merchants": (suppliers.where("s_acctbal >= 0").select(F.col("s_suppkey").alias("merchant_id")), "merchant_id"),
+        "merchants": (
+            suppliers.where("s_acctbal >= 0").select(F.col("s_suppkey").alias("merchant_id")),
+            "merchant_id",
+        ),
         "coupons": (
             parts.where("p_type <> 'ECONOMY'").select(F.col("p_partkey").cast("string").alias("coupon_id")),
             "coupon_id",

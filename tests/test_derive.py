@@ -26,6 +26,10 @@ def test_negative_gap_label_is_optional(spark):
     assert labels(spark, [-1, 0], replace(GAP, negative="早于领取")) == ["早于领取", "当天核销"]
 
 
+def test_labels_may_hold_quotes(spark):
+    assert labels(spark, [-1], replace(GAP, negative="user's \\ 'early'")) == ["user's \\ 'early'"]
+
+
 def test_distance_buckets(spark):
     values = [None, 0, 1, 2, 3, 4, 5, 6, 10, 11]
     assert labels(spark, values, DISTANCE) == [

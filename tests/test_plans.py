@@ -55,6 +55,12 @@ def test_one_scan_and_partial_aggregation(stored):
         assert text.count("FileScan") == 1 and "partial_" in text
 
 
+def test_a_breakdown_alone_needs_one_exchange_by_label(stored):
+    """Rolling up cells that were counted for one label reuses their partitioning."""
+    for df in (bucket.threshold_usage(stored, PARAMS), bucket.coupon_type(stored, PARAMS)):
+        assert plan(df).count("Exchange hashpartitioning") == 1
+
+
 def test_single_partition_only_after_aggregation(stored):
     """Below every single-partition exchange there is a finished aggregate."""
     for df in (
