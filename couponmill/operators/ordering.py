@@ -73,6 +73,15 @@ class OrderStatistics:
     at: dict[int, tuple]
 
 
+def _check_metrics(df: DataFrame, metrics: list[str]) -> None:
+    """Only types that METRIC_TYPE holds without rounding."""
+    for m in metrics:
+        kind = df.schema[m].dataType
+        exact = isinstance(kind, T.IntegralType) or (isinstance(kind, T.DecimalType) and kind.scale <= METRIC_TYPE.scale)
+        if not exact:
+            raise TypeError(f"{m}: {kind.simpleString()} cannot be ordered exactly, cast it to an integer or decimal")
+
+
 def order_statistics(
     df: DataFrame,
     metrics: list[str],
@@ -84,6 +93,7 @@ def order_statistics(
     All metrics share one range shuffle.  ``positions`` maps the row count to
     the wanted positions, a handful per metric.
     """
+    _check_metrics(df, metrics)
     stacked = F.explode(
         F.array(*[
             F.struct(F.lit(i).alias("metric"), F.col(m).cast(METRIC_TYPE).alias("value"))

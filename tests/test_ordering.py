@@ -171,3 +171,9 @@ def test_copies_of_one_row_are_spread(spark):
     tagged = df.withColumn("_from", F.spark_partition_id()).repartitionByRange(8, "v", "_from")
     sizes = [r["count"] for r in tagged.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < 0.25 * 8000
+
+
+def test_inexact_metrics_are_refused(spark):
+    df = spark.range(5).withColumn("v", F.rand(1))
+    with pytest.raises(TypeError, match="v: double"):
+        o.ntile_all(df, 5, "v", ["id"])
