@@ -4,8 +4,8 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
-from couponmill.plans import bucket, export, merchant, rfm, trend
+
+from couponmill.plans import bucket, catalog, export, merchant, rfm, trend
 from couponmill.plans.catalog import PARAMS
 from couponmill.session import ensure_checkpoint_dir
 from couponmill.sources import readers, tpch, writers
@@ -22,9 +22,9 @@ def stored(spark, sf_dir, tmp_path_factory):
     return readers.read_fact(spark, path)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_cross_join_and_no_python(spark, sf_dir, name):
-    text = plan(entry.queries()[name](spark, sf_dir))
+    text = plan(catalog.QUERIES[name](spark, sf_dir))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"):
         assert operator not in text
 
