@@ -9,10 +9,11 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -23,8 +24,8 @@ from couponmill.llm.shipping import ship
 from couponmill.llm.words import slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-# Pieces whose merges are remembered by a worker; the memory is emptied when full.
-REMEMBERED = 400_000
+# A worker remembers the merges of up to twice as many pieces.
+REMEMBERED = 150_000
 # White space, letters and numbers below U+0180, and how a text is cut into pieces.
 _SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _LATIN_LETTERS = r"A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\u017F"
@@ -53,15 +54,22 @@ def byte_symbols() -> list[str]:
 
 
 class _Pieces(dict):
+    """Ids of pieces seen lately; when full, pieces not used since the last time are forgotten."""
+
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
-
-    def __missing__(self, piece: str) -> list[int]:
-        codec = self.codec
-        ids = codec.merge([codec.byte_ids[b] for b in piece.encode()])
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            codec = self.codec
+            # The bytes of 32-bit integers join fast and take little room.
+            ids = array("i", codec.merge([codec.byte_ids[b] for b in piece.encode()])).tobytes()
         if len(piece) <= 64:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -126,23 +134,25 @@ class Codec:
                 heapq.heappush(queue, rank << 40 | h)
         return [x for x in ids if x >= 0]
 
-    def encode_ordinary(self, text: str) -> list[int]:
-        """Ids of a text in which nothing is an added token."""
+    def _ordinary(self, text: str) -> bytes:
         find = _pieces if _beyond_latin(text) else _latin_pieces
-        return list(chain.from_iterable(map(self._pieces.__getitem__, find(text))))
+        return b"".join(map(self._pieces.__getitem__, find(text)))
+
+    def encode_ordinary(self, text: str) -> np.ndarray:
+        """Ids of a text in which nothing is an added token."""
+        return np.frombuffer(self._ordinary(text), np.int32)
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of a text; the strings of added tokens become their ids."""
-        ids, at = [], 0
+        parts, at = [], 0
         for found in self._added.finditer(text):
-            ids += self.encode_ordinary(text[at : found.start()])
-            ids.append(self.added[found.group()])
+            parts += [self._ordinary(text[at : found.start()]), np.int32(self.added[found.group()]).tobytes()]
             at = found.end()
-        return ids + self.encode_ordinary(text[at:]) if at else self.encode_ordinary(text)
+        return np.frombuffer(b"".join([*parts, self._ordinary(text[at:])]), np.int32)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """Text of the ids: their vocabulary strings, one after another."""
-        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
+        return b"".join(map(self.strings.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -150,10 +160,21 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+# Bytes of text worked on at once.
+PART_BYTES = 1 << 20
+
+
 def _plus(df: DataFrame, out: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*[f for f in df.schema.fields if f.name != out], T.StructField(out, kind)])
 
 
+def id_lists(rows: list[np.ndarray]) -> pa.Array:
+    """An Arrow list column of 32-bit ids."""
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    values = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+
+
 def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str = VOCABULARY) -> DataFrame:
     """Add ``out``, the token ids of the whole ``text``; a column of that name is replaced.
 
@@ -166,8 +187,8 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str = VOCA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = codec(path).encode
         for batch in batches:
-            for part in slices(batch, text):
-                ids = pa.array([to_ids(x) if x else [] for x in part.column(text).to_pylist()], pa.list_(pa.int32()))
+            for part in slices(batch, text, PART_BYTES):
+                ids = id_lists([to_ids(x.as_py() or "") for x in part.column(text)])
                 yield pa.RecordBatch.from_arrays([*map(part.column, names), ids], [*names, out])
 
     return df.mapInArrow(run, _plus(df, out, T.ArrayType(T.IntegerType())))
@@ -180,10 +201,12 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str = VO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_text = codec(path).decode
+        none = np.zeros(0, np.int32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = pa.array([to_text(x) if x else "" for x in part.column(ids).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*map(part.column, names), texts], [*names, out])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = [to_text(x.values.to_numpy() if x.is_valid else none) for x in part.column(ids)]
+                yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(texts, pa.string())], [*names, out])
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, _plus(df, out, T.StringType()))

@@ -26,7 +26,7 @@ WINDOW = 13
 # Test words held in memory at once; a larger test set takes several passes.
 BLOCK_WORDS = 4_000_000
 # Size of a shard of the training texts, about.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 # Leading words that decide whether a position can match any test suffix.
 LEAD = 3
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 # Texts are worked on in slices of about this many bytes; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 SLICE_ROWS = 2_000
 # Longer words are hashed one by one.
 LONG_WORD = 64
@@ -53,6 +53,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         end = min(max(end, at + 1), at + SLICE_ROWS, batch.num_rows)
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
