@@ -152,10 +152,10 @@ class VoteModel:
     rate: np.ndarray  # class (bad, good) x labeller
 
     def posterior(self, pattern: np.ndarray) -> np.ndarray:
-        """Probability of good for each vote pattern."""
+        """Probability of good for each vote pattern; the prior where nobody votes."""
         cast = unpack(pattern, self.rate.shape[1]) != NONE
         log = np.log([1 - self.prior, self.prior]) + cast @ np.log(self.rate).T + ~cast @ np.log(1 - self.rate).T
-        return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -60, 60)))
+        return np.where(cast.any(axis=1), 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -60, 60))), self.prior)
 
     def accuracy(self) -> np.ndarray:
         """Share of each labeller's votes that are right."""
@@ -240,7 +240,9 @@ class QualityModel:
     documents: int
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -60, 60)))
+        """Probability of good; the prior for texts without features."""
+        scored = 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -60, 60)))
+        return np.where(x.any(axis=1), scored, self.votes.prior)
 
 
 def fit(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS) -> QualityModel:
@@ -297,8 +299,8 @@ def classify(docs: DataFrame, model: QualityModel | None = None, text: str = "te
 
     ``votes`` has one sign per labeller (+, -, 0), ``weak_label`` is the
     probability of good given the votes, ``score`` the scorer's.  NULL and empty
-    texts have no features and get the score of the bias, which keeps them
-    where most documents are good.  Equal texts get equal scores, an empty
+    texts have no features and get the share of good documents as their score,
+    so they stay where most documents are good.  Equal texts get equal scores, an empty
     table stays empty, and columns of the same names are replaced.
     """
     model = model or fit(docs, text)
