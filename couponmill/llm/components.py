@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from couponmill.session import stage
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, put: Callable[[DataFrame], DataFrame] = stage) -> DataFrame:
     """``node`` and ``root``, the smallest node it reaches, for links ``a``, ``b`` of long ids.
 
     Large-star and small-star steps alternate until nothing changes; a node's
     neighbours are never gathered, only their minimum is.  Every step is
-    written to the checkpoint folder.  Nodes without a link have no row.
+    written by ``put``, into the checkpoint folder.  Nodes without a link have no row.
     """
-    links = stage(_ordered(links.where("a <> b")))
+    links = put(_ordered(links.where("a <> b")))
     seen = None
     while (state := _state(links)) != seen:
         seen = state
-        links = stage(_small_star(_large_star(links)))
+        links = put(_small_star(_large_star(links)))
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         links.select("b", F.col("b").alias("root")).distinct()
     )

@@ -26,7 +26,12 @@ from couponmill.llm.blocks import LINK_SCHEMA, forest, in_blocks, runs, sides
 from couponmill.llm.components import components
 from couponmill.llm.shipping import ship
 from couponmill.llm.words import mix, ngrams, slices, utf8, words
-from couponmill.session import stage
+from couponmill.operators.ordering import sized_broadcast
+from couponmill.session import Scratch, stage
+
+
+# Cluster members, of 40 bytes each, that are broadcast to the texts at most.
+MEMBERS_BROADCAST = 200_000
 
 
 @dataclass(frozen=True)
@@ -172,14 +177,17 @@ def shared_counts(sets: list[np.ndarray], low: np.ndarray, high: np.ndarray) ->
     return total
 
 
-def _exact(classes: DataFrame, docs: DataFrame, id_col: str, text: str, clusters: DataFrame, p: Forest) -> DataFrame:
+def _exact(
+    classes: DataFrame, docs: DataFrame, id_col: str, text: str, clusters: DataFrame, p: Forest, work: Scratch
+) -> DataFrame:
     """Link counts and block-wise spanning forests of exactly similar classes."""
     member = clusters.join(classes.select("node", "first_id", "size", "copies"), "node")
     chunks = F.greatest(F.ceil(F.col("_n") / p.block_rows), F.ceil(F.col("_size") / p.block_ngrams)).cast("long")
     sizes = member.groupBy("root").agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
     member = member.join(sizes.select(F.col("root").alias("cluster"), chunks.alias("_chunks")), F.col("root") == F.col("cluster"))
     member = member.select("node", "cluster", "_chunks", "copies", F.col("first_id").alias(id_col))
-    texts = docs.select(id_col, text).join(member, id_col)
+    # A few numbers per class; many of them are joined by shuffle.
+    texts = docs.select(id_col, text).join(sized_broadcast(work.stage(member), MEMBERS_BROADCAST), id_col)
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,31 +224,22 @@ def _exact(classes: DataFrame, docs: DataFrame, id_col: str, text: str, clusters
     return in_blocks(sets, "cluster", "_chunks", ["copies", "ngrams"]).mapInArrow(compare, LINK_SCHEMA)
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: Forest = Forest()) -> DataFrame:
-    """One row per document: ``id_col``, ``class_id``, ``n_links`` and ``n_copies``.
+def _placed(docs: DataFrame, row: str, text: str, p: Forest) -> DataFrame:
+    """``row``, ``root``, ``n_links`` and ``n_copies`` of every document of a stored table with unique ``row``.
 
-    ``n_links`` counts the other documents whose n-gram sets have a Jaccard
-    similarity of at least ``threshold``; ``n_copies`` those among them with the
-    same set.  ``class_id`` is the smallest id reachable over links.  Texts of
-    fewer words than an n-gram have one n-gram of all words; texts without words
-    (NULL, empty) have no similarity to anything and are a class of their own.
-    Ids that repeat or are NULL are compared by their texts like any other; a
-    class without any id has the class id NULL.  An empty table gives an
-    empty table.
+    All that is written on the way is removed again.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    docs = stage(docs.select(F.col(id_col), F.col(text), F.monotonically_increasing_id().alias("_row")))
-    marks = stage(_marks(docs, "_row", text, p))
+    work = Scratch(docs.sparkSession)
+    marks = work.stage(_marks(docs, row, text, p))
     classes = marks.groupBy("set_key").agg(
-        F.min("_row").alias("first_id"),
+        F.min(row).alias("first_id"),
         F.count("*").alias("copies"),
         *[F.any_value(c).alias(c) for c in ("size", "signature", "prefixes")],
     )
-    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()))
-    clusters = components(_candidates(classes, p))
-    exact = stage(_exact(classes, docs, "_row", text, clusters, p))
-    roots = components(exact.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    classes = work.stage(classes.withColumn("node", F.monotonically_increasing_id()))
+    clusters = components(_candidates(classes, p), work.stage)
+    exact = work.stage(_exact(classes, docs, row, text, clusters, p, work))
+    roots = components(exact.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")), work.stage)
     links = exact.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     placed = (
         classes.select("set_key", "node", "copies")
@@ -253,8 +252,26 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p:
             (F.col("copies") - 1).alias("n_copies"),
         )
     )
-    rows = docs.select("_row", id_col).join(marks.select("_row", "set_key"), "_row", "left").join(placed, "set_key", "left")
-    rows = stage(rows.select(id_col, "_row", "root", "n_links", "n_copies"))
+    rows = stage(marks.select(row, "set_key").join(placed, "set_key").drop("set_key"))
+    work.remove()
+    return rows
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: Forest = Forest()) -> DataFrame:
+    """One row per document: ``id_col``, ``class_id``, ``n_links`` and ``n_copies``.
+
+    ``n_links`` counts the other documents whose n-gram sets have a Jaccard
+    similarity of at least ``threshold``; ``n_copies`` those among them with the
+    same set.  ``class_id`` is the smallest id reachable over links.  Texts of
+    fewer words than an n-gram have one n-gram of all words; texts without words
+    (NULL, empty) have no similarity to anything and are a class of their own.
+    Ids that repeat or are NULL are compared by their texts like any other; a
+    class without any id has the class id NULL.  An empty table gives an
+    empty table.
+    """
+    ship(docs.sparkSession)
+    docs = stage(docs.select(F.col(id_col), F.col(text), F.monotonically_increasing_id().alias("_row")))
+    rows = docs.select("_row", id_col).join(_placed(docs, "_row", text, p), "_row", "left")
     smallest = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(id_col).alias("class_id"))
     return rows.join(smallest, "root", "left").select(
         id_col,
@@ -267,6 +284,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p:
 def deduplicate(docs: DataFrame, text: str = "text", p: Forest = Forest()) -> DataFrame:
     """One document of each class, the first in the order of the input files."""
     row = "_document_row"
+    ship(docs.sparkSession)
     numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()))
-    kept = jaccard_join(numbered, row, text, p).where(F.col(row) == F.col("class_id")).select(row)
-    return numbered.join(kept, row, "left_semi").drop(row)
+    rows = _placed(numbered, row, text, p).select(row, "root")
+    first = rows.groupBy("root").agg(F.min(row).alias("_first"))
+    others = stage(rows.join(first, "root").where(F.col(row) > F.col("_first")).select(row))
+    return numbered.join(sized_broadcast(others), row, "left_anti").drop(row)
