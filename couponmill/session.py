@@ -77,3 +77,24 @@ def stage(df: DataFrame) -> DataFrame:
     folder = scratch_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+class Scratch:
+    """Frames written for one computation and removed together when it is done."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = scratch_folder(spark)
+        self._written = 0
+
+    def stage(self, df: DataFrame) -> DataFrame:
+        """Like :func:`stage`, into this scratch folder."""
+        self._written += 1
+        folder = f"{self.folder}/{self._written}"
+        df.write.parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def remove(self) -> None:
+        """Delete the folder; no frame staged here can be read afterwards."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

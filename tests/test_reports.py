@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from couponmill.plans import bucket, chart, export, merchant, rfm, trend
+from couponmill.plans import bucket, catalog, chart, export, merchant, rfm, trend
 from couponmill.plans.catalog import PARAMS
 from couponmill.sources import tpch
-from sqlcheck import compare
+from sqlcheck import compare, oracle
 
 
 @pytest.fixture(scope="module")
@@ -21,12 +21,13 @@ def events(spark, sf_dir):
 
 
 def test_both_sides_are_registered():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(oracle.queries())
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_sql(spark, sf_dir, con, name):
-    assert compare.difference(spark, sf_dir, con, entry.queries()[name], entry.oracle_sql()[name]) is None
+    assert compare.difference(spark, sf_dir, con, catalog.QUERIES[name], oracle.queries()[name]) is None
 
 
 def test_entry(spark):
