@@ -164,8 +164,8 @@ def codec(path: str) -> Codec:
 PART_BYTES = 1 << 20
 
 
-def _plus(df: DataFrame, out: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*[f for f in df.schema.fields if f.name != out], T.StructField(out, kind)])
+def _plus(df: DataFrame, names: list[str], **added: T.DataType) -> T.StructType:
+    return T.StructType([*[df.schema[c] for c in names], *[T.StructField(c, t) for c, t in added.items()]])
 
 
 def id_lists(rows: list[np.ndarray]) -> pa.Array:
@@ -175,23 +175,30 @@ def id_lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
 
 
-def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str = VOCABULARY) -> DataFrame:
+def encode(
+    df: DataFrame, text: str = "text", out: str = "ids", path: str = VOCABULARY, decoded: str | None = None
+) -> DataFrame:
     """Add ``out``, the token ids of the whole ``text``; a column of that name is replaced.
 
-    NULL and empty texts have no ids.  Equal rows give equal rows, an empty
-    table an empty one, and the other columns pass through.
+    With ``decoded``, also add the text that the ids decode to, made in the same
+    pass by the same worker.  NULL and empty texts have no ids.  Equal rows give
+    equal rows, an empty table an empty one, and the other columns pass through.
     """
     ship(df.sparkSession)
-    names = [c for c in df.columns if c != out]
+    names = [c for c in df.columns if c not in (out, decoded)]
+    added = {out: T.ArrayType(T.IntegerType()), **({decoded: T.StringType()} if decoded else {})}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = codec(path).encode
+        c = codec(path)
         for batch in batches:
             for part in slices(batch, text, PART_BYTES):
-                ids = id_lists([to_ids(x.as_py() or "") for x in part.column(text)])
-                yield pa.RecordBatch.from_arrays([*map(part.column, names), ids], [*names, out])
+                ids = [c.encode(x.as_py() or "") for x in part.column(text)]
+                made = [id_lists(ids)]
+                if decoded:
+                    made.append(pa.array([c.decode(i) for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*map(part.column, names), *made], [*names, *added])
 
-    return df.mapInArrow(run, _plus(df, out, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(run, _plus(df, names, **added))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str = VOCABULARY) -> DataFrame:
@@ -209,4 +216,4 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str = VO
                 yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(texts, pa.string())], [*names, out])
         pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, _plus(df, out, T.StringType()))
+    return df.mapInArrow(run, _plus(df, names, **{out: T.StringType()}))

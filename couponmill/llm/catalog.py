@@ -56,8 +56,8 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
-    return bpe.decode(tokens).select(
+    tokens = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
+    return tokens.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

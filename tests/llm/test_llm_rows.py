@@ -60,6 +60,7 @@ def test_bpe_of_odd_and_empty_tables(spark):
     df = brute.odd_documents(spark)
     rows = bpe.decode(bpe.encode(df)).collect()
     assert len(rows) == df.count() and all(r["decoded"] == (r["text"] or "") for r in rows)
+    assert [tuple(r) for r in bpe.encode(df, decoded="decoded").collect()] == [tuple(r) for r in rows]
     assert bpe.encode(df.limit(0)).count() == 0
 
 
