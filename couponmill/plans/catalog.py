@@ -120,7 +120,7 @@ def _merchant_rank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _merchants_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = tpch.events(spark, sf_dir)
-    above = merchant.merchants_above(f, 0.45, PARAMS.mix_min_received, PARAMS)
+    above = merchant.merchants_above(f, 0.39, PARAMS.mix_min_received, PARAMS)
     return (
         merchant.facts_of_merchants(f, above)
         .groupBy("merchant_id")

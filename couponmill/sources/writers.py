@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from couponmill.functions.sqltext import literal
 from couponmill.operators.star import Star
 
 log = logging.getLogger(__name__)
@@ -82,12 +83,12 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 def describe_tables(spark: SparkSession, pattern: str = "*") -> DataFrame:
     """Tables of the current database whose name matches ``pattern``."""
-    return spark.sql(f"SHOW TABLES LIKE '{pattern}'").select("tableName", "isTemporary")
+    return spark.sql(f"SHOW TABLES LIKE {literal(pattern)}").select("tableName", "isTemporary")
 
 
 def describe_table(spark: SparkSession, name: str) -> DataFrame:
     """Columns and types of one table."""
-    return spark.sql(f"DESCRIBE TABLE {name}").select("col_name", "data_type")
+    return spark.sql("DESCRIBE TABLE IDENTIFIER(:name)", {"name": name}).select("col_name", "data_type")
 
 
 def sample_rows(df: DataFrame, n: int = 10) -> DataFrame:

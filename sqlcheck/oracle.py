@@ -432,7 +432,7 @@ GROUP BY merchant_id, discount_type""",
 SELECT merchant_id, count(*) AS row_count, count(date_used) AS used_cnt FROM fact
 WHERE merchant_id IN (
   SELECT merchant_id FROM train GROUP BY merchant_id
-  HAVING count(date_received) >= 100 AND 100 * count(date_used) > 45 * count(date_received))
+  HAVING count(date_received) >= 100 AND 100 * count(date_used) > 39 * count(date_received))
 GROUP BY merchant_id""",
         "overall_stats": _with(FACT) + f"""
 SELECT '整体' AS scope, count(DISTINCT user_id) AS total_users, count(DISTINCT merchant_id) AS total_merchants,
