@@ -74,6 +74,24 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("row_count")).where("row_count > 1")
 
 
+def discount_overflow(df: DataFrame, c: str = "discount_rate", eq_rate: str = "discount_eq_rate") -> DataFrame:
+    """Parsed discounts that do not fit the declared decimals, with their row count.
+
+    Such an amount is NULL in its column; ``field`` says which one it was, so
+    that none disappears uncounted.
+    """
+    threshold = F.substring_index(c, ":", 1).try_cast("double")
+    fixed = F.col("discount_type") == "fixed"
+    rated = (F.col("discount_type") == "discount") | (fixed & (threshold > 0))
+    lost = {
+        "threshold": fixed & F.col("discount_man").isNull(),
+        "reduction": fixed & F.col("discount_jian").isNull(),
+        "rate": rated & F.col(eq_rate).isNull(),
+    }
+    fields = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in lost.items()]))
+    return df.select(F.explode(fields).alias("field")).groupBy("field").agg(F.count("*").alias("row_count"))
+
+
 def invalid_values(df: DataFrame, c: str = "discount_type", allowed: tuple[str, ...] = DISCOUNT_TYPES) -> DataFrame:
     """Values outside the declared list, with their row count."""
     return df.where(~F.col(c).isin(*allowed)).groupBy(c).agg(F.count("*").alias("row_count"))

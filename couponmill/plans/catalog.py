@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from couponmill.functions.cleaning import with_discount
 from couponmill.operators import ingest, integrity, ordering, star
 from couponmill.params import ReportParams
 from couponmill.plans import bucket, chart, export, merchant, rfm, summary, trend
@@ -128,6 +129,73 @@ def _merchants_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _coupon_mix_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coupon mix of the merchants left, with a floor and a minimum that some of them miss."""
+    dim, _ = _remaining(spark, sf_dir)["merchants"]
+    p = replace(PARAMS, mix_rate_floor=0.39, mix_min_received=490)
+    return portable(merchant.high_rate_coupon_mix(tpch.events(spark, sf_dir), p, dim))
+
+
+def _discount_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices as rates, order totals as thresholds: many exceed the declared decimals."""
+    lines, orders = (tpch.table(spark, sf_dir, n) for n in ("lineitem", "orders"))
+    text = """CASE l_linenumber % 3
+        WHEN 0 THEN cast(cast(l_extendedprice AS decimal(14,2)) AS string)
+        WHEN 1 THEN concat(cast(cast(o_totalprice * 1000 AS decimal(18,2)) AS string), ':5')
+        ELSE concat('100:', cast(cast(l_extendedprice AS decimal(14,2)) AS string))
+    END AS discount_rate"""
+    return integrity.discount_overflow(with_discount(lines.join(orders, F.expr("l_orderkey = o_orderkey")).selectExpr(text)))
+
+
+_LOADED = T.StructType([
+    T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType()),
+    T.StructField("c_acctbal", T.DoubleType()), T.StructField("c_mktsegment", T.StringType()),
+])
+
+
+def _bulk_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers through a quoted CSV; overdrawn ones have an empty name."""
+    name = F.when(F.col("c_acctbal") < 0, "").otherwise(F.col("c_name")).alias("c_name")
+    path = scratch_folder(spark)
+    writers.write_csv(tpch.table(spark, sf_dir, "customer").select("c_custkey", name, "c_acctbal", "c_mktsegment"), path)
+    return readers.load_table(spark, path, _LOADED)
+
+
+def _csv_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written in two parts, the second appended."""
+    customers = tpch.table(spark, sf_dir, "customer").select(*_LOADED.names)
+    path = scratch_folder(spark)
+    writers.write_csv(customers.where("c_acctbal < 0"), path)
+    writers.write_csv(customers.where("c_acctbal >= 0"), path, mode="append")
+    return readers.load_table(spark, path, _LOADED)
+
+
+def _rfm_tsv_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The RFM segments written as TSV and read back with their schema."""
+    segments = portable(rfm.rfm_segments(tpch.events(spark, sf_dir), PARAMS))
+    path = scratch_folder(spark)
+    writers.write_csv(segments, path, bom=False, sep="\t")
+    return readers.read_tsv(spark, path, segments.schema)
+
+
+def _sorted_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merchants written in key order and read back."""
+    path = scratch_folder(spark)
+    writers.write_sorted(tpch.dimensions(spark, sf_dir)["merchants"], "merchant_id", path)
+    return readers.read_fact(spark, path)
+
+
+def _sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of a sample of orders, counting only rows that the table has."""
+    orders = tpch.table(spark, sf_dir, "orders")
+    sample = writers.sample_rows(orders.select("o_orderkey"), 10)
+    return sample.join(orders, "o_orderkey", "left_semi").agg(F.count("*").alias("row_count"))
+
+
+def _growth_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portable(chart.growth_points(chart.monthly_chart(tpch.events(spark, sf_dir), PARAMS)))
+
+
 def _export_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.export_rfm(rfm.rfm_view(tpch.events(spark, sf_dir), PARAMS))
 
@@ -204,6 +272,16 @@ QUERIES: dict[str, Query] = {
     "merchant_rank_full": _over_events(merchant.merchant_rank_full),
     "merchant_rank_all": _merchant_rank_all,
     "high_rate_coupon_mix": _over_events(merchant.high_rate_coupon_mix),
+    "high_rate_coupon_mix_remaining": _coupon_mix_remaining,
+    "discount_overflow": _discount_overflow,
+    "bulk_load": _bulk_load,
+    "csv_append": _csv_append,
+    "rfm_tsv_segments": _rfm_tsv_segments,
+    "sorted_dimension": _sorted_dimension,
+    "sample_rows": _sample_rows,
+    "pruned_scan": lambda spark, sf_dir: readers.read_fact(spark, f"{sf_dir}/part.parquet", ["p_partkey", "p_type"]),
+    "growth_points": _growth_points,
+    "merchant_monthly": _over_events(trend.merchant_monthly),
     "merchants_above_semi_join": _merchants_above,
     "overall_stats": _over_events(merchant.overall_stats),
     "monthly_growth": _over_events(trend.monthly_growth),

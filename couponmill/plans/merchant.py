@@ -111,11 +111,14 @@ def facts_of_merchants(f: DataFrame, merchants: DataFrame) -> DataFrame:
     return keyed_join(f, pin(merchants), "merchant_id", "left_semi")
 
 
-def high_rate_coupon_mix(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
+def high_rate_coupon_mix(
+    f: DataFrame, p: ReportParams = DEFAULTS, merchants: DataFrame | None = None
+) -> DataFrame:
     """Coupon types of the merchants with a high redemption rate, over all sources.
 
     One pass: every merchant and type is counted once for the rate and once for
     the mix; the rate test then runs over the few type rows of each merchant.
+    With ``merchants``, only those of the dimension are reported.
     """
     training = F.col("source").isin(*p.training_sources)
     coupon = F.col("coupon_id").isNotNull()
@@ -126,6 +129,8 @@ def high_rate_coupon_mix(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
         mean_of("discount_eq_rate", 4, coupon).alias("avg_eq_discount"),
         cond_count(coupon & is_used()).alias("used_cnt"),
     )
+    if merchants is not None:
+        by_type = by_type.join(merchants.select("merchant_id"), "merchant_id", "left_semi")
     merchant = Window.partitionBy("merchant_id")
     received, used = F.sum("_received").over(merchant), F.sum("_used").over(merchant)
     return (

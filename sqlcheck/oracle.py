@@ -342,6 +342,17 @@ _ACTIVE = "SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0"
 
 
 def queries() -> dict[str, str]:
+    sql = _reports()
+    # Reports built on others: without the cut, the months that have a previous one, and the same rows through a file.
+    return {
+        **sql,
+        "merchant_monthly": sql["merchant_monthly_growth"].removesuffix("ORDER BY merchant_id, ym LIMIT 100"),
+        "growth_points": f"SELECT * FROM ({sql['monthly_chart']}) WHERE mom_pct IS NOT NULL",
+        "rfm_tsv_segments": sql["rfm_segments"],
+    }
+
+
+def _reports() -> dict[str, str]:
     return {
         # Raw logs, star schema and integrity
         "raw_ingest": _with(FACT) + f"""
@@ -428,6 +439,30 @@ WHERE coupon_id IS NOT NULL AND merchant_id IN (
   SELECT merchant_id FROM train GROUP BY merchant_id
   HAVING count(date_received) >= 100 AND 10 * count(date_used) > 3 * count(date_received))
 GROUP BY merchant_id, discount_type""",
+        "high_rate_coupon_mix_remaining": _with(FACT) + f"""
+SELECT merchant_id, discount_type, count(*) AS txn_count, {MEAN_EQ} AS avg_eq_discount, count(date_used) AS used_cnt
+FROM fact JOIN supplier ON merchant_id = s_suppkey AND s_acctbal >= 0
+WHERE coupon_id IS NOT NULL AND merchant_id IN (
+  SELECT merchant_id FROM train GROUP BY merchant_id
+  HAVING count(date_received) >= 490 AND 100 * count(date_used) > 39 * count(date_received))
+GROUP BY merchant_id, discount_type""",
+        # Limits of DECIMAL(10,2) and DECIMAL(6,4) in cents: a text's value over 100, and 1 less than a price over 100.
+        "discount_overflow": """
+WITH cents AS (
+  SELECT l_linenumber % 3 AS kind, CAST(round(l_extendedprice * 100) AS BIGINT) AS price,
+    CAST(round(o_totalprice * 100) AS BIGINT) AS total
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+)
+SELECT CASE kind WHEN 1 THEN 'threshold' ELSE 'rate' END AS field, count(*) AS row_count FROM cents
+WHERE (kind = 0 AND price >= 1000000) OR (kind = 1 AND total >= 10000000) OR (kind = 2 AND price >= 1010000)
+GROUP BY 1""",
+        "bulk_load": """
+SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CASE WHEN NOT c_acctbal < 0 THEN c_name END AS c_name, c_acctbal, c_mktsegment
+FROM customer""",
+        "csv_append": "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, c_acctbal, c_mktsegment FROM customer",
+        "sorted_dimension": "SELECT CAST(s_suppkey AS BIGINT) AS merchant_id FROM supplier",
+        "sample_rows": "SELECT least(count(*), 10) AS row_count FROM orders",
+        "pruned_scan": "SELECT p_partkey, p_type FROM part",
         "merchants_above_semi_join": _with(FACT) + """
 SELECT merchant_id, count(*) AS row_count, count(date_used) AS used_cnt FROM fact
 WHERE merchant_id IN (

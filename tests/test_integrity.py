@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from couponmill.functions.cleaning import with_discount
 from couponmill.operators import integrity as g
-from couponmill.operators.keyed import keyed_join
+from couponmill.operators.keyed import hot_keys, keyed_join
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +69,40 @@ def test_duplicates_and_invalid_values(spark):
     df = spark.createDataFrame([(1, "fixed"), (1, "odd"), (2, None)], "k int, discount_type string")
     assert [tuple(r) for r in g.duplicate_keys(df, ["k"]).collect()] == [(1, 2)]
     assert [tuple(r) for r in g.invalid_values(df).collect()] == [("odd", 1)]
+
+
+def test_hot_keys_are_those_above_an_even_share(spark, fact, dim):
+    assert hot_keys(fact, "k", 8) == [1]
+    assert hot_keys(fact.where("k IS NULL"), "k", 8) == []
+
+
+def test_hot_key_is_spread_over_many_tasks(spark):
+    """A third of the rows holds one key, all rows of it being copies."""
+    rows = spark.range(3000, numPartitions=6).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    f = rows.withColumn("v", F.when(F.col("k") > 0, F.rand(5)).otherwise(0.0))
+    known = spark.range(3000).withColumnRenamed("id", "k")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        joined = keyed_join(f, known, "k", "left_semi", 0)
+        sizes = [r[0] for r in joined.where("k = 0").groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(sizes) == 1000 and max(sizes) <= 600
+
+
+def test_overflowing_discounts_are_counted(spark):
+    texts = ["15000", "0.01:200", "99999999999:1", "5:99999999999", "-5:1", "0:5", "0.8", "100:10", "x", "", None]
+    df = with_discount(spark.createDataFrame([(t,) for t in texts], "discount_rate string"))
+    got = {r.field: r.row_count for r in g.discount_overflow(df).collect()}
+    assert got == {"rate": 3, "threshold": 1, "reduction": 1}
+    assert g.discount_overflow(df.limit(0)).count() == 0
+
+
+def test_ties_of_the_equivalent_rate_are_exact(spark):
+    """153 / 160 is 0.95625 exactly and 151 / 160 is 0.94375: half to even."""
+    df = with_discount(spark.createDataFrame([("160:7",), ("160:9",)], "discount_rate string"))
+    assert [str(r.discount_eq_rate) for r in df.orderBy("discount_rate").collect()] == ["0.9562", "0.9438"]
