@@ -40,8 +40,8 @@ def in_blocks(members: DataFrame, group: str, chunks: str, carry: list[str]) ->
     )
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """One table for each run of equal integer keys in sorted batches."""
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal integer keys in sorted batches, and the rows where runs begin."""
     rest = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -55,11 +55,27 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
             value = table.column(key).to_numpy()
             change[1:] |= value[1:] != value[:-1]
         starts = np.flatnonzero(change)
-        for a, b in zip(starts[:-1], starts[1:]):
-            yield table.slice(a, b - a)
         rest = table.slice(starts[-1])
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]), starts[:-1]
     if rest is not None and rest.num_rows:
-        yield rest
+        yield rest, np.zeros(1, np.int64)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """One table for each run of equal integer keys in sorted batches."""
+    for table, starts in whole_runs(batches, keys):
+        for a, b in zip(starts, np.append(starts[1:], table.num_rows)):
+            yield table.slice(a, b - a)
+
+
+def pairs_within(starts: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of all pairs inside the runs that begin at ``starts``."""
+    ends = np.append(starts[1:], rows)
+    count = np.repeat(ends, ends - starts) - np.arange(rows) - 1
+    a = np.repeat(np.arange(rows), count)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + a + 1
+    return a, b
 
 
 def sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

@@ -10,16 +10,17 @@ threshold are left out, and only the others are computed exactly.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from couponmill.llm.blocks import LINK_SCHEMA, forest, in_blocks, runs, sides
+from couponmill.llm.blocks import LINK_SCHEMA, forest, in_blocks, pairs_within, sides, whole_runs
 from couponmill.llm.components import components
 from couponmill.llm.shipping import ship
 from couponmill.llm.words import mix
@@ -47,6 +48,12 @@ class Codes:
         return math.ceil(math.log(1 - self.recall) / math.log1p(-same))
 
 
+# Blocks up to this many rows are compared together, to share the cost of a call.
+SMALL_BLOCK = 64
+# Numbers held at a time for the pairs of small blocks.
+PAIR_NUMBERS = 4_000_000
+
+
 @lru_cache(maxsize=16)
 def rotations(dim: int, count: int, seed: int) -> np.ndarray:
     """``count`` random rotations side by side, dim x (count * dim)."""
@@ -58,16 +65,20 @@ def rotations(dim: int, count: int, seed: int) -> np.ndarray:
     return np.concatenate(parts, axis=1)
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one, without overflow."""
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
+
+
 def code(x: np.ndarray, bits: int, tables: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of all tables, rotated unit vectors and correction factors of rows of equal length.
 
     The correction factor is the inner product of the unit vector with its code.
     """
     dim = x.shape[1]
-    unit = x / np.abs(x).max(axis=1, keepdims=True)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     count = max(1, -(-bits * tables // dim))
-    turned = unit @ rotations(dim, count, seed)
+    turned = units(x) @ rotations(dim, count, seed)
     signs = (turned > 0)[:, : bits * tables].reshape(len(x), tables, bits)
     number = signs.astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
     # Tables, and vectors of different lengths, have keys of their own.
@@ -77,12 +88,71 @@ def code(x: np.ndarray, bits: int, tables: int, seed: int) -> tuple[np.ndarray,
     return keys.astype(np.int64), first, np.abs(first).sum(axis=1) / math.sqrt(dim)
 
 
+def _bound(product: np.ndarray, factor: np.ndarray, dim: int, confidence: float) -> np.ndarray:
+    """Upper bounds from inner products of codes with rotated vectors."""
+    error = np.sqrt(np.maximum(1 - factor**2, 0)) / factor / math.sqrt(max(dim - 1, 1))
+    return product / math.sqrt(dim) / factor + confidence * error
+
+
 def upper_bounds(first: np.ndarray, factor: np.ndarray, other: np.ndarray, confidence: float) -> np.ndarray:
     """Upper confidence bounds of the cosines of coded rows with other rotated vectors."""
-    dim = first.shape[1]
-    estimate = (np.where(first > 0, 1.0, -1.0) @ other.T) / math.sqrt(dim) / factor[:, None]
-    error = np.sqrt(np.maximum(1 - factor**2, 0)) / factor / math.sqrt(max(dim - 1, 1))
-    return estimate + confidence * error[:, None]
+    return _bound(np.where(first > 0, 1.0, -1.0) @ other.T, factor[:, None], first.shape[1], confidence)
+
+
+def _slices(pairs: int, width: int) -> Iterator[slice]:
+    """Parts of so many pairs that rows of ``width`` numbers fit in memory."""
+    step = max(1, PAIR_NUMBERS // max(width, 1))
+    return (slice(i, i + step) for i in range(0, pairs, step))
+
+
+def _by_slices(pairs: int, width: int, f: Callable[[slice], np.ndarray]) -> np.ndarray:
+    """``f`` of all pairs, a part at a time."""
+    return np.concatenate([np.zeros(0, bool), *map(f, _slices(pairs, width))])
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """A large block by itself or small ones together: vectors of one length, and the rows where blocks begin."""
+    for table, starts in whole_runs(batches, ["bucket", "lo", "hi"]):
+        ends = np.append(starts[1:], table.num_rows)
+        lo, hi = table.column("lo").to_numpy()[starts], table.column("hi").to_numpy()[starts]
+        alone = (ends - starts > SMALL_BLOCK) | (lo != hi)
+        dim = pc.list_value_length(table.column("v")).to_numpy()[starts]
+        new = np.ones(len(starts), bool)
+        new[1:] = alone[1:] | alone[:-1] | (dim[1:] != dim[:-1])
+        at = np.append(np.flatnonzero(new), len(starts))
+        for i, j in zip(at[:-1], at[1:]):
+            yield table.slice(starts[i], ends[j - 1] - starts[i]), starts[i:j] - starts[i]
+
+
+def _likely_pairs(block: pa.Table, starts: np.ndarray, x: np.ndarray, p: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs whose bound reaches the threshold."""
+    dim = x.shape[1]
+    _, first, factor = code(x, 1, 1, p.seed)
+    if len(starts) == 1:
+        low, high = sides(block)
+        bound = upper_bounds(first[low], factor[low], first[high], p.confidence)
+        if low is high:
+            bound[np.tril_indices(len(low))] = -1
+        a, b = np.nonzero(bound >= p.threshold)
+        return low[a], high[b]
+    signs = np.where(first > 0, 1.0, -1.0)
+    a, b = pairs_within(starts, len(x))
+
+    def likely(part: slice) -> np.ndarray:
+        product = np.einsum("ij,ij->i", signs[a[part]], first[b[part]])
+        return _bound(product, factor[a[part]], dim, p.confidence) >= p.threshold
+
+    some = _by_slices(len(a), dim, likely)
+    return a[some], b[some]
+
+
+def _first_meeting(keys: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """True for the pairs that share no key in a table before ``table``, that of their block."""
+    number = np.arange(keys.shape[1])
+    return _by_slices(
+        len(a), keys.shape[1],
+        lambda part: ~((keys[a[part]] == keys[b[part]]) & (number < table[a[part], None])).any(axis=1),
+    )
 
 
 def _matrix(column) -> list[np.ndarray]:
@@ -108,7 +178,9 @@ def cosine_links(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
     gives an empty table.
     """
     ship(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col), F.col(vector).cast("array<double>").alias("_v"))
+    # Single-precision vectors travel as they are; products are in double precision.
+    kind = "array<float>" if dict(vectors.dtypes)[vector] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col), F.col(vector).cast(kind).alias("_v"))
     rows = rows.withColumn("_v", F.when(_usable("_v"), F.col("_v")))
     classes = rows.where("_v IS NOT NULL").groupBy("_v").agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies"))
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()))
@@ -129,7 +201,7 @@ def cosine_links(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
             )
 
     coded = stage(
-        classes.select("node", "copies", "_v").mapInArrow(to_keys, "node long, copies long, v array<double>, keys array<long>")
+        classes.select("node", "copies", "_v").mapInArrow(to_keys, f"node long, copies long, v {kind}, keys array<long>")
     )
     keyed = coded.select("node", F.explode("keys").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
@@ -137,23 +209,24 @@ def cosine_links(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
     members = keyed.join(shared, "bucket").select("node", "bucket", chunks.alias("_chunks")).join(coded, "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in runs(batches, ["bucket", "lo", "hi"]):
+        for block, starts in _portions(batches):
             nodes, copies = block.column("node").to_numpy(), block.column("copies").to_numpy()
+            buckets = block.column("bucket").to_numpy()
             x = np.stack(_matrix(block.column("v")))
-            keys, first, factor = code(x, bits, tables, p.seed)
-            low, high = sides(block)
-            bound = upper_bounds(first[low], factor[low], first[high], p.confidence)
-            if low is high:
-                bound[np.tril_indices(len(low))] = -1
-            a, b = np.nonzero(bound >= p.threshold)
-            a, b = low[a], high[b]
+            a, b = _likely_pairs(block, starts, x, p)
+            unit = units(x)
+            near = _by_slices(
+                len(a), x.shape[1], lambda part: np.einsum("ij,ij->i", unit[a[part]], unit[b[part]]) >= p.threshold
+            )
+            if not near.any():
+                continue
+            a, b = a[near], b[near]
             # A pair belongs to the first table in which it meets.
-            table = int(np.argmax(keys[0] == block.column("bucket")[0].as_py()))
-            new = ~(keys[a, :table] == keys[b, :table]).any(axis=1)
+            used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            keys = code(x[used], bits, tables, p.seed)[0]
+            table = np.argmax(keys == buckets[used, None], axis=1)
+            new = _first_meeting(keys, table, at[: len(a)], at[len(a) :])
             a, b = a[new], b[new]
-            unit = x / np.abs(x).max(axis=1, keepdims=True)
-            cosine = np.einsum("ij,ij->i", unit[a], unit[b]) / (np.linalg.norm(unit[a], axis=1) * np.linalg.norm(unit[b], axis=1))
-            a, b = a[cosine >= p.threshold], b[cosine >= p.threshold]
             links = np.zeros(len(nodes), np.int64)
             np.add.at(links, a, copies[b])
             np.add.at(links, b, copies[a])
