@@ -10,73 +10,85 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from couponmill.operators.star import Star, build_star
+from couponmill.operators.ingest import build_fact
+from couponmill.operators.star import Star, star_of
 from couponmill.params import ReportParams
 from couponmill.plans import bucket, chart, export, merchant, rfm, summary, trend
-from couponmill.session import build_session, stage
+from couponmill.session import Scratch, build_session, stage
 from couponmill.sources import readers, writers
 
 
 def build(spark: SparkSession, online: str, offline: str, test: str, folder: str) -> Star:
-    """Clean the raw logs into a star schema under ``folder``."""
+    """Clean the raw logs into a star schema under ``folder``.
+
+    The fact is written first and the dimensions come from the written fact;
+    the numbered copy of the logs made on the way is removed.
+    """
     paths = {"online": online, "offline": offline, "offline_test": test}
-    star = build_star(*(readers.read_raw(spark, path, kind) for kind, path in paths.items()))
-    writers.save_star(star, folder)
+    work = Scratch(spark)
+    fact = build_fact(*(readers.read_raw(spark, path, kind) for kind, path in paths.items()), put=work.stage)
+    writers.save_fact(fact, folder)
+    work.remove()
+    writers.save_dimensions(star_of(writers.load_fact(spark, folder)), folder)
     return writers.load_star(spark, folder)
 
 
 def load(star: Star, p: ReportParams) -> dict[str, int]:
-    """Replace the four tables, dimensions first, and the summary tables."""
+    """Replace the four tables, dimensions first, then the RFM view and the summary tables."""
     rows = {name: writers.replace_table(df, name) for name, df in star.tables().items()}
+    rfm.register_rfm_view(star.transactions, p=p)
     return {**rows, **summary.build_summaries(star.transactions, p)}
 
 
 def all_reports(star: Star, p: ReportParams) -> dict[str, Callable[[], DataFrame]]:
-    """Every report by name; a summary that is stored as a table is read from there.
+    """Every report by name; a summary stored as a table with the same parameters is read from there.
 
-    Merchant counts, user inputs and scores, and the label cube are computed
-    once and shared.
+    Merchant counts, months, user inputs and scores, and the label cube are
+    computed once, when first needed, and shared.
     """
     f, merchants, spark = star.transactions, star.merchants, star.transactions.sparkSession
-    shared = summary.shared(f, p)
-    counts, inputs = shared["summary_merchant_usage"]["counts"], shared["summary_rfm_scores"]["inputs"]
-    cube = shared["summary_coupon_type"]["cube"]
-    scored = rfm.rfm_scored(inputs)
+    shared, mark = summary.shared(f, p), summary.parameter_mark(p)
+    counts = lambda: shared["summary_merchant_usage"]()["counts"]
+    monthly = lambda: shared["summary_monthly_trend"]()["monthly"]
+    inputs = lambda: shared["summary_rfm_scores"]()["inputs"]
+    cube = lambda: shared["summary_coupon_type"]()["cube"]
+    scored = cache(lambda: rfm.rfm_scored(inputs()))
 
     def stored(name: str) -> Callable[[], DataFrame]:
-        compute = lambda: summary.SUMMARIES[name](f, p, **shared.get(name, {}))
-        return lambda: readers.summary_or_compute(spark, name, compute)
+        compute = lambda: summary.SUMMARIES[name](f, p, **shared[name]())
+        return lambda: readers.summary_or_compute(spark, name, compute, mark)
 
     return {
         "table_counts": lambda: writers.table_counts(star.tables()),
         "overall_stats": lambda: merchant.overall_stats(f, p),
-        "merchant_usage": lambda: merchant.merchant_usage(merchants, f, p=p, counts=counts),
-        "merchant_rank": lambda: merchant.merchant_rank(merchants, f, p, counts),
-        "merchant_rank_full": lambda: merchant.merchant_rank_full(f, p, counts),
+        "merchant_usage": lambda: merchant.merchant_usage(merchants, f, p=p, counts=counts()),
+        "merchant_rank": lambda: merchant.merchant_rank(merchants, f, p, counts()),
+        "merchant_rank_full": lambda: merchant.merchant_rank_full(f, p, counts()),
         "high_rate_coupon_mix": lambda: merchant.high_rate_coupon_mix(f, p),
-        "monthly_growth": lambda: trend.monthly_growth(f, p),
+        "monthly_growth": lambda: trend.monthly_growth(f, p, monthly()),
         "merchant_monthly_growth": lambda: trend.merchant_monthly_growth(f, p),
         "daily_moving_avg": lambda: trend.daily_moving_avg(f, p),
         "month_first_last": lambda: trend.month_first_last(f),
-        "monthly_trend": lambda: trend.monthly_trend(f, p),
+        "monthly_trend": lambda: trend.monthly_trend(f, p, monthly()),
         "weekly_growth": lambda: trend.weekly_growth(f, p),
         "day_type_usage": lambda: trend.day_type_usage(f, p),
-        "coupon_type": lambda: bucket.coupon_type(f, p, cube),
-        "threshold_usage": lambda: bucket.threshold_usage(f, p, cube),
-        "distance_usage": lambda: bucket.distance_usage(f, p, cube),
-        "gap_distribution": lambda: bucket.gap_distribution(f, p, cube),
+        "coupon_type": lambda: bucket.coupon_type(f, p, cube()),
+        "threshold_usage": lambda: bucket.threshold_usage(f, p, cube()),
+        "distance_usage": lambda: bucket.distance_usage(f, p, cube()),
+        "gap_distribution": lambda: bucket.gap_distribution(f, p, cube()),
         **{name: stored(name) for name in summary.SUMMARIES},
-        "rfm_users": lambda: rfm.rfm_users(f, p, scored),
-        "rfm_segments": lambda: rfm.rfm_segments(f, p, scored),
-        "rfm_qcut": lambda: rfm.rfm_qcut(f, p, inputs=inputs),
-        "rfm_qcut_segments": lambda: rfm.rfm_qcut_segments(f, p, inputs=inputs),
-        "top_merchants_chart": lambda: chart.top_merchants_chart(f, p, counts),
-        "rfm_distribution_chart": lambda: chart.rfm_distribution_chart(f, p, inputs=inputs),
+        "rfm_users": lambda: rfm.rfm_users(f, p, scored()),
+        "rfm_segments": lambda: rfm.rfm_segments(f, p, scored()),
+        "rfm_qcut": lambda: rfm.rfm_qcut(f, p, inputs=inputs()),
+        "rfm_qcut_segments": lambda: rfm.rfm_qcut_segments(f, p, inputs=inputs()),
+        "top_merchants_chart": lambda: chart.top_merchants_chart(f, p, counts()),
+        "rfm_distribution_chart": lambda: chart.rfm_distribution_chart(f, p, inputs=inputs()),
         "monthly_chart": lambda: chart.monthly_chart(f, p),
-        "coupon_type_chart": lambda: chart.coupon_type_chart(f, p, cube),
+        "coupon_type_chart": lambda: chart.coupon_type_chart(f, p, cube()),
         "kpi_overview": lambda: export.kpi_overview(f, p),
     }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -68,14 +69,16 @@ def union_sources(online: DataFrame, offline: DataFrame, test: DataFrame) -> Dat
     return reduce(DataFrame.unionByName, logs)
 
 
-def with_input_ids(logs: DataFrame, name: str = "transaction_id") -> DataFrame:
+def with_input_ids(
+    logs: DataFrame, name: str = "transaction_id", put: Callable[[DataFrame], DataFrame] = stage
+) -> DataFrame:
     """Consecutive 1..N in input order: source, then file, then line.
 
     ``logs`` carries the position columns of ``read_raw(position=True)`` and is
-    staged here, so the ids stay the same for every later job.  Rows are not
+    written by ``put``, so the ids stay the same for every later job.  Rows are not
     moved: each file block gets an offset and its rows count on from it.
     """
-    placed = stage(logs)
+    placed = put(logs)
     block = ["_source_rank", "_file", "_block"]
     before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     # One row per file block read.
@@ -92,6 +95,8 @@ def canonical_fact(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(field.name).cast(field.dataType).alias(field.name) for field in TRANSACTIONS])
 
 
-def build_fact(online: DataFrame, offline: DataFrame, test: DataFrame) -> DataFrame:
+def build_fact(
+    online: DataFrame, offline: DataFrame, test: DataFrame, put: Callable[[DataFrame], DataFrame] = stage
+) -> DataFrame:
     """The transactions fact from the three raw logs."""
-    return canonical_fact(with_discount(with_input_ids(union_sources(online, offline, test))))
+    return canonical_fact(with_discount(with_input_ids(union_sources(online, offline, test), put=put)))

@@ -23,38 +23,27 @@ def orphans(f: DataFrame, dim: DataFrame, key: str) -> DataFrame:
 def orphan_report(f: DataFrame, dims: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Per dimension: distinct missing keys and the fact rows that carry them.
 
-    ``dims`` maps a table name to (dimension, key).  All keys are counted in
-    one pass over the fact.
+    ``dims`` maps a table name to (dimension, key).  Each key is counted by
+    itself in its own type, so a scan reads one column and its shuffle holds
+    one row per key and task.
     """
-    pairs = F.explode(
-        F.array(*[
-            F.struct(F.lit(name).alias("dimension"), F.col(key).cast("string").alias("key"))
-            for name, (_, key) in dims.items()
-        ])
-    )
-    counted = (
-        f.select(pairs.alias("_p"))
-        .select("_p.dimension", "_p.key")
-        .where(F.col("key").isNotNull())
-        .groupBy("dimension", "key")
-        .agg(F.count("*").alias("row_count"))
-    )
-    known = reduce(
-        DataFrame.unionByName,
-        [
-            dim.select(F.lit(name).alias("dimension"), F.col(key).cast("string").alias("key")).distinct()
-            for name, (dim, key) in dims.items()
-        ],
-    )
+    return reduce(
+        DataFrame.unionByName, [_orphan_totals(f, dim, key, name) for name, (dim, key) in dims.items()]
+    ).orderBy("dimension")
+
+
+def _orphan_totals(f: DataFrame, dim: DataFrame, key: str, name: str) -> DataFrame:
+    counted = f.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("row_count"))
+    known = dim.select(key, F.lit(True).alias("known")).distinct()
+    missing = F.col("known").isNull()
     return (
-        counted.join(known.withColumn("known", F.lit(True)), ["dimension", "key"], "left")
-        .groupBy("dimension")
+        counted.join(known, key, "left")
+        .groupBy(F.lit(name).alias("dimension"))
         .agg(
-            F.count("key").alias("key_count"),
-            F.count_if(F.col("known").isNull()).alias("missing_keys"),
-            F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("row_count"))), F.lit(0)).alias("orphan_rows"),
+            F.count(key).alias("key_count"),
+            F.count_if(missing).alias("missing_keys"),
+            F.coalesce(F.sum(F.when(missing, F.col("row_count"))), F.lit(0)).alias("orphan_rows"),
         )
-        .orderBy("dimension")
     )
 
 

@@ -223,7 +223,8 @@ def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def rank_all(df: DataFrame, by: str, tie: list[str]) -> DataFrame:
     """``row_num``, ``rank_num``, ``dense_rnk`` and ``pct_rank`` (0-100) over all rows."""
     column = by.lstrip("-")
-    numbered = stage(with_row_id(df, [by, *tie], "row_num"))
+    # Staged by with_row_id already.
+    numbered = with_row_id(df, [by, *tie], "row_num")
     total = numbered.count()
     # The first row number of each value is its rank; the values themselves are few.
     firsts = numbered.groupBy(column).agg(F.min("row_num").alias("rank_num"))

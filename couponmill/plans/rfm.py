@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from couponmill.functions.derive import is_used, recency, rfm_combine, rfm_segment, rfm_sub_segment
 from couponmill.functions.measures import mean_of
+from couponmill.functions.sqltext import identifier
 from couponmill.operators.filters import having, train_only
 from couponmill.operators.ordering import ntile_columns, quantile_bin, quantile_edges
 from couponmill.operators.windows import share
 from couponmill.params import RFM_FALLBACK_SCORE, RFM_TILES, ReportParams
 from couponmill.session import stage
+from couponmill.sources.writers import materialize
 
 DEFAULTS = ReportParams()
 
@@ -107,10 +109,16 @@ def rfm_view(f: DataFrame, p: ReportParams = DEFAULTS, scored: DataFrame | None
 
 
 def register_rfm_view(f: DataFrame, name: str = "v_user_rfm", p: ReportParams = DEFAULTS) -> DataFrame:
-    """Create or replace the RFM view."""
-    view = rfm_view(f, p)
-    view.createOrReplaceTempView(name)
-    return view
+    """Create or replace the RFM view, over a table of its rows.
+
+    The tiles are found without a global task, which a view's SQL could not do,
+    so the rows are stored and no scratch file is needed later.  The view shows the
+    fact as it was at the last call; loading the tables calls it.
+    """
+    rows = f"{name}_rows"
+    materialize(rfm_view(f, p), rows)
+    f.sparkSession.sql(f"CREATE OR REPLACE VIEW {identifier(name)} AS SELECT * FROM {identifier(rows)}")
+    return f.sparkSession.table(name)
 
 
 def rfm_qcut(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from couponmill.params import ReportParams
 from couponmill.plans.bucket import coupon_type, gap_counts, plain_threshold_usage, usage_cube
 from couponmill.plans.merchant import merchant_counts
 from couponmill.plans.rfm import rfm_inputs
-from couponmill.plans.trend import monthly_counts
+from couponmill.plans.trend import monthly_counts, monthly_measures
 from couponmill.session import pin, stage
 from couponmill.sources.writers import materialize, replace_table
 
@@ -32,9 +34,9 @@ def summary_merchant_usage(f: DataFrame, p: ReportParams = DEFAULTS, counts: Dat
     )
 
 
-def summary_monthly_trend(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
+def summary_monthly_trend(f: DataFrame, p: ReportParams = DEFAULTS, monthly: DataFrame | None = None) -> DataFrame:
     """Uses, users and merchants per month of the window."""
-    return monthly_counts(f, p).orderBy("ym")
+    return monthly_counts(f, p, monthly).orderBy("ym")
 
 
 def summary_coupon_type(f: DataFrame, p: ReportParams = DEFAULTS, cube: DataFrame | None = None) -> DataFrame:
@@ -70,17 +72,24 @@ SUMMARIES: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def shared(f: DataFrame, p: ReportParams = DEFAULTS) -> dict[str, dict[str, DataFrame]]:
-    """The stored aggregates each summary starts from, by summary name.
+def parameter_mark(p: ReportParams) -> str:
+    """The same text for equal parameters only."""
+    return hashlib.sha256(repr(p).encode()).hexdigest()
 
-    The cube, the merchant counts and the user inputs are each computed once,
-    so all summaries together read the fact four times.
+
+def shared(f: DataFrame, p: ReportParams = DEFAULTS) -> dict[str, Callable[[], dict[str, DataFrame]]]:
+    """What gives the stored aggregates each summary starts from, by summary name.
+
+    The cube, the merchant counts, the user inputs and the months are each
+    computed when first asked for and then kept, so all summaries together read the
+    fact four times, and a summary that is not asked for costs nothing.
     """
-    cube = {"cube": pin(usage_cube(f, p))}
+    cube = cache(lambda: {"cube": pin(usage_cube(f, p))})
     return {
-        "summary_merchant_usage": {"counts": stage(merchant_counts(f, p))},
+        "summary_merchant_usage": cache(lambda: {"counts": stage(merchant_counts(f, p))}),
+        "summary_monthly_trend": cache(lambda: {"monthly": pin(monthly_measures(f, p))}),
         "summary_coupon_type": cube,
-        "summary_rfm_scores": {"inputs": stage(rfm_inputs(f, p))},
+        "summary_rfm_scores": cache(lambda: {"inputs": stage(rfm_inputs(f, p))}),
         "summary_threshold_bucket": cube,
         "summary_gap_analysis": cube,
     }
@@ -88,10 +97,10 @@ def shared(f: DataFrame, p: ReportParams = DEFAULTS) -> dict[str, dict[str, Data
 
 def build_summaries(f: DataFrame, p: ReportParams = DEFAULTS) -> dict[str, int]:
     """Write all summary tables; returns the rows of each."""
-    given = shared(f, p)
-    return {name: replace_table(fn(f, p, **given.get(name, {})), name) for name, fn in SUMMARIES.items()}
+    given, mark = shared(f, p), parameter_mark(p)
+    return {name: replace_table(fn(f, p, **given[name]()), name, mark=mark) for name, fn in SUMMARIES.items()}
 
 
 def materialize_summary(f: DataFrame, name: str, p: ReportParams = DEFAULTS) -> DataFrame:
     """Write one summary table and read it back."""
-    return materialize(SUMMARIES[name](f, p), name)
+    return materialize(SUMMARIES[name](f, p), name, parameter_mark(p))

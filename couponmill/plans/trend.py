@@ -24,20 +24,31 @@ def used_rows(f: DataFrame, p: ReportParams = DEFAULTS, windowed: bool = True) -
     return in_window(rows, "date_used", p.window_start, p.window_end) if windowed else rows
 
 
-def monthly_counts(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
-    """Uses, users and merchants per month."""
+def monthly_measures(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
+    """Uses, users, merchants and mean discounts per month.
+
+    All monthly reports of the window can start from one stored copy.
+    """
     users, merchants = uniques("user_id", "merchant_id")
     return used_rows(f, p).groupBy(ym("date_used").alias("ym")).agg(
         F.count("*").alias("used_count"),
         users.alias("unique_users"),
         merchants.alias("unique_merchants"),
+        mean_of("discount_eq_rate", 4).alias("avg_discount_rate"),
+        mean_of("discount_man", 2, F.col("discount_type") == "fixed").alias("avg_fixed_threshold"),
     )
 
 
-def monthly_growth(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
+def monthly_counts(f: DataFrame, p: ReportParams = DEFAULTS, monthly: DataFrame | None = None) -> DataFrame:
+    """Uses, users and merchants per month."""
+    measures = monthly_measures(f, p) if monthly is None else monthly
+    return measures.select("ym", "used_count", "unique_users", "unique_merchants")
+
+
+def monthly_growth(f: DataFrame, p: ReportParams = DEFAULTS, monthly: DataFrame | None = None) -> DataFrame:
     """Monthly uses with previous and next month, growth and running total."""
     out = growth(
-        monthly_counts(f, p),
+        monthly_counts(f, p, monthly),
         "used_count",
         "ym",
         previous="prev_month_used",
@@ -87,22 +98,13 @@ def month_first_last(f: DataFrame) -> DataFrame:
     return period_ends(daily, "daily_count", "ym", "date_used").orderBy("ym")
 
 
-def monthly_trend(f: DataFrame, p: ReportParams = DEFAULTS) -> DataFrame:
+def monthly_trend(f: DataFrame, p: ReportParams = DEFAULTS, monthly: DataFrame | None = None) -> DataFrame:
     """Monthly uses, users, merchants, uses per user and mean discounts."""
-    users, merchants = uniques("user_id", "merchant_id")
-    day = F.col("date_used")
+    first_day = F.to_date("ym", "yyyy-MM")
     return (
-        used_rows(f, p)
-        .groupBy(ym(day).alias("ym"), F.year(day).alias("year_num"), F.month(day).alias("month_num"))
-        .agg(
-            F.count("*").alias("used_count"),
-            users.alias("unique_users"),
-            merchants.alias("unique_merchants"),
-            mean_of("discount_eq_rate", 4).alias("avg_discount_rate"),
-            mean_of("discount_man", 2, F.col("discount_type") == "fixed").alias("avg_fixed_threshold"),
-        )
+        (monthly_measures(f, p) if monthly is None else monthly)
         .select(
-            "ym", "year_num", "month_num", "used_count", "unique_users", "unique_merchants",
+            "ym", F.year(first_day).alias("year_num"), F.month(first_day).alias("month_num"), "used_count", "unique_users", "unique_merchants",
             ratio("used_count", "unique_users").alias("avg_uses_per_user"),
             "avg_discount_rate", "avg_fixed_threshold",
         )

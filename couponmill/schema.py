@@ -7,6 +7,7 @@ _TEXT = T.StringType()
 _MONEY = T.DecimalType(10, 2)
 _RATE = T.DecimalType(6, 4)
 
+# Names and types of the raw columns.
 RAW_SCHEMAS = {
     "online": T.StructType([
         T.StructField("User_id", _ID),
@@ -36,7 +37,7 @@ RAW_SCHEMAS = {
     ]),
 }
 
-# Raw column -> star-schema column.
+# Raw column -> star-schema column.
 CANONICAL = {
     "User_id": "user_id",
     "Merchant_id": "merchant_id",
@@ -48,6 +49,7 @@ CANONICAL = {
     "Action": "action",
 }
 
+# Columns of the star schema.
 USERS = T.StructType([T.StructField("user_id", _ID, False)])
 MERCHANTS = T.StructType([T.StructField("merchant_id", _ID, False)])
 COUPONS = T.StructType([
@@ -82,6 +84,7 @@ LOG_COLUMNS = (
     "date_received", "date_used", "action", "action_name", "source",
 )
 
+# Columns of the enriched export, in order.
 ENRICHED_COLUMNS = (
     "user_id", "merchant_id", "coupon_id", "discount_type", "discount_type_cn",
     "discount_man", "discount_jian", "discount_eq_rate", "distance", "distance_bucket",

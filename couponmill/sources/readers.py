@@ -14,6 +14,9 @@ from couponmill.schema import RAW_SCHEMAS
 
 log = logging.getLogger(__name__)
 
+# Table property that tells with which parameters a table was built.
+MARK = "couponmill.parameters"
+
 
 def read_raw(spark: SparkSession, path: str, kind: str, position: bool = True, mode: str = "FAILFAST") -> DataFrame:
     """A raw behaviour log (``online``, ``offline`` or ``offline_test``).
@@ -38,9 +41,11 @@ def read_raw(spark: SparkSession, path: str, kind: str, position: bool = True, m
     )
 
 
-def read_fact(spark: SparkSession, path: str, cols: list[str] | None = None) -> DataFrame:
-    """A stored table, pruned to ``cols`` at the scan."""
-    df = spark.read.parquet(path)
+def read_fact(
+    spark: SparkSession, path: str, cols: list[str] | None = None, schema: T.StructType | None = None
+) -> DataFrame:
+    """A stored table, pruned to ``cols`` at the scan, by default in the types it was stored with."""
+    df = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
     return df.select(*cols) if cols else df
 
 
@@ -79,6 +84,20 @@ def run_query(spark: SparkSession, label: str, sql: str, args: dict[str, Any] |
     return df
 
 
-def summary_or_compute(spark: SparkSession, name: str, compute: Callable[[], DataFrame]) -> DataFrame:
-    """The prepared summary table if it exists, else the report itself."""
-    return spark.table(name) if spark.catalog.tableExists(name) else compute()
+def table_mark(spark: SparkSession, name: str) -> str | None:
+    """What the table was marked with when it was written."""
+    properties = spark.sql("SHOW TBLPROPERTIES IDENTIFIER(:name)", {"name": name}).where(F.col("key") == MARK)
+    row = properties.select("value").first()
+    return row.value if row else None
+
+
+def summary_or_compute(
+    spark: SparkSession, name: str, compute: Callable[[], DataFrame], mark: str | None = None
+) -> DataFrame:
+    """The prepared summary table if it exists, else the report itself.
+
+    With ``mark``, a table written under another mark or none is not used.
+    """
+    if spark.catalog.tableExists(name) and (mark is None or table_mark(spark, name) == mark):
+        return spark.table(name)
+    return compute()

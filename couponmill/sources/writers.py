@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from couponmill.functions.sqltext import literal
 from couponmill.operators.star import Star
+from couponmill.schema import COUPONS, MERCHANTS, TRANSACTIONS, USERS
+from couponmill.sources.readers import MARK, read_fact
 
 log = logging.getLogger(__name__)
 
@@ -37,37 +39,69 @@ def write_sorted(df: DataFrame, key: str, path: str) -> None:
     df.orderBy(key).write.mode("overwrite").parquet(path)
 
 
-def replace_table(df: DataFrame, name: str, mode: str = "overwrite") -> int:
-    """Replace (or append to) a table in one write; returns the rows written."""
+def set_mark(spark: SparkSession, name: str, mark: str) -> None:
+    """Note on a table with which parameters it was built."""
+    spark.sql(f"ALTER TABLE IDENTIFIER(:name) SET TBLPROPERTIES ({literal(MARK)} = {literal(mark)})", {"name": name})
+
+
+def replace_table(df: DataFrame, name: str, mode: str = "overwrite", mark: str | None = None) -> int:
+    """Replace (or append to) a table in one write; returns the rows written.
+
+    Replacing removes an older mark, so a table never has one it was not
+    written under.
+    """
     started = time.time()
     seen = Observation(f"load_{name}")
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).saveAsTable(name)
+    if mark is not None:
+        set_mark(df.sparkSession, name, mark)
     rows = seen.get["rows"]
     log.info("%s: %d rows in %.1f s", name, rows, time.time() - started)
     return rows
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, mark: str | None = None) -> DataFrame:
     """Create table as select, replacing an older one."""
     df.write.mode("overwrite").saveAsTable(name)
+    if mark is not None:
+        set_mark(df.sparkSession, name, mark)
     return df.sparkSession.table(name)
 
 
-def save_star(star: Star, folder: str, partition_by: tuple[str, ...] = ("source",)) -> None:
-    """Parquet tables under ``folder``, dimensions before the fact.
-
-    The fact is split by source, which nearly every report filters on.
-    """
+def save_dimensions(star: Star, folder: str) -> None:
+    """The three dimensions as Parquet in key order under ``folder``."""
     write_sorted(star.users, "user_id", f"{folder}/users")
     write_sorted(star.merchants, "merchant_id", f"{folder}/merchants")
     write_sorted(star.coupons, "coupon_id", f"{folder}/coupons")
-    star.transactions.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{folder}/transactions")
+
+
+def save_fact(fact: DataFrame, folder: str, partition_by: tuple[str, ...] = ("source",)) -> None:
+    """The fact as Parquet under ``folder``.
+
+    It is split by source, which nearly every report filters on, and every
+    file is in the order of the day of use, so a report on a range of days
+    skips the other row groups.  No row is moved between tasks.
+    """
+    ordered = fact.sortWithinPartitions(*partition_by, "date_used")
+    ordered.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{folder}/transactions")
+
+
+def save_star(star: Star, folder: str, partition_by: tuple[str, ...] = ("source",)) -> None:
+    """Parquet tables under ``folder``, dimensions before the fact."""
+    save_dimensions(star, folder)
+    save_fact(star.transactions, folder, partition_by)
+
+
+def load_fact(spark: SparkSession, folder: str) -> DataFrame:
+    """The fact written by ``save_fact``."""
+    return read_fact(spark, f"{folder}/transactions", schema=TRANSACTIONS)
 
 
 def load_star(spark: SparkSession, folder: str) -> Star:
-    """The tables written by ``save_star``."""
-    read = lambda name: spark.read.parquet(f"{folder}/{name}")
-    return Star(read("users"), read("merchants"), read("coupons"), read("transactions"))
+    """The tables written by ``save_star``, with their declared schemas."""
+    declared = {"users": USERS, "merchants": MERCHANTS, "coupons": COUPONS}
+    dimensions = {name: read_fact(spark, f"{folder}/{name}", schema=schema) for name, schema in declared.items()}
+    return Star(**dimensions, transactions=load_fact(spark, folder))
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

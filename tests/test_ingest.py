@@ -133,3 +133,16 @@ def test_align_project_canonical(spark):
     out = ingest.align(ingest.clean_log(df, "offline"))
     assert out.first().date_used == date(2016, 1, 1) and out.first().merchant_id is None
     assert ingest.project(out, ["source", "nope", "user_id"]).columns == ["source", "user_id"]
+
+
+def test_stored_fact_is_in_day_order_and_typed(spark, tables, tmp_path):
+    writers.save_star(tables, str(tmp_path))
+    stored = writers.load_star(spark, str(tmp_path))
+    assert [f.name for f in stored.transactions.schema] == [f.name for f in TRANSACTIONS]
+    assert dict(stored.transactions.dtypes) == {f.name: f.dataType.simpleString() for f in TRANSACTIONS}
+    for path in stored.transactions.inputFiles():
+        days = [r.date_used for r in spark.read.parquet(path).select("date_used").collect()]
+        known = [d for d in days if d]
+        assert days == [None] * (len(days) - len(known)) + sorted(known)
+    used = stored.transactions.where("date_used >= '2016-02-01'")
+    assert "GreaterThanOrEqual(date_used,2016-02-01)" in used._jdf.queryExecution().executedPlan().toString()

@@ -87,6 +87,50 @@ def test_prepared_summary_is_preferred(spark):
     assert readers.summary_or_compute(spark, "prepared", compute).first().v == "stored"
 
 
+def test_summary_of_other_parameters_is_not_used(spark, sf_dir):
+    from dataclasses import replace
+
+    from couponmill.plans.catalog import PARAMS
+
+    f = tpch.events(spark, sf_dir)
+    other = replace(PARAMS, summary_min_received=PARAMS.summary_min_received + 1)
+    summary.materialize_summary(f, "summary_gap_analysis", PARAMS)
+    stored, computed = spark.table("summary_gap_analysis"), spark.range(1)
+
+    def found(p):
+        return readers.summary_or_compute(spark, "summary_gap_analysis", lambda: computed, summary.parameter_mark(p))
+
+    assert found(PARAMS).columns == stored.columns
+    assert found(replace(PARAMS)).columns == stored.columns
+    assert found(other).columns == ["id"]
+    # A table replaced without parameters is of unknown ones.
+    writers.replace_table(spark.range(3), "summary_gap_analysis")
+    assert readers.table_mark(spark, "summary_gap_analysis") is None and found(PARAMS).count() == 1
+
+
+def test_shared_frames_are_computed_when_asked_for(spark, sf_dir, monkeypatch):
+    from couponmill.plans.catalog import PARAMS
+
+    made = []
+    monkeypatch.setattr(summary, "merchant_counts", lambda f, p: made.append("counts") or f.limit(1))
+    given = summary.shared(tpch.events(spark, sf_dir), PARAMS)
+    assert set(given) == set(summary.SUMMARIES) and not made
+    assert given["summary_merchant_usage"]() is given["summary_merchant_usage"]() and made == ["counts"]
+
+
+def test_view_follows_the_fact_and_needs_no_scratch(spark, sf_dir):
+    from couponmill.plans.catalog import PARAMS
+
+    f = tpch.events(spark, sf_dir)
+    rfm.register_rfm_view(f, "v_rfm_small", PARAMS)
+    read = spark.table("v_rfm_small").inputFiles()
+    assert read and all("v_rfm_small_rows" in path for path in read)
+    users = spark.table("v_rfm_small").count()
+    half = f.where("user_id % 2 = 0")
+    rfm.register_rfm_view(half, "v_rfm_small", PARAMS)
+    assert 0 < spark.table("v_rfm_small").count() == rfm.rfm_inputs(half, PARAMS).count() < users
+
+
 def test_view_and_query(spark, sf_dir):
     from couponmill.plans.catalog import PARAMS
 
