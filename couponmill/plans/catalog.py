@@ -216,13 +216,15 @@ def _sql_monthly_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_raw_logs(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, str]:
-    """The events as three raw logs in CSV; returns the path of each."""
-    log = stage(tpch.event_log(spark, sf_dir)).withColumnsRenamed({v: k for k, v in CANONICAL.items()})
+    """The events as three raw logs in CSV, each in event order; returns the path of each."""
+    log = stage(tpch.event_log(spark, sf_dir))
+    raw_names = {v: k for k, v in CANONICAL.items()}
     dates = {c: F.date_format(c, "yyyyMMdd") for c in ("Date_received", "Date")}
     paths = {}
     for source in ingest.SOURCES:
         paths[source] = f"{folder}/{source}"
-        rows = log.where(F.col("source") == source).withColumns(dates).select(RAW_SCHEMAS[source].names)
+        ordered = log.where(F.col("source") == source).orderBy(*ordering.sort_columns(tpch.EVENT_ORDER))
+        rows = ordered.withColumnsRenamed(raw_names).withColumns(dates).select(RAW_SCHEMAS[source].names)
         rows.write.option("header", True).option("nullValue", "null").csv(paths[source])
     return paths
 
@@ -234,7 +236,8 @@ def _raw_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _raw_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portable(_raw_fact(spark, sf_dir).drop("transaction_id"))
+    """Every row with its id: the rows of the logs in order, one log after another."""
+    return portable(_raw_fact(spark, sf_dir))
 
 
 def _raw_ingest_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,8 +74,12 @@ fact AS (
     END AS discount_type,
     CASE WHEN jian IS NOT NULL THEN CAST(man * 100 AS BIGINT) END AS man_c,
     CASE WHEN man IS NOT NULL THEN CAST(jian * 100 AS BIGINT) END AS jian_c,
+    -- Long division of whole cents, ties to the even quotient.
     CAST(CASE
-      WHEN man > 0 THEN round_even((man - jian) * 10000 / man, 0)
+      WHEN man > 0 THEN (man_c - jian_c) * 10000 // man_c + CASE
+        WHEN 2 * ((man_c - jian_c) * 10000 % man_c) > man_c THEN 1
+        WHEN 2 * ((man_c - jian_c) * 10000 % man_c) = man_c THEN ((man_c - jian_c) * 10000 // man_c) % 2
+        ELSE 0 END
       WHEN rate > 1 THEN round(rate * 100)
       WHEN rate > 0 THEN round(rate * 10000)
     END AS BIGINT) AS eq_bp,
@@ -355,8 +359,11 @@ def queries() -> dict[str, str]:
 def _reports() -> dict[str, str]:
     return {
         # Raw logs, star schema and integrity
-        "raw_ingest": _with(FACT) + f"""
-SELECT {_FACT_COLUMNS}, CAST(action AS INTEGER) AS action, action_name, source FROM fact""",
+        "raw_ingest": _with(FACT, NUMBERED) + f"""
+SELECT row_number() OVER (
+    ORDER BY list_position(['online', 'offline', 'offline_test'], source), transaction_id
+  ) AS transaction_id,
+  {_FACT_COLUMNS}, CAST(action AS INTEGER) AS action, action_name, source FROM numbered""",
         "raw_ingest_ids": _with(FACT) + """
 SELECT source, n AS row_count, CAST(last_id - n + 1 AS BIGINT) AS first_id, last_id, n AS ids
 FROM (
