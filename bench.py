@@ -1,9 +1,9 @@
 """Time the headline reports; prints one JSON line.
 
-The fact is built from the tables once, as Parquet, and every report then reads
-that Parquet.  ``build_fact`` is the cost of joining, cleaning and numbering.
-Reports run once each, uncached; a small generic job first starts the engine
-and is reported apart as ``warmup``.
+The fact is built from the tables once, stored as a star schema's fact is, and every
+report then reads it.  ``build_fact`` is the cost of joining, cleaning, numbering and
+sorting.  Reports run BENCH_RUNS times each, uncached, and the median counts; a
+small generic job first starts the engine and is reported apart as ``warmup``.
 """
 
 from __future__ import annotations
@@ -14,22 +14,26 @@ import sys
 import tempfile
 import time
 from pathlib import Path
+from statistics import median
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import functions as F  # noqa: E402
 
+from couponmill.operators import integrity, ordering, star  # noqa: E402
 from couponmill.plans import bucket, chart, export, merchant, rfm, summary, trend  # noqa: E402
-from couponmill.plans.catalog import PARAMS  # noqa: E402
+from couponmill.plans.catalog import PARAMS, remaining  # noqa: E402
 from couponmill.session import build_session  # noqa: E402
-from couponmill.sources import readers, tpch  # noqa: E402
+from couponmill.sources import tpch, writers  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 
-def reports(f, merchants):
+def reports(f, merchants, left):
     p = PARAMS
+    stats = merchant.merchant_stats(merchant.merchant_counts(f, p), p.full_rank_min_received)
     return {
         "merchant_usage": lambda: merchant.merchant_usage(merchants, f, p=p),
         "merchant_rank": lambda: merchant.merchant_rank(merchants, f, p),
@@ -57,6 +61,12 @@ def reports(f, merchants):
         "rollup_counts": lambda: export.rollup_counts(f, p),
         "export_monthly": lambda: export.export_monthly(f),
         "kpi_overview": lambda: export.kpi_overview(f, p),
+        "rfm_qcut": lambda: rfm.rfm_qcut(f, p),
+        "merchant_rank_all": lambda: ordering.rank_all(stats, "-usage_rate", ["merchant_id"]),
+        "dim_coupons": lambda: star.coupon_dimension(f),
+        "orphan_report": lambda: integrity.orphan_report(f, left),
+        "cascade_delete": lambda: integrity.cascade(f, *left["merchants"]),
+        "set_null_missing": lambda: integrity.set_null_missing(f, *left["coupons"]),
     }
 
 
@@ -81,14 +91,18 @@ def main() -> None:
     warmup = round(time.time() - started, 3)
     with tempfile.TemporaryDirectory(prefix="bench-") as folder:
         started = time.time()
-        tpch.transactions(spark, SF_DIR).write.mode("overwrite").parquet(f"{folder}/transactions")
+        writers.save_fact(tpch.transactions(spark, SF_DIR), folder)
         seconds["build_fact"] = round(time.time() - started, 3)
-        fact = readers.read_fact(spark, f"{folder}/transactions")
+        fact = writers.load_fact(spark, folder)
         rows = fact.count()
-        for name, report in reports(fact, tpch.dimensions(spark, SF_DIR)["merchants"]).items():
-            started = time.time()
-            run(report())
-            seconds[name] = round(time.time() - started, 3)
+        merchants, left = tpch.dimensions(spark, SF_DIR)["merchants"], remaining(spark, SF_DIR)
+        for name, report in reports(fact, merchants, left).items():
+            runs = []
+            for _ in range(RUNS):
+                started = time.time()
+                run(report())
+                runs.append(time.time() - started)
+            seconds[name] = round(median(runs), 3)
         spark.stop()
     print(
         json.dumps({
@@ -99,6 +113,7 @@ def main() -> None:
             "sf": float(Path(SF_DIR).name.removeprefix("sf")),
             "fact_rows": rows,
             "cpus": int(CPUS),
+            "runs": RUNS,
             "warmup": warmup,
         })
     )

@@ -62,7 +62,7 @@ def _over_merchants(report: Callable[..., DataFrame], **options) -> Query:
     )
 
 
-def _remaining(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, str]]:
+def remaining(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, str]]:
     """Dimensions after a clean-up: overdrawn accounts closed, one product line withdrawn."""
     customers, suppliers, parts = (tpch.table(spark, sf_dir, n) for n in ("customer", "supplier", "part"))
     return {
@@ -87,12 +87,12 @@ def _table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orphan_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dim, key = _remaining(spark, sf_dir)["merchants"]
+    dim, key = remaining(spark, sf_dir)["merchants"]
     return integrity.orphans(tpch.events(spark, sf_dir), dim, key)
 
 
 def _cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dim, key = _remaining(spark, sf_dir)["merchants"]
+    dim, key = remaining(spark, sf_dir)["merchants"]
     kept = integrity.cascade(tpch.events(spark, sf_dir), dim, key)
     return kept.groupBy("source", "discount_type").agg(
         F.count("*").alias("row_count"), F.count_distinct("merchant_id").alias("merchants")
@@ -100,7 +100,7 @@ def _cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _set_null_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dim, key = _remaining(spark, sf_dir)["coupons"]
+    dim, key = remaining(spark, sf_dir)["coupons"]
     before = tpch.events(spark, sf_dir).withColumn("had_coupon", F.col("coupon_id").isNotNull())
     return (
         integrity.set_null_missing(before, dim, key)
@@ -131,7 +131,7 @@ def _merchants_above(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _coupon_mix_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coupon mix of the merchants left, with a floor and a minimum that some of them miss."""
-    dim, _ = _remaining(spark, sf_dir)["merchants"]
+    dim, _ = remaining(spark, sf_dir)["merchants"]
     p = replace(PARAMS, mix_rate_floor=0.39, mix_min_received=490)
     return portable(merchant.high_rate_coupon_mix(tpch.events(spark, sf_dir), p, dim))
 
@@ -259,7 +259,7 @@ QUERIES: dict[str, Query] = {
     "fact_transactions": lambda spark, sf_dir: portable(tpch.transactions(spark, sf_dir)),
     "table_counts": _table_counts,
     "orphan_report": lambda spark, sf_dir: integrity.orphan_report(
-        tpch.events(spark, sf_dir), _remaining(spark, sf_dir)
+        tpch.events(spark, sf_dir), remaining(spark, sf_dir)
     ),
     "orphan_merchants": _orphan_merchants,
     "duplicate_key_report": lambda spark, sf_dir: integrity.duplicate_keys(
