@@ -1,6 +1,7 @@
 """Quality, decontamination, Jaccard join, line dedup and licenses against brute force."""
 
 import sys
+import textwrap
 from pathlib import Path
 
 import numpy as np
@@ -186,3 +187,25 @@ def test_licenses(spark, sf_dir):
     noted = docs.where(F.col("text").rlike("(Apache|MIT|General Public) License|CC BY-NC|All rights reserved"))
     assert {r["doc_id"] for r in noted.collect()} == {k for k, v in got.items() if v and k >= 0}
     assert licenses.scan(docs.limit(0), model=model).count() == 0
+
+
+def test_wrapped_license_notices(spark, sf_dir):
+    """Notices broken into lines of any width, with comment signs, alone or between other lines."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    notices = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy and modify.",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    }
+    texts, expected = [], []
+    for family, notice in notices.items():
+        for width in (20, 45, 72):
+            lines = textwrap.wrap(notice, width)
+            texts += ["\n".join(lines), "import os\n\n" + "\n".join(f" * {x}" for x in lines) + "\n *\n * " + brute.PROSE, brute.PROSE + "\n" + "\n".join(lines) + "\n" + brute.PROSE]
+            expected += [family] * 3
+    texts += [f"{brute.PROSE * 20}{notices['bsd']} {brute.PROSE * 20}", "\n".join(textwrap.wrap(brute.PROSE * 9, 70))]
+    expected += ["bsd", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df, model=licenses.fit(docs)).collect()}
+    assert [got[i]["licenses"] for i in range(len(texts))] == expected
+    assert [got[i]["n_confirmed"] for i in range(len(texts))] == [int(f != "") for f in expected]
