@@ -209,3 +209,21 @@ def test_wrapped_license_notices(spark, sf_dir):
     got = {r["doc_id"]: r for r in licenses.scan(df, model=licenses.fit(docs)).collect()}
     assert [got[i]["licenses"] for i in range(len(texts))] == expected
     assert [got[i]["n_confirmed"] for i in range(len(texts))] == [int(f != "") for f in expected]
+
+
+def test_neighbouring_licenses_are_told_apart(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    cases = [
+        ("This work is licensed under the GNU General Public License, version 2.", "gpl-2"), ("Licensed under CC BY 4.0.", "cc-by-4.0"),
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl-3.0"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0"),
+        ("Licensed under CC BY-SA 4.0.", "cc-by-sa-4.0"), ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa-4.0"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by-4.0"),
+        (gnu.format("General Public License", 2), "gpl-2"), (gnu.format("Lesser General Public License", 2.1), "lgpl-2.1"),
+        (gnu.format("Affero General Public License", 3), "agpl-3"), (gnu.format("General Public License", 3), "gpl-3.0"),
+        *((text, "") for text in licenses.FOREIGN),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(df, model=licenses.fit(docs)).collect()}
+    assert [(cases[i][0], got[i]) for i in got] == [cases[i] for i in got]
