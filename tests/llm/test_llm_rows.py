@@ -4,6 +4,7 @@ import hashlib
 import random
 import sys
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -14,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from couponmill.llm import bpe, catalog, chat, embeddings, sharding, urlfilter  # noqa: E402
+from couponmill.llm import bpe, catalog, chat, embeddings, linededup, sharding, urlfilter  # noqa: E402
 from sqlcheck import compare  # noqa: E402
 
 
@@ -208,3 +209,22 @@ def test_pipeline(spark, sf_dir):
     assert 0 < len(final) < docs.count() and all(r["intact"] for r in final)
     assert len({r["doc_id"] for r in final}) == len(final)
     assert len({tuple(r["ids"]) for r in final}) == len(final)
+
+
+def test_pipeline_rows_equal_brute_force(spark, sf_dir, tokenizer):
+    """The rows that the first stage keeps, taken through plain versions of the others."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted(corpus_pipeline.quality_filter(spark, docs, sf_dir).collect(), key=lambda r: r["doc_id"])
+    total, pages = Counter(r["source"] for r in rows), Counter()
+    for r in rows:
+        pages.update({(r["source"], x.strip(" ")) for x in (r["text"] or "").split("\n") if x.strip(" ")})
+    bad = {k for k, n in pages.items() if n >= linededup.MIN_PAGES and n > linededup.RATIO * total[k[0]]}
+    texts = ["\n".join(x for x in (r["text"] or "").split("\n") if (r["source"], x.strip(" ")) not in bad) for r in rows]
+    _, root = brute.jaccard_links(texts)
+    left = [(rows[i]["doc_id"], texts[i]) for i in range(len(rows)) if root[i] == i]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    hits = brute.contamination([t for _, t in left], items)
+    expected = {d: tokenizer.encode(t, add_special_tokens=False).ids for (d, t), (n, hit, _) in zip(left, hits) if not (hit and 20 * hit >= n)}
+    got = {r["doc_id"]: list(r["ids"]) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert 0 < len(expected) < len(left) < len(rows)
+    assert got == expected
