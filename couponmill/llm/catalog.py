@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from couponmill.llm import bpe, chat, decontaminate, embeddings, jaccard, licenses, linededup, quality, sharding, urlfilter
+from couponmill.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    divergence,
+    embeddings,
+    hyperplanes,
+    jaccard,
+    licenses,
+    linededup,
+    multiindex,
+    quality,
+    sharding,
+    urlfilter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +91,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh id has the next label, as the mining rule wants."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hyperplanes.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filters": op1_url_filters,
     "op2_quality_classifier": op2_quality_classifier,
@@ -88,10 +116,15 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 ORACLE: dict[str, str] = {
     "op1_url_filters": urlfilter.OP1_SQL,
     "op4_embedding_near_dedup": embeddings.OP4_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
+    "op11_hard_negatives": hyperplanes.OP11_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
 }

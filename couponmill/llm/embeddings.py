@@ -159,7 +159,7 @@ def _matrix(column) -> list[np.ndarray]:
     return [x.values.to_numpy().astype(np.float64) for x in column]
 
 
-def _usable(vector: str):
+def usable(vector: str):
     """True for a vector with a direction: no NULL, NaN or infinite component, not zero."""
     v = F.col(vector)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -181,7 +181,7 @@ def cosine_links(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
     # Single-precision vectors travel as they are; products are in double precision.
     kind = "array<float>" if dict(vectors.dtypes)[vector] == "array<float>" else "array<double>"
     rows = vectors.select(F.col(id_col), F.col(vector).cast(kind).alias("_v"))
-    rows = rows.withColumn("_v", F.when(_usable("_v"), F.col("_v")))
+    rows = rows.withColumn("_v", F.when(usable("_v"), F.col("_v")))
     classes = rows.where("_v IS NOT NULL").groupBy("_v").agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies"))
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()))
     bits = p.bits(classes.count())
