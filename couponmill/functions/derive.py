@@ -27,10 +27,14 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _case_sql(rules: list[tuple[str, str]], default: str) -> str:
+    arms = " ".join(f"WHEN {cond} THEN {literal(label)}" for cond, label in rules)
+    return f"CASE {arms} ELSE {default} END"
+
+
 def _case(rules: list[tuple[str, str]], default: str) -> Column:
     """First matching condition wins; ``default`` is SQL text, labels are plain text."""
-    arms = " ".join(f"WHEN {cond} THEN {literal(label)}" for cond, label in rules)
-    return F.expr(f"CASE {arms} ELSE {default} END")
+    return F.expr(_case_sql(rules, default))
 
 
 def bucket(c: str, spec: BucketSpec) -> Column:
@@ -89,8 +93,8 @@ def recency(c: Column | str, ref: date, default: date) -> Column:
     return F.datediff(F.lit(ref), F.coalesce(_col(c), F.lit(default)))
 
 
-def _by_scores(rules: tuple, default: str) -> Column:
-    return _case(
+def _by_scores(rules: tuple, default: str) -> str:
+    return _case_sql(
         [
             (f"r_score BETWEEN {r[0]} AND {r[1]} AND f_score BETWEEN {f[0]} AND {f[1]}", label)
             for label, r, f in rules
@@ -99,14 +103,18 @@ def _by_scores(rules: tuple, default: str) -> Column:
     )
 
 
+# SQL text of the segment, for views.
+SEGMENT_SQL = _by_scores(SEGMENT_RULES, SEGMENT_DEFAULT)
+
+
 def rfm_segment() -> Column:
     """One of six user segments from ``r_score`` and ``f_score``."""
-    return _by_scores(SEGMENT_RULES, SEGMENT_DEFAULT)
+    return F.expr(SEGMENT_SQL)
 
 
 def rfm_sub_segment() -> Column:
     """One of eight finer labels from ``r_score`` and ``f_score``."""
-    return _by_scores(SUB_SEGMENT_RULES, SUB_SEGMENT_DEFAULT)
+    return F.expr(_by_scores(SUB_SEGMENT_RULES, SUB_SEGMENT_DEFAULT))
 
 
 def rfm_combine(weights: tuple[float, float, float] = RFM_WEIGHTS) -> dict[str, Column]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from couponmill.operators.ingest import build_fact
 from couponmill.operators.star import Star, star_of
 from couponmill.params import ReportParams
-from couponmill.plans import bucket, chart, export, merchant, rfm, summary, trend
+from couponmill.plans import bucket, chart, export, liveview, merchant, rfm, summary, trend
 from couponmill.session import Scratch, build_session, stage
 from couponmill.sources import readers, writers
 
@@ -39,19 +39,19 @@ def build(spark: SparkSession, online: str, offline: str, test: str, folder: str
 
 def load(star: Star, p: ReportParams) -> dict[str, int]:
     """Replace the four tables, dimensions first, then the RFM view and the summary tables."""
-    rows = {name: writers.replace_table(df, name) for name, df in star.tables().items()}
-    rfm.register_rfm_view(star.transactions, p=p)
+    rows = {r["table_name"]: r["row_count"] for r in writers.load_tables(star.tables()).collect()}
+    liveview.register_live_rfm_view(star.transactions.sparkSession, "transactions", p=p)
     return {**rows, **summary.build_summaries(star.transactions, p)}
 
 
 def all_reports(star: Star, p: ReportParams) -> dict[str, Callable[[], DataFrame]]:
-    """Every report by name; a summary stored as a table with the same parameters is read from there.
+    """Every report by name; a summary stored with the same parameters from the same files is read from there.
 
     Merchant counts, months, user inputs and scores, and the label cube are
     computed once, when first needed, and shared.
     """
     f, merchants, spark = star.transactions, star.merchants, star.transactions.sparkSession
-    shared, mark = summary.shared(f, p), summary.parameter_mark(p)
+    shared, mark = summary.shared(f, p), summary.bound_mark(f, p)
     counts = lambda: shared["summary_merchant_usage"]()["counts"]
     monthly = lambda: shared["summary_monthly_trend"]()["monthly"]
     inputs = lambda: shared["summary_rfm_scores"]()["inputs"]

@@ -60,13 +60,19 @@ def align(df: DataFrame) -> DataFrame:
     )
 
 
+def union_logs(logs: dict[str, DataFrame]) -> DataFrame:
+    """Cleaned logs as one, by source; a batch need not have all of them."""
+    parts = [
+        align(clean_log(logs[source], source)).withColumn("_source_rank", F.lit(rank))
+        for rank, source in enumerate(SOURCES)
+        if source in logs
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def union_sources(online: DataFrame, offline: DataFrame, test: DataFrame) -> DataFrame:
     """The three cleaned logs as one."""
-    logs = [
-        align(clean_log(df, source)).withColumn("_source_rank", F.lit(rank))
-        for rank, (source, df) in enumerate(zip(SOURCES, (online, offline, test)))
-    ]
-    return reduce(DataFrame.unionByName, logs)
+    return union_logs(dict(zip(SOURCES, (online, offline, test))))
 
 
 def with_input_ids(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from couponmill.functions.cleaning import with_discount
 from couponmill.operators import ingest, integrity, ordering, star
 from couponmill.params import ReportParams
-from couponmill.plans import bucket, chart, export, merchant, rfm, summary, trend
+from couponmill.plans import bucket, chart, export, incremental, liveview, merchant, rfm, summary, trend
 from couponmill.schema import CANONICAL, RAW_SCHEMAS
 from couponmill.session import scratch_folder, stage
 from couponmill.sources import readers, tpch, writers
@@ -250,7 +251,113 @@ def _raw_ingest_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _new_name(kind: str) -> str:
+    return f"{kind}_{uuid.uuid4().hex}"
+
+
+def _stored_in_parts(spark: SparkSession, sf_dir: str, name: str) -> Callable[[], None]:
+    """A table of a third of the events' users; the returned call appends the others."""
+    f = tpch.events(spark, sf_dir)
+    writers.replace_table(f.where("user_id % 3 = 0"), name)
+    return lambda: writers.replace_table(f.where("user_id % 3 <> 0"), name, mode="append")
+
+
+def _rfm_live_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view made over a part of the fact, read after the rest was appended."""
+    name = _new_name("fact")
+    append = _stored_in_parts(spark, sf_dir, name)
+    liveview.register_live_rfm_view(spark, name, f"{name}_rfm", PARAMS)
+    append()
+    return portable(spark.table(f"{name}_rfm"))
+
+
+def _summary_follows_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary stored over a part of the fact and asked for after the rest was appended."""
+    name = _new_name("fact")
+    append = _stored_in_parts(spark, sf_dir, name)
+    summary.materialize_summary(spark.table(name), "summary_monthly_trend", PARAMS)
+    append()
+    return portable(summary.current_summary(spark.table(name), "summary_monthly_trend", PARAMS))
+
+
+def grown_fact(spark: SparkSession, sf_dir: str, folder: str, between: Callable[[], None] = lambda: None) -> None:
+    """The raw logs added in two batches under ``folder``, the first of them twice; ``between`` is called after each."""
+    paths = write_raw_logs(spark, sf_dir, scratch_folder(spark))
+    logs = {source: readers.read_raw(spark, path, source) for source, path in paths.items()}
+    first = {"online": logs["online"]}
+    for batch, part in (("b1", first), ("b1", first), ("b2", {k: v for k, v in logs.items() if k != "online"})):
+        incremental.append_batch(spark, folder, batch, part)
+        between()
+
+
+def _incremental_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_folder(spark)
+    grown_fact(spark, sf_dir, folder)
+    return portable(incremental.facts(spark, folder))
+
+
+def _incremental(report: str) -> Query:
+    """A report whose states are built as the batches come."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = scratch_folder(spark)
+        grown_fact(spark, sf_dir, folder, lambda: incremental.update_states(spark, folder, report, PARAMS))
+        return portable(incremental.report(spark, folder, report, PARAMS))
+
+    return query
+
+
+def _csv_append_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers appended in two batches, the first of them twice."""
+    customers = tpch.table(spark, sf_dir, "customer").select(*_LOADED.names)
+    path = scratch_folder(spark)
+    for batch, rows in (("b1", "c_acctbal < 0"), ("b1", "c_acctbal < 0"), ("b2", "c_acctbal >= 0")):
+        writers.append_csv_once(customers.where(rows), path, batch)
+    return readers.load_table(spark, path, _LOADED)
+
+
+def _failed_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers after a second load that failed at one of its rows."""
+    name = _new_name("suppliers")
+    rows = tpch.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    writers.replace_table(rows, name)
+    broken = F.when(F.col("s_suppkey") == 7, F.raise_error(F.lit("broken row")).cast("string")).otherwise("new")
+    try:
+        writers.replace_table(rows.withColumn("s_name", broken), name)
+    except Exception as error:  # noqa: BLE001 - the load has to fail
+        if "broken row" not in str(error):
+            raise
+        return spark.table(name)
+    raise RuntimeError("the load should have failed")
+
+
+def _table_as_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table made from a query, then from one with other columns that reads the first."""
+    name = _new_name("accounts")
+    customers = tpch.table(spark, sf_dir, "customer")
+    first = writers.materialize(customers.groupBy("c_mktsegment", "c_nationkey").agg(F.count("*").alias("customers")), name)
+    return writers.materialize(first.groupBy("c_mktsegment").agg(F.sum("customers").alias("customers")), name)
+
+
+def _load_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which the tables are loaded, and their rows."""
+    tables = {**tpch.dimensions(spark, sf_dir), "transactions": tpch.events(spark, sf_dir)}
+    prefix = _new_name("load")
+    loaded = writers.load_tables({f"{prefix}_{name}": df for name, df in tables.items()})
+    return loaded.withColumn("table_name", F.substring("table_name", len(prefix) + 2, 100))
+
+
 QUERIES: dict[str, Query] = {
+    "rfm_live_view": _rfm_live_view,
+    "summary_follows_fact": _summary_follows_fact,
+    "incremental_fact": _incremental_fact,
+    "incremental_monthly": _incremental("monthly"),
+    "incremental_day_type": _incremental("day_type"),
+    "incremental_labels": _incremental("labels"),
+    "csv_append_once": _csv_append_once,
+    "failed_replace": _failed_replace,
+    "table_as_select": _table_as_select,
+    "load_order": _load_order,
     "raw_ingest": _raw_ingest,
     "raw_ingest_ids": _raw_ingest_ids,
     "dim_users": _over_events(star.dimension, key="user_id"),

@@ -120,11 +120,15 @@ def export_monthly(f: DataFrame) -> DataFrame:
         has(f, "date_used")
         .groupBy(ym("date_used").alias("year_month"))
         .agg(F.count("*").alias("used_count"), users.alias("unique_users"), merchants.alias("unique_merchants"))
-        .withColumn("avg_uses_per_user", ratio("used_count", "unique_users", half_even=True))
-        .orderBy("year_month")
+        .transform(monthly_of)
     )
 
 
+def monthly_of(counts: DataFrame) -> DataFrame:
+    """The monthly export from its counts."""
+    return counts.withColumn("avg_uses_per_user", ratio("used_count", "unique_users", half_even=True)).orderBy("year_month")
+
+
 def export_day_type(f: DataFrame) -> DataFrame:
     """Uses and users on weekdays and weekends, all sources."""
     return (

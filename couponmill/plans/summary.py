@@ -17,6 +17,7 @@ from couponmill.plans.merchant import merchant_counts
 from couponmill.plans.rfm import rfm_inputs
 from couponmill.plans.trend import monthly_counts, monthly_measures
 from couponmill.session import pin, stage
+from couponmill.sources.readers import data_mark, summary_or_compute
 from couponmill.sources.writers import materialize, replace_table
 
 DEFAULTS = ReportParams()
@@ -77,6 +78,11 @@ def parameter_mark(p: ReportParams) -> str:
     return hashlib.sha256(repr(p).encode()).hexdigest()
 
 
+def bound_mark(f: DataFrame, p: ReportParams = DEFAULTS) -> str:
+    """The same text for equal parameters over the same files of the fact only."""
+    return f"{parameter_mark(p)}:{data_mark(f)}"
+
+
 def shared(f: DataFrame, p: ReportParams = DEFAULTS) -> dict[str, Callable[[], dict[str, DataFrame]]]:
     """What gives the stored aggregates each summary starts from, by summary name.
 
@@ -97,10 +103,15 @@ def shared(f: DataFrame, p: ReportParams = DEFAULTS) -> dict[str, Callable[[], d
 
 def build_summaries(f: DataFrame, p: ReportParams = DEFAULTS) -> dict[str, int]:
     """Write all summary tables; returns the rows of each."""
-    given, mark = shared(f, p), parameter_mark(p)
+    given, mark = shared(f, p), bound_mark(f, p)
     return {name: replace_table(fn(f, p, **given[name]()), name, mark=mark) for name, fn in SUMMARIES.items()}
 
 
 def materialize_summary(f: DataFrame, name: str, p: ReportParams = DEFAULTS) -> DataFrame:
     """Write one summary table and read it back."""
-    return materialize(SUMMARIES[name](f, p), name, parameter_mark(p))
+    return materialize(SUMMARIES[name](f, p), name, bound_mark(f, p))
+
+
+def current_summary(f: DataFrame, name: str, p: ReportParams = DEFAULTS) -> DataFrame:
+    """The stored summary if it was built with these parameters from the files ``f`` reads now, else computed anew."""
+    return summary_or_compute(f.sparkSession, name, lambda: SUMMARIES[name](f, p), bound_mark(f, p))

@@ -79,6 +79,31 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def _file_system(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    store, jpath = _file_system(spark, path)
+    return store.exists(jpath)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a file, or a folder with all it holds."""
+    store, jpath = _file_system(spark, path)
+    store.delete(jpath, True)
+
+
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly under ``path``, sorted; none if it is not there."""
+    store, jpath = _file_system(spark, path)
+    if not store.exists(jpath):
+        return []
+    return sorted(f.getPath().getName() for f in store.listStatus(jpath) if f.isDirectory())
+
+
 class Scratch:
     """Frames written for one computation and removed together when it is done."""
 
@@ -96,5 +121,4 @@ class Scratch:
 
     def remove(self) -> None:
         """Delete the folder; no frame staged here can be read afterwards."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(self.spark, self.folder)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -91,13 +93,31 @@ def table_mark(spark: SparkSession, name: str) -> str | None:
     return row.value if row else None
 
 
+def data_mark(df: DataFrame) -> str:
+    """The same text as long as the files that ``df`` reads are the same.
+
+    Names, sizes and times of the files are listed and hashed by Spark; no file is
+    opened.  A frame that reads no file has a mark of its own every time.
+    """
+    files = df.inputFiles()
+    if not files:
+        return uuid.uuid4().hex
+    listed = df.sparkSession.read.format("binaryFile").load(files)
+    mark = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    row = listed.agg(F.count("*"), F.sum("length"), F.sum(mark)).first()
+    return hashlib.sha256(repr(tuple(row)).encode()).hexdigest()
+
+
 def summary_or_compute(
     spark: SparkSession, name: str, compute: Callable[[], DataFrame], mark: str | None = None
 ) -> DataFrame:
     """The prepared summary table if it exists, else the report itself.
 
-    With ``mark``, a table written under another mark or none is not used.
+    With ``mark``, a table written under another mark or none is not used.  A
+    mark has the parameters and, after a colon, the data; given without data, any data will do.
     """
-    if spark.catalog.tableExists(name) and (mark is None or table_mark(spark, name) == mark):
-        return spark.table(name)
+    if spark.catalog.tableExists(name):
+        stored = table_mark(spark, name) if mark is not None else None
+        if mark is None or stored == mark or (stored and ":" not in mark and stored.split(":")[0] == mark):
+            return spark.table(name)
     return compute()

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import logging
+import re
 import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from couponmill.functions.sqltext import literal
 from couponmill.operators.star import Star
 from couponmill.schema import COUPONS, MERCHANTS, TRANSACTIONS, USERS
+from couponmill.session import delete_path, folders_in, path_exists
 from couponmill.sources.readers import MARK, read_fact
 
 log = logging.getLogger(__name__)
@@ -39,35 +43,102 @@ def write_sorted(df: DataFrame, key: str, path: str) -> None:
     df.orderBy(key).write.mode("overwrite").parquet(path)
 
 
-def set_mark(spark: SparkSession, name: str, mark: str) -> None:
-    """Note on a table with which parameters it was built."""
-    spark.sql(f"ALTER TABLE IDENTIFIER(:name) SET TBLPROPERTIES ({literal(MARK)} = {literal(mark)})", {"name": name})
+def set_mark(spark: SparkSession, name: str, mark: str | None) -> None:
+    """Note on a table with which parameters and data it was built; None removes it."""
+    change = f"SET TBLPROPERTIES ({literal(MARK)} = {literal(mark)})" if mark else f"UNSET TBLPROPERTIES IF EXISTS ({literal(MARK)})"
+    spark.sql(f"ALTER TABLE IDENTIFIER(:name) {change}", {"name": name})
+
+
+def _versions(spark: SparkSession, name: str) -> str:
+    """Folder of the versions of a table."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/{name.replace('.', '/')}.versions"
+
+
+def _switch(spark: SparkSession, name: str, folder: str, schema: T.StructType) -> None:
+    """Let the table read ``folder``: one change of the catalog if the columns stay the same."""
+    plain = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+    if spark.catalog.tableExists(name):
+        now = T.StructType([T.StructField(f.name, f.dataType) for f in spark.table(name).schema])
+        if now == plain:
+            # Without a mark while the rows change, so it never describes other rows.
+            set_mark(spark, name, None)
+            spark.sql(f"ALTER TABLE IDENTIFIER(:name) SET LOCATION {literal(folder)}", {"name": name})
+            spark.catalog.refreshTable(name)
+            return
+        spark.sql("DROP TABLE IDENTIFIER(:name)", {"name": name})
+    spark.catalog.createTable(name, path=folder, source="parquet", schema=plain)
 
 
 def replace_table(df: DataFrame, name: str, mode: str = "overwrite", mark: str | None = None) -> int:
     """Replace (or append to) a table in one write; returns the rows written.
 
-    Replacing removes an older mark, so a table never has one it was not
+    The rows are written beside the table, which is then pointed at them, so a
+    load that fails leaves the old rows in place, and ``df`` may read the table
+    itself.  The version before stays for queries that still read it; older ones are
+    removed.  Replacing removes an older mark, so a table never has one it was not
     written under.
     """
-    started = time.time()
+    spark, started = df.sparkSession, time.time()
     seen = Observation(f"load_{name}")
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).saveAsTable(name)
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    if mode == "append":
+        counted.write.mode("append").saveAsTable(name)
+    else:
+        versions = _versions(spark, name)
+        before = folders_in(spark, versions)
+        folder = f"{versions}/{time.time_ns():020d}-{uuid.uuid4().hex}"
+        try:
+            counted.write.parquet(folder)
+        except Exception:
+            delete_path(spark, folder)
+            raise
+        _switch(spark, name, folder, df.schema)
+        for old in before[:-1]:
+            delete_path(spark, f"{versions}/{old}")
     if mark is not None:
-        set_mark(df.sparkSession, name, mark)
+        set_mark(spark, name, mark)
     rows = seen.get["rows"]
     log.info("%s: %d rows in %.1f s", name, rows, time.time() - started)
     return rows
 
 
 def materialize(df: DataFrame, name: str, mark: str | None = None) -> DataFrame:
-    """Create table as select, replacing an older one."""
-    df.write.mode("overwrite").saveAsTable(name)
-    if mark is not None:
-        set_mark(df.sparkSession, name, mark)
+    """Create table as select, replacing an older one the way :func:`replace_table` does."""
+    replace_table(df, name, mark=mark)
     return df.sparkSession.table(name)
 
 
+def load_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """Replace tables one after another, in the order given; ``position``, ``table_name`` and ``row_count`` of each.
+
+    Give dimensions before the fact: a load that fails leaves the tables after it
+    as they were, so the fact is never newer than its dimensions.
+    """
+    rows = [(i, name, replace_table(df, name)) for i, (name, df) in enumerate(tables.items(), 1)]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(rows, "position int, table_name string, row_count long")
+
+
+def append_csv_once(df: DataFrame, path: str, batch: str) -> bool:
+    """Append a batch of rows to a CSV result; False, and nothing written, if that batch is there already.
+
+    Every batch is a folder of its own under ``path``, complete once Spark has marked it so;
+    a batch that failed midway is written again from the start.
+    """
+    folder = f"{path}/batch={batch_name(batch)}"
+    if path_exists(df.sparkSession, f"{folder}/_SUCCESS"):
+        return False
+    write_csv(df, folder)
+    return True
+
+
+def batch_name(batch: str) -> str:
+    """``batch``, if it can name a folder."""
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", batch):
+        raise ValueError(f"a batch needs a name of letters, digits, '_', '.' and '-', not {batch!r}")
+    return batch
+
+
 def save_dimensions(star: Star, folder: str) -> None:
     """The three dimensions as Parquet in key order under ``folder``."""
     write_sorted(star.users, "user_id", f"{folder}/users")

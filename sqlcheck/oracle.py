@@ -353,6 +353,14 @@ def queries() -> dict[str, str]:
         "merchant_monthly": sql["merchant_monthly_growth"].removesuffix("ORDER BY merchant_id, ym LIMIT 100"),
         "growth_points": f"SELECT * FROM ({sql['monthly_chart']}) WHERE mom_pct IS NOT NULL",
         "rfm_tsv_segments": sql["rfm_segments"],
+        # A fact or result that grew by parts equals the one loaded at once.
+        "rfm_live_view": sql["rfm_view"],
+        "summary_follows_fact": sql["summary_monthly_trend"],
+        "incremental_fact": sql["raw_ingest"],
+        "incremental_monthly": sql["export_monthly"],
+        "incremental_day_type": sql["export_day_type"],
+        "incremental_labels": sql["rollup_counts"],
+        "csv_append_once": sql["csv_append"],
     }
 
 
@@ -463,6 +471,14 @@ WITH cents AS (
 SELECT CASE kind WHEN 1 THEN 'threshold' ELSE 'rate' END AS field, count(*) AS row_count FROM cents
 WHERE (kind = 0 AND price >= 1000000) OR (kind = 1 AND total >= 10000000) OR (kind = 2 AND price >= 1010000)
 GROUP BY 1""",
+        "failed_replace": "SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, s_acctbal FROM supplier",
+        "table_as_select": "SELECT c_mktsegment, count(*) AS customers FROM customer GROUP BY c_mktsegment",
+        "load_order": """
+SELECT 1 AS position, 'users' AS table_name, count(*) AS row_count FROM customer
+UNION ALL SELECT 2, 'merchants', count(*) FROM supplier
+UNION ALL SELECT 3, 'coupons', count(*) FROM part
+UNION ALL SELECT 4, 'transactions', count(*) FROM lineitem
+  JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
         "bulk_load": """
 SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CASE WHEN NOT c_acctbal < 0 THEN c_name END AS c_name, c_acctbal, c_mktsegment
 FROM customer""",
