@@ -11,9 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
+from functools import reduce
 from itertools import accumulate
+from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +25,8 @@ from couponmill.session import BROADCAST_ROWS, pin, stage
 
 # Integer and decimal metrics are compared in this type, so mixed metrics share one sort.
 METRIC_TYPE = T.DecimalType(28, 6)
+# The least difference of two of its values.
+METRIC_STEP = Decimal("0.000001")
 
 # monotonically_increasing_id() holds the partition above this bit, the row below it.
 _PARTITION_SHIFT = 33
@@ -82,62 +87,160 @@ def _check_metrics(df: DataFrame, metrics: list[str]) -> None:
             raise TypeError(f"{m}: {kind.simpleString()} cannot be ordered exactly, cast it to an integer or decimal")
 
 
+# Relative rank error of the sketches that bracket wanted positions is one over this.
+SKETCH_ACCURACY = 2_000
+
+
+def _stacked(df: DataFrame, metrics: list[str], *others: str) -> DataFrame:
+    """One row per row and metric: ``metric`` (its number), ``value`` and the other columns."""
+    pairs = [F.struct(F.lit(i).alias("metric"), F.col(m).cast(METRIC_TYPE).alias("value")) for i, m in enumerate(metrics)]
+    return df.select(F.explode(F.array(*pairs)).alias("_m"), *others).select("_m.metric", "_m.value", *others)
+
+
+def _found_at(
+    rows: DataFrame, group: list[str], order: list[str], wanted: dict[tuple, list[int]], weight: str | None = None
+) -> dict[tuple, dict[int, Row]]:
+    """The rows at 0-based positions of ``order`` within each group.
+
+    A row with a ``weight`` fills as many positions.  Rows are range-partitioned, so a
+    large group is several tasks; only partition sizes and the wanted rows reach the driver.
+    """
+    if not any(wanted.values()):
+        return {}
+    keys = sort_columns([*group, *order])
+    filled = F.col(weight) if weight else F.lit(1).cast("long")
+    placed = stage(rows.repartitionByRange(*keys).withColumns({"_part": F.spark_partition_id(), "_w": filled}))
+    sizes: dict[tuple, list[tuple[int, int]]] = {}
+    for row in sorted(placed.groupBy("_part", *group).agg(F.sum("_w").alias("_n")).collect(), key=lambda r: r["_part"]):
+        sizes.setdefault(tuple(row[g] for g in group), []).append((row["_part"], row["_n"]))
+    tests, targets = [], {}
+    for key, positions in wanted.items():
+        ends = list(accumulate(n for _, n in sizes.get(key, [])))
+        for position in positions:
+            slot = next(i for i, end in enumerate(ends) if position < end)
+            part, n = sizes[key][slot]
+            local = position - (ends[slot] - n)
+            targets.setdefault((key, part), []).append((local, position))
+            here = [F.col("_part") == part, *(F.col(g).eqNullSafe(F.lit(v)) for g, v in zip(group, key))]
+            tests.append(reduce(and_, [*here, F.col("_end") > local, F.col("_end") - F.col("_w") <= local]))
+    parts = {part for _, part in targets}
+    running = Window.partitionBy("_part", *group).orderBy(*sort_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
+    hits = placed.where(F.col("_part").isin(*parts)).withColumn("_end", F.sum("_w").over(running)).where(reduce(or_, tests))
+    found: dict[tuple, dict[int, Row]] = {}
+    for row in hits.collect():
+        key = tuple(row[g] for g in group)
+        for local, position in targets.get((key, row["_part"]), []):
+            if row["_end"] - row["_w"] <= local < row["_end"]:
+                # How many rows of the group come up to the end of this one.
+                found.setdefault(key, {})[position] = (row, position + row["_end"] - local)
+    return found
+
+
+def sketch_values(df: DataFrame, metrics: list[str], shares: list[float], accuracy: int = SKETCH_ACCURACY) -> dict[str, list]:
+    """Values of each metric whose rank is off by at most one in ``accuracy``, from mergeable quantile sketches."""
+    wanted = [F.percentile_approx(F.col(m).cast(METRIC_TYPE), [*shares], accuracy).alias(f"_{i}") for i, m in enumerate(metrics)]
+    row = df.agg(*wanted).first()
+    return {m: row[f"_{i}"] or [] for i, m in enumerate(metrics)}
+
+
+def _counted_values(df: DataFrame, metrics: list[str], brackets: dict[str, list[tuple]] | None) -> DataFrame:
+    """``metric``, ``value`` and ``n`` rows, added up in each task before they are shuffled.
+
+    With ``brackets`` (sorted, apart), values outside them are counted under the upper end of the gap they lie in,
+    so that there are few of them.
+    """
+    stacked = _stacked(df, metrics)
+    if brackets:
+        value, kept = F.col("value"), F.col("value")
+        for i, m in enumerate(metrics):
+            if not brackets.get(m):
+                continue
+            # The end of a gap is the value just below the next bracket.
+            gap = F.lit(None).cast(METRIC_TYPE)
+            for low, high in reversed(brackets[m]):
+                below = (F.lit(low) - F.lit(METRIC_STEP)).cast(METRIC_TYPE)
+                gap = F.when(value < F.lit(low), below).when(value <= F.lit(high), value).otherwise(gap)
+            beyond = (F.lit(brackets[m][-1][1]) + F.lit(METRIC_STEP)).cast(METRIC_TYPE)
+            gap = F.when(value.isNull(), value).when(value > F.lit(brackets[m][-1][1]), beyond).otherwise(gap)
+            kept = F.when(F.col("metric") == i, gap).otherwise(kept)
+        stacked = stacked.withColumn("value", kept)
+    return stacked.groupBy("metric", "value").agg(F.count("*").alias("n"))
+
+
+def _brackets(df: DataFrame, metrics: list[str], positions: list[int], rows: int) -> dict[str, list[tuple]]:
+    """Ranges of values that hold the wanted positions, by sketches; overlapping ones are joined."""
+    spare = 2 / SKETCH_ACCURACY
+    shares = [min(max((p + 0.5) / rows + d, 0.0), 1.0) for p in positions for d in (-spare, spare)]
+    out = {}
+    for m, values in sketch_values(df, metrics, shares).items():
+        joined: list[tuple] = []
+        for low, high in sorted(zip(values[::2], values[1::2])):
+            if joined and low - METRIC_STEP <= joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(high, joined[-1][1]))
+            else:
+                joined.append((low, high))
+        out[m] = joined
+    return out
+
+
 def order_statistics(
     df: DataFrame,
     metrics: list[str],
     tie: list[str],
     positions: Callable[[int], list[int]],
+    sketch: bool = False,
 ) -> dict[str, OrderStatistics]:
     """Exact rows at chosen 0-based positions of the order ``(metric, *tie)``.
 
-    All metrics share one range shuffle.  ``positions`` maps the row count to
-    the wanted positions, a handful per metric.
+    Rows are counted per value of a metric, and the wanted positions looked up in
+    the counts.  Only a position inside a value needs the order of the rows of
+    that value; without ``tie``, none does.  A position at the end of its value
+    is given as ``(value,)``, others as ``(value, *tie)``.  ``positions`` maps
+    the row count to the wanted positions, a handful per metric.
+
+    With ``sketch``, for metrics of very many values, quantile sketches first say which
+    values can hold the positions, and only these are told apart.  Positions that
+    turn out to lie elsewhere are looked up without the sketch.
     """
     _check_metrics(df, metrics)
-    stacked = F.explode(
-        F.array(*[
-            F.struct(F.lit(i).alias("metric"), F.col(m).cast(METRIC_TYPE).alias("value"))
-            for i, m in enumerate(metrics)
-        ])
+    rows = df.count()
+    wanted = sorted(set(positions(rows)))
+    if not wanted:
+        return {m: OrderStatistics(rows, {}) for m in metrics}
+    brackets = _brackets(df, metrics, wanted, rows) if sketch else None
+    at = _found_at(
+        _counted_values(df, metrics, brackets), ["metric"], ["value"], {(i,): wanted for i in range(len(metrics))}, "n"
     )
-    keys = sort_columns(["metric", "value", *tie])
-    placed = stage(
-        df.select(stacked.alias("_m"), *tie)
-        .select("_m.metric", "_m.value", *tie)
-        .repartitionByRange(*keys)
-        .withColumn("_part", F.spark_partition_id())
-    )
-    sizes: dict[int, list[tuple[int, int]]] = {i: [] for i in range(len(metrics))}
-    for row in sorted(placed.groupBy("metric", "_part").count().collect()):
-        sizes[row["metric"]].append((row["_part"], row["count"]))
-
-    wanted: dict[tuple[int, int, int], int] = {}
-    totals = {}
-    for metric, parts in sizes.items():
-        ends = list(accumulate(n for _, n in parts))
-        totals[metric] = ends[-1] if ends else 0
-        for position in positions(totals[metric]):
-            slot = next(i for i, end in enumerate(ends) if position < end)
-            start = ends[slot] - parts[slot][1]
-            wanted[(metric, parts[slot][0], position - start + 1)] = position
-
     found: dict[int, dict[int, tuple]] = {i: {} for i in range(len(metrics))}
-    if wanted:
-        in_part = Window.partitionBy("_part", "metric").orderBy(*sort_columns(["value", *tie]))
-        hits = (
-            placed.where(F.col("_part").isin(*{p for _, p, _ in wanted}))
-            .withColumn("_i", F.row_number().over(in_part))
-            .where(F.col("_i").isin(*{i for _, _, i in wanted}))
-        )
-        for row in hits.collect():
-            position = wanted.get((row["metric"], row["_part"], row["_i"]))
-            if position is not None:
-                found[row["metric"]][position] = (row["value"], *[row[t] for t in tie])
-    return {m: OrderStatistics(totals[i], found[i]) for i, m in enumerate(metrics)}
+    inside: dict[tuple, dict[int, int]] = {}
+    missed = set()
+    for (i,), rows_at in at.items():
+        for position, (row, end) in rows_at.items():
+            value = row["value"]
+            known = brackets is None or value is None or any(a <= value <= b for a, b in brackets[metrics[i]])
+            if not known:
+                missed.add(metrics[i])
+            elif not tie or position == end - 1:
+                found[i][position] = (value,)
+            else:
+                inside.setdefault((i, value), {})[position] = position - (end - row["n"])
+    if inside:
+        same = [(F.col("metric") == i) & F.col("value").eqNullSafe(F.lit(v)) for i, v in inside]
+        some = [F.col(metrics[i]).cast(METRIC_TYPE).eqNullSafe(F.lit(v)) for i, v in inside]
+        members = _stacked(df.where(reduce(or_, some)), metrics, *tie).where(reduce(or_, same))
+        ranked = _found_at(members, ["metric", "value"], tie, {key: sorted(p.values()) for key, p in inside.items()})
+        for key, places in inside.items():
+            for position, local in places.items():
+                row, _ = ranked[key][local]
+                found[key[0]][position] = (key[1], *[row[t] for t in tie])
+    out = {m: OrderStatistics(rows, dict(sorted(found[i].items()))) for i, m in enumerate(metrics)}
+    if missed:
+        out |= order_statistics(df, sorted(missed), tie, positions)
+    return out
 
 
 def _after(columns: list[Column], cut: tuple) -> Column:
-    """True where the row sorts after ``cut`` (ascending, NULL smallest)."""
+    """True where the row sorts after ``cut`` (ascending, NULL smallest), which may be given by its first columns alone."""
     result = F.lit(False)
     for column, value in reversed(list(zip(columns, cut))):
         if value is None:
@@ -179,14 +282,18 @@ def ntile_all(df: DataFrame, tiles: int, by: str, tie: list[str], name: str = "t
 
 
 def quantile_edges(df: DataFrame, metrics: list[str], tie: list[str], bins: int) -> dict[str, list[float]]:
-    """Exact ``bins + 1`` quantile edges of each metric, linearly interpolated."""
+    """Exact ``bins + 1`` quantile edges of each metric, linearly interpolated.
+
+    Sketches bracket the edges; only values inside a bracket are counted one by one.
+    An edge is a value, so ``tie`` makes no difference and is not read.
+    """
 
     def neighbours(n: int) -> list[int]:
         low = [(n - 1) * j // bins for j in range(bins + 1)] if n else []
         return sorted({min(p + d, n - 1) for p in low for d in (0, 1)})
 
     edges = {}
-    for m, s in order_statistics(df, metrics, tie, neighbours).items():
+    for m, s in order_statistics(df, metrics, [], neighbours, sketch=True).items():
         edges[m] = []
         for j in range(bins + 1 if s.rows else 0):
             low, part = divmod((s.rows - 1) * j, bins)
@@ -196,6 +303,24 @@ def quantile_edges(df: DataFrame, metrics: list[str], tie: list[str], bins: int)
     return edges
 
 
+def sketch_edges(
+    df: DataFrame, metrics: list[str], tie: list[str], bins: int, accuracy: int = SKETCH_ACCURACY
+) -> dict[str, list[float]]:
+    """Quantile edges from the sketches alone, in one pass: each is a value of the metric, off by at most one rank in ``accuracy``."""
+    shares = [j / bins for j in range(bins + 1)]
+    return {m: [float(v) for v in values] for m, values in sketch_values(df, metrics, shares, accuracy).items()}
+
+
+def rank_error(df: DataFrame, c: str, edges: list[float]) -> float:
+    """Largest distance, as a share of all rows, between the ranks that edges have and those they should have."""
+    value, bins = F.col(c).cast("double"), len(edges) - 1
+    below = [F.count_if(value < F.lit(e)).alias(f"b{j}") for j, e in enumerate(edges)]
+    upto = [F.count_if(value <= F.lit(e)).alias(f"u{j}") for j, e in enumerate(edges)]
+    row = df.agg(F.count(c).alias("n"), *below, *upto).first()
+    n = row["n"]
+    return max((max(row[f"b{j}"] / n - j / bins, j / bins - row[f"u{j}"] / n, 0.0) for j in range(bins + 1)), default=0.0) if n else 0.0
+
+
 def quantile_bin(c: str, edges: list[float], fallback: int | None) -> Column:
     """1-based bin of ``c``; ``fallback`` for every row when edges repeat."""
     if not edges or len(set(edges)) < len(edges):
@@ -207,9 +332,12 @@ def quantile_bin(c: str, edges: list[float], fallback: int | None) -> Column:
     return label
 
 
-def qcut(df: DataFrame, c: str, tie: list[str], bins: int, name: str, fallback: int = 3) -> DataFrame:
-    """Equal-frequency bin 1..``bins`` of one numeric column."""
-    return df.withColumn(name, quantile_bin(c, quantile_edges(df, [c], tie, bins)[c], fallback))
+def qcut(
+    df: DataFrame, c: str, tie: list[str], bins: int, name: str, fallback: int = 3,
+    edges: Callable[..., dict[str, list[float]]] = quantile_edges,
+) -> DataFrame:
+    """Equal-frequency bin 1..``bins`` of one numeric column; ``edges`` can be :func:`sketch_edges`."""
+    return df.withColumn(name, quantile_bin(c, edges(df, [c], tie, bins)[c], fallback))
 
 
 def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -251,6 +251,20 @@ def _raw_ingest_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _order_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact decile edges of two amounts, one that hardly repeats and one that often does, in thousandths, and whether the sketch alone is near enough."""
+    amounts = tpch.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)").alias("total"), (F.col("o_custkey") % 7).alias("weekday")
+    )
+    exact = ordering.quantile_edges(amounts, ["total", "weekday"], [], 10)
+    near = ordering.sketch_edges(amounts, ["total", "weekday"], [], 10)
+    rows = []
+    for metric, edges in exact.items():
+        error = ordering.rank_error(amounts, metric, near[metric])
+        rows += [(metric, j, round(edge * 1000), error <= 1 / ordering.SKETCH_ACCURACY + 1e-9) for j, edge in enumerate(edges)]
+    return spark.createDataFrame(rows, "metric string, decile int, thousandths long, sketch_near boolean")
+
+
 def _new_name(kind: str) -> str:
     return f"{kind}_{uuid.uuid4().hex}"
 
@@ -348,6 +362,7 @@ def _load_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "order_quantiles": _order_quantiles,
     "rfm_live_view": _rfm_live_view,
     "summary_follows_fact": _summary_follows_fact,
     "incremental_fact": _incremental_fact,

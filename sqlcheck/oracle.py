@@ -471,6 +471,13 @@ WITH cents AS (
 SELECT CASE kind WHEN 1 THEN 'threshold' ELSE 'rate' END AS field, count(*) AS row_count FROM cents
 WHERE (kind = 0 AND price >= 1000000) OR (kind = 1 AND total >= 10000000) OR (kind = 2 AND price >= 1010000)
 GROUP BY 1""",
+        "order_quantiles": """
+SELECT metric, CAST(j AS INTEGER) AS decile, CAST(round(edge * 1000) AS BIGINT) AS thousandths, true AS sketch_near
+FROM (
+  SELECT metric, unnest(range(0, 11)) AS j, unnest(quantile_cont(v, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS edge
+  FROM (
+    SELECT 'total' AS metric, o_totalprice AS v FROM orders
+    UNION ALL SELECT 'weekday', CAST(o_custkey % 7 AS DOUBLE) FROM orders) GROUP BY metric)""",
         "failed_replace": "SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, s_acctbal FROM supplier",
         "table_as_select": "SELECT c_mktsegment, count(*) AS customers FROM customer GROUP BY c_mktsegment",
         "load_order": """

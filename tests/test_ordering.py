@@ -177,3 +177,49 @@ def test_inexact_metrics_are_refused(spark):
     df = spark.range(5).withColumn("v", F.rand(1))
     with pytest.raises(TypeError, match="v: double"):
         o.ntile_all(df, 5, "v", ["id"])
+
+
+def test_positions_by_counts_equal_sorting(spark):
+    """NULLs, heavy ties and positions at the ends of values, with and without sketches."""
+    random = np.random.default_rng(6)
+    v = [None if x < 0.05 else int(x * 10) for x in random.random(3000)]
+    w = [round(float(x), 4) for x in random.standard_normal(3000)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(v, w))], "id long, v int, w double")
+    df = df.withColumn("w", F.col("w").cast("decimal(12,4)")).repartition(5)
+    data = df.toPandas().sort_values("id")
+    wanted = [0, 1, 149, 150, 700, 1499, 2998, 2999]
+    for sketch in (False, True):
+        stats = o.order_statistics(df, ["v", "w"], ["id"], lambda n: wanted, sketch)
+        for m in ("v", "w"):
+            order = sorted(range(3000), key=lambda i: (data[m].iloc[i] is not None and data[m].iloc[i] == data[m].iloc[i],
+                                                       data[m].iloc[i] if data[m].iloc[i] == data[m].iloc[i] else 0, i))
+            assert stats[m].rows == 3000 and sorted(stats[m].at) == wanted
+            for position, found in stats[m].at.items():
+                value, number = data[m].iloc[order[position]], order[position]
+                assert (found[0] is None) == (value is None or value != value)
+                assert found[0] is None or float(found[0]) == float(value)
+                last = position == 2999 or data[m].iloc[order[position + 1]] != value
+                assert found[1:] == (() if last and found[0] is not None else (number,)) or found[0] is None
+
+
+def test_few_counts_are_shuffled(spark):
+    """A metric of few values is as few counts; with brackets, so is one whose values all differ."""
+    df = spark.range(20000).select("id", (F.col("id") % 3).alias("few"), (F.col("id") * 7919 % 20011).alias("many"))
+    assert o._counted_values(df, ["few"], None).count() == 3
+    brackets = o._brackets(df, ["many"], [4000, 4001, 12000], 20000)
+    assert o._counted_values(df, ["many"], brackets).count() < 1000
+    edges = o.quantile_edges(df, ["many", "few"], [], 5)
+    data = df.toPandas()
+    for m in ("many", "few"):
+        assert np.allclose(edges[m], np.quantile(data[m], [0, 0.2, 0.4, 0.6, 0.8, 1]))
+
+
+def test_sketch_edges_are_near(spark):
+    df = spark.range(30000).select("id", F.pmod(F.xxhash64("id"), F.lit(100000)).alias("v"))
+    for accuracy in (100, 2000):
+        edges = o.sketch_edges(df, ["v"], [], 5, accuracy)["v"]
+        assert 0 <= o.rank_error(df, "v", edges) <= 1 / accuracy
+    assert o.rank_error(df, "v", [0, 0, 50000, 100000]) > 0.1
+    assert o.sketch_edges(df.limit(0), ["v"], [], 5) == {"v": []} and o.rank_error(df.limit(0), "v", []) == 0.0
+    bins = {r["b"] for r in o.qcut(df, "v", [], 5, "b", edges=o.sketch_edges).select("b").distinct().collect()}
+    assert bins == {1, 2, 3, 4, 5}
