@@ -60,10 +60,10 @@ def align(df: DataFrame) -> DataFrame:
     )
 
 
-def union_logs(logs: dict[str, DataFrame]) -> DataFrame:
+def union_logs(logs: dict[str, DataFrame], clean: Callable[[DataFrame, str], DataFrame] = clean_log) -> DataFrame:
     """Cleaned logs as one, by source; a batch need not have all of them."""
     parts = [
-        align(clean_log(logs[source], source)).withColumn("_source_rank", F.lit(rank))
+        align(clean(logs[source], source)).withColumn("_source_rank", F.lit(rank))
         for rank, source in enumerate(SOURCES)
         if source in logs
     ]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from couponmill.operators.keyed import keyed_join
@@ -63,21 +63,33 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("row_count")).where("row_count > 1")
 
 
+def discount_losses(c: str = "discount_rate", eq_rate: str = "discount_eq_rate") -> dict[str, Column]:
+    """For each amount of a parsed discount: true where the declared decimals cannot hold it.
+
+    An amount beyond them is NULL, one too small for them is 0 although the text is not.
+    """
+    threshold = F.substring_index(c, ":", 1).try_cast("double")
+    reduction = F.substring_index(F.substring_index(c, ":", 2), ":", -1).try_cast("double")
+    fixed, plain = F.col("discount_type") == "fixed", F.col("discount_type") == "discount"
+
+    def lost(stored: str, parsed: Column) -> Column:
+        return F.col(stored).isNull() | ((F.col(stored) == 0) & (parsed != 0))
+
+    return {
+        "threshold": fixed & lost("discount_man", threshold),
+        "reduction": fixed & lost("discount_jian", reduction),
+        # The rate of a fixed reduction is rounded, so it may well be 0.
+        "rate": (plain & lost(eq_rate, F.col(c).try_cast("double"))) | (fixed & (threshold > 0) & F.col(eq_rate).isNull()),
+    }
+
+
 def discount_overflow(df: DataFrame, c: str = "discount_rate", eq_rate: str = "discount_eq_rate") -> DataFrame:
     """Parsed discounts that do not fit the declared decimals, with their row count.
 
-    Such an amount is NULL in its column; ``field`` says which one it was, so
+    Such an amount is NULL or 0 in its column; ``field`` says which one it was, so
     that none disappears uncounted.
     """
-    threshold = F.substring_index(c, ":", 1).try_cast("double")
-    fixed = F.col("discount_type") == "fixed"
-    rated = (F.col("discount_type") == "discount") | (fixed & (threshold > 0))
-    lost = {
-        "threshold": fixed & F.col("discount_man").isNull(),
-        "reduction": fixed & F.col("discount_jian").isNull(),
-        "rate": rated & F.col(eq_rate).isNull(),
-    }
-    fields = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in lost.items()]))
+    fields = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in discount_losses(c, eq_rate).items()]))
     return df.select(F.explode(fields).alias("field")).groupBy("field").agg(F.count("*").alias("row_count"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from couponmill.functions.cleaning import with_discount
-from couponmill.operators import ingest, integrity, ordering, star
+from couponmill.operators import ingest, integrity, ordering, rejects, star
 from couponmill.params import ReportParams
 from couponmill.plans import bucket, chart, export, incremental, liveview, merchant, rfm, summary, trend
 from couponmill.schema import CANONICAL, RAW_SCHEMAS
@@ -138,16 +138,50 @@ def _coupon_mix_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _discount_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices as rates, order totals as thresholds: many exceed the declared decimals."""
+    """Prices as rates, order totals as thresholds and reductions, and tiny amounts: many do not fit the declared decimals."""
     lines, orders = (tpch.table(spark, sf_dir, n) for n in ("lineitem", "orders"))
-    text = """CASE l_linenumber % 3
+    text = """CASE l_linenumber % 5
         WHEN 0 THEN cast(cast(l_extendedprice AS decimal(14,2)) AS string)
         WHEN 1 THEN concat(cast(cast(o_totalprice * 1000 AS decimal(18,2)) AS string), ':5')
-        ELSE concat('100:', cast(cast(l_extendedprice AS decimal(14,2)) AS string))
+        WHEN 2 THEN concat('100:', cast(cast(l_extendedprice AS decimal(14,2)) AS string))
+        WHEN 3 THEN concat('5:', cast(cast(o_totalprice * 1000 AS decimal(18,2)) AS string))
+        WHEN 4 THEN CASE l_suppkey % 2
+            WHEN 1 THEN concat('0.0000', l_suppkey % 9 + 1) ELSE concat('0.00', l_suppkey % 9 + 1, ':5') END
     END AS discount_rate"""
     return integrity.discount_overflow(with_discount(lines.join(orders, F.expr("l_orderkey = o_orderkey")).selectExpr(text)))
 
 
+def write_broken_logs(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, str]:
+    """The events as raw logs in which some lines and values cannot be read; returns the path of each."""
+    log = tpch.event_log(spark, sf_dir).withColumn("n", F.col("user_id") + F.col("merchant_id"))
+    text = {
+        "User_id": "CASE WHEN n % 13 = 0 THEN 'none' ELSE cast(user_id AS string) END",
+        "Merchant_id": "merchant_id",
+        "Action": "CASE WHEN n % 17 = 1 THEN 9 ELSE action END",
+        "Coupon_id": "coalesce(coupon_id, 'null')",
+        "Discount_rate": "CASE WHEN n % 19 = 2 THEN '15000' ELSE discount_rate END",
+        "Distance": "CASE WHEN n % 7 = 3 THEN 'far' WHEN n % 7 = 4 THEN 'N/A' ELSE cast(distance AS string) END",
+        "Date_received": "CASE WHEN n % 11 = 5 THEN '20001399' ELSE date_format(date_received, 'yyyyMMdd') END",
+        "Date": "CASE WHEN n % 5 = 4 THEN 'soon' ELSE date_format(date_used, 'yyyyMMdd') END",
+    }
+    paths = {}
+    for source in ingest.SOURCES:
+        paths[source] = f"{folder}/{source}"
+        rows = log.where(F.col("source") == source).selectExpr(*[f"{text[c]} AS {c}" for c in RAW_SCHEMAS[source].names])
+        rows.write.option("header", True).option("nullValue", "null").csv(paths[source])
+    return paths
+
+
+def _ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What loading the broken logs loses, and the rows that are left."""
+    paths = write_broken_logs(spark, sf_dir, scratch_folder(spark))
+    logs = {source: readers.read_raw(spark, path, source, keep_broken=True) for source, path in paths.items()}
+    fact, lost = rejects.build_fact_counted(logs)
+    # By distinct id, as every row left has one of its own.
+    left = fact.groupBy("source").agg(F.count_distinct("transaction_id").alias("row_count"))
+    return lost.unionByName(left.select("source", F.lit("kept").alias("field"), "row_count"))
+
+
 _LOADED = T.StructType([
     T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType()),
     T.StructField("c_acctbal", T.DoubleType()), T.StructField("c_mktsegment", T.StringType()),
@@ -362,6 +396,7 @@ def _load_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "ingest_rejects": _ingest_rejects,
     "order_quantiles": _order_quantiles,
     "rfm_live_view": _rfm_live_view,
     "summary_follows_fact": _summary_follows_fact,

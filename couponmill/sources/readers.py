@@ -20,19 +20,27 @@ log = logging.getLogger(__name__)
 MARK = "couponmill.parameters"
 
 
-def read_raw(spark: SparkSession, path: str, kind: str, position: bool = True, mode: str = "FAILFAST") -> DataFrame:
+# Column that holds a line which does not fit the declared columns.
+BROKEN_LINE = "_broken_line"
+
+
+def read_raw(
+    spark: SparkSession, path: str, kind: str, position: bool = True, mode: str = "FAILFAST", keep_broken: bool = False
+) -> DataFrame:
     """A raw behaviour log (``online``, ``offline`` or ``offline_test``).
 
     ``position`` adds the file, block and row position that number the rows in
-    input order.
+    input order.  A line that does not fit the declared columns ends the
+    load; with ``keep_broken`` it comes as a row with the line in BROKEN_LINE instead.
     """
-    df = (
-        spark.read.schema(RAW_SCHEMAS[kind])
-        .option("header", True)
-        .option("nullValue", "null")
-        .option("mode", mode)
-        .csv(path)
-    )
+    schema = RAW_SCHEMAS[kind]
+    reader = spark.read.option("header", True).option("nullValue", "null")
+    if keep_broken:
+        schema = T.StructType([*schema.fields, T.StructField(BROKEN_LINE, T.StringType())])
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN_LINE)
+    else:
+        reader = reader.option("mode", mode)
+    df = reader.schema(schema).csv(path)
     if not position:
         return df
     return df.select(

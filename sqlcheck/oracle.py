@@ -464,20 +464,29 @@ GROUP BY merchant_id, discount_type""",
         # Limits of DECIMAL(10,2) and DECIMAL(6,4) in cents: a text's value over 100, and 1 less than a price over 100.
         "discount_overflow": """
 WITH cents AS (
-  SELECT l_linenumber % 3 AS kind, CAST(round(l_extendedprice * 100) AS BIGINT) AS price,
-    CAST(round(o_totalprice * 100) AS BIGINT) AS total
+  SELECT l_linenumber % 5 AS kind, CAST(round(l_extendedprice * 100) AS BIGINT) AS price,
+    CAST(round(o_totalprice * 100) AS BIGINT) AS total, l_suppkey % 2 = 1 AS is_rate, l_suppkey % 9 + 1 AS tiny
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 )
-SELECT CASE kind WHEN 1 THEN 'threshold' ELSE 'rate' END AS field, count(*) AS row_count FROM cents
-WHERE (kind = 0 AND price >= 1000000) OR (kind = 1 AND total >= 10000000) OR (kind = 2 AND price >= 1010000)
-GROUP BY 1""",
-        "order_quantiles": """
-SELECT metric, CAST(j AS INTEGER) AS decile, CAST(round(edge * 1000) AS BIGINT) AS thousandths, true AS sketch_near
-FROM (
-  SELECT metric, unnest(range(0, 11)) AS j, unnest(quantile_cont(v, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS edge
-  FROM (
-    SELECT 'total' AS metric, o_totalprice AS v FROM orders
-    UNION ALL SELECT 'weekday', CAST(o_custkey % 7 AS DOUBLE) FROM orders) GROUP BY metric)""",
+SELECT field, count(*) AS row_count FROM (
+  SELECT 'rate' AS field FROM cents WHERE (kind = 0 AND price >= 1000000) OR (kind = 2 AND price >= 1010000)
+    OR kind = 3 OR (kind = 4 AND (NOT is_rate OR tiny < 5))
+  UNION ALL SELECT 'threshold' FROM cents WHERE (kind = 1 AND total >= 10000000) OR (kind = 4 AND NOT is_rate AND tiny < 5)
+  UNION ALL SELECT 'reduction' FROM cents WHERE kind = 3 AND total >= 10000000)
+GROUP BY field""",
+        "ingest_rejects": _with(FACT) + """,
+logged_n AS (SELECT *, user_id + merchant_id AS n, (user_id + merchant_id) % 13 = 0 AS broken FROM fact),
+read AS (SELECT * FROM logged_n WHERE NOT broken)
+SELECT source, 'lines' AS field, count(*) AS row_count FROM logged_n GROUP BY 1
+UNION ALL SELECT source, 'broken_lines', count(*) FILTER (WHERE broken) FROM logged_n GROUP BY 1
+UNION ALL SELECT source, 'kept', count(*) FROM read GROUP BY 1
+UNION ALL SELECT source, 'date_received', count(*) FILTER (WHERE n % 11 = 5) FROM read GROUP BY 1
+UNION ALL SELECT source, 'date_used', count(*) FILTER (WHERE n % 5 = 4) FROM read WHERE source <> 'offline_test' GROUP BY 1
+UNION ALL SELECT source, 'distance', count(*) FILTER (WHERE n % 7 = 3) FROM read WHERE source <> 'online' GROUP BY 1
+UNION ALL SELECT source, 'action', count(*) FILTER (WHERE n % 17 = 1) FROM read WHERE source = 'online' GROUP BY 1
+UNION ALL SELECT 'discounts', 'threshold', 0
+UNION ALL SELECT 'discounts', 'reduction', 0
+UNION ALL SELECT 'discounts', 'rate', count(*) FILTER (WHERE n % 19 = 2) FROM read""",
         "failed_replace": "SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, s_acctbal FROM supplier",
         "table_as_select": "SELECT c_mktsegment, count(*) AS customers FROM customer GROUP BY c_mktsegment",
         "load_order": """

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from couponmill.operators import ingest, star
 from couponmill.schema import TRANSACTIONS
+from couponmill.session import stage
 from couponmill.sources import readers, writers
 
 ONLINE = """User_id,Merchant_id,Action,Coupon_id,Discount_rate,Date_received,Date
@@ -146,3 +147,29 @@ def test_stored_fact_is_in_day_order_and_typed(spark, tables, tmp_path):
         assert days == [None] * (len(days) - len(known)) + sorted(known)
     used = stored.transactions.where("date_used >= '2016-02-01'")
     assert "GreaterThanOrEqual(date_used,2016-02-01)" in used._jdf.queryExecution().executedPlan().toString()
+
+
+def test_broken_lines_and_lost_values_are_counted(spark, tmp_path):
+    from couponmill.operators import rejects
+
+    (tmp_path / "offline.csv").write_text(
+        "User_id,Merchant_id,Coupon_id,Discount_rate,Distance,Date_received,Date\n"
+        "1,2,c1,0.8,3,20000101,20000102\n"
+        "x,2,c1,0.8,3,20000101,20000102\n"
+        "1,2,c1\n"
+        "1,2,c1,0.8,far,20001301,null\n"
+        "3,2,null,15000,null,null,later\n"
+        "3,2,null,null,NA,20000105,null\n"
+    )
+    log = readers.read_raw(spark, str(tmp_path / "offline.csv"), "offline", keep_broken=True)
+    written = []
+    fact, lost = rejects.build_fact_counted({"offline": log}, put=lambda df: written.append(df) or stage(df))
+    got = {(r.source, r.field): r.row_count for r in lost.collect()}
+    assert got == {
+        ("offline", "lines"): 6, ("offline", "broken_lines"): 2, ("offline", "date_received"): 1, ("offline", "date_used"): 1,
+        ("offline", "distance"): 1, ("discounts", "threshold"): 0, ("discounts", "reduction"): 0, ("discounts", "rate"): 1,
+    }
+    assert len(written) == 2
+    assert sorted(r.transaction_id for r in fact.collect()) == [1, 2, 3, 4]
+    with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
+        readers.read_raw(spark, str(tmp_path / "offline.csv"), "offline").collect()

@@ -102,6 +102,14 @@ def test_overflowing_discounts_are_counted(spark):
     assert g.discount_overflow(df.limit(0)).count() == 0
 
 
+def test_amounts_too_small_for_their_decimals_are_counted(spark):
+    texts = ["0.00004", "0.00006", "0.004:0.001", "0.005:1", "100:0.001", "100:0", "0:0", "100000:99999", "0.8"]
+    df = with_discount(spark.createDataFrame([(t,) for t in texts], "discount_rate string"))
+    got = {r.field: r.row_count for r in g.discount_overflow(df).collect()}
+    # 0.005:1 has a threshold of 0.01 but a rate below the declared decimals.
+    assert got == {"rate": 2, "threshold": 1, "reduction": 2}
+
+
 def test_ties_of_the_equivalent_rate_are_exact(spark):
     """153 / 160 is 0.95625 exactly and 151 / 160 is 0.94375: half to even."""
     df = with_discount(spark.createDataFrame([("160:7",), ("160:9",)], "discount_rate string"))
