@@ -47,16 +47,21 @@ def with_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFr
     copies of one row do not end up in one task.
     """
     keys = [*sort_columns(order), F.col("_from")]
-    placed = stage(
+    placed = (
         df.withColumn("_from", F.spark_partition_id())
         .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
-        .withColumn("_pos", F.monotonically_increasing_id())
         .drop("_from")
     )
+    return with_position(placed, name)
+
+
+def with_position(df: DataFrame, name: str = "position") -> DataFrame:
+    """Consecutive 1..N in the order that ``df`` has, partition after partition; nothing is sorted or moved."""
+    placed = stage(df.withColumn("_pos", F.monotonically_increasing_id()))
     part = F.shiftright("_pos", _PARTITION_SHIFT).alias("_part")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per range partition, of which there are at most spark.sql.shuffle.partitions.
+    # One row per partition, of which there are at most spark.sql.shuffle.partitions after a sort.
     offsets = (
         placed.groupBy(part)
         .agg(F.count("*").alias("_n"))

@@ -299,6 +299,20 @@ def _order_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "metric string, decile int, thousandths long, sketch_near boolean")
 
 
+def _in_order(query: Query, *columns: str) -> Query:
+    """The place of every row in the order in which a report gives them."""
+    return lambda spark, sf_dir: ordering.with_position(query(spark, sf_dir)).select("position", *columns)
+
+
+def _ordered_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users written in key order, with the place of each in the files as they lie: file by file, row by row."""
+    path = scratch_folder(spark)
+    users = tpch.dimensions(spark, sf_dir)["users"].repartition(4)
+    writers.write_sorted(users, "user_id", path)
+    lying = spark.read.parquet(path).select("user_id", "_metadata.file_name", "_metadata.row_index")
+    return ordering.with_row_id(lying, ["file_name", "row_index"], "position").select("position", "user_id")
+
+
 def _new_name(kind: str) -> str:
     return f"{kind}_{uuid.uuid4().hex}"
 
@@ -396,6 +410,10 @@ def _load_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "ordered_by_metric": _in_order(_over_merchants(merchant.merchant_usage), "merchant_id"),
+    "ordered_by_key": _in_order(_over_events(export.export_monthly), "year_month"),
+    "ordered_by_label": _in_order(_over_events(bucket.gap_distribution), "gap_bucket"),
+    "ordered_dimension": _ordered_dimension,
     "ingest_rejects": _ingest_rejects,
     "order_quantiles": _order_quantiles,
     "rfm_live_view": _rfm_live_view,

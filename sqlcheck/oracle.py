@@ -361,6 +361,16 @@ def queries() -> dict[str, str]:
         "incremental_day_type": sql["export_day_type"],
         "incremental_labels": sql["rollup_counts"],
         "csv_append_once": sql["csv_append"],
+        # The order of a report as the place of every row.
+        "ordered_by_metric": f"""
+SELECT row_number() OVER (ORDER BY usage_rate_pct DESC, merchant_id) AS position, CAST(merchant_id AS BIGINT) AS merchant_id
+FROM ({sql["merchant_usage"]})""",
+        "ordered_by_key": f"SELECT row_number() OVER (ORDER BY year_month) AS position, year_month FROM ({sql['export_monthly']})",
+        "ordered_by_label": f"""
+SELECT row_number() OVER (ORDER BY list_position(
+  ['当天核销', '次日核销', '2-3天', '4-7天', '8-15天', '16-30天', '>30天', '未核销'], gap_bucket)) AS position, gap_bucket
+FROM ({sql["gap_distribution"]})""",
+        "ordered_dimension": "SELECT row_number() OVER (ORDER BY c_custkey) AS position, CAST(c_custkey AS BIGINT) AS user_id FROM customer",
     }
 
 
