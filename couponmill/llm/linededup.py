@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from couponmill.session import stage
 
 RATIO = 0.1
-# A line on fewer pages of a host is never boilerplate, however small the host.
-MIN_PAGES = 5
+# A line on one page alone repeats nothing, whatever share of a tiny host that page is.
+MIN_PAGES = 2
 # Beyond this many boilerplate lines the lists are joined by shuffle instead of broadcast.
 BROADCAST_LINES = 200_000
 # Pages of a host that one task of that shuffle gets at most, about.
@@ -48,21 +48,32 @@ def drop_boilerplate(
     host: str = "source",
     text: str = "text",
     ratio: float = RATIO,
-    min_pages: int = MIN_PAGES,
 ) -> DataFrame:
     """``docs`` without the lines that more than ``ratio`` of the host's pages contain.
 
-    Adds ``lines_dropped``.  The other lines keep their order and form; a page
-    can end up empty but stays.  NULL and empty texts stay as they are and count
-    as pages; pages without a host form one host; an empty table stays empty;
-    pages that repeat count each.  Other columns pass through.
+    Adds ``lines_dropped``; a column of that name is replaced.  A line on a
+    single page of its host stays, so a host of one page loses nothing; beyond
+    that the ratio alone decides, also on small hosts: a menu on 4 of 4 pages goes.
+    The other lines keep their order and form; a page can end up empty but stays.
+    NULL and empty texts stay as they are and count as pages; pages without a
+    host form one host; an empty table stays empty; pages that repeat count
+    each.  Other columns pass through, whatever their names.
 
     The pages themselves are not regrouped: every host's boilerplate lines, of
     which there are at most (lines of a page / ratio), come to its pages.
     """
+    # Own names, so that no column of the input can clash with those made here.
+    names = {f"c{i}": c for i, c in enumerate(docs.columns) if c != "lines_dropped"}
+    plain = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in names.items()])
+    keys = {c: k for k, c in names.items()}
+    done = _without_boilerplate(plain, keys[host], keys[text], ratio)
+    return done.select(*[F.col(k).alias(c) for k, c in names.items()], "lines_dropped")
+
+
+def _without_boilerplate(docs: DataFrame, host: str, text: str, ratio: float) -> DataFrame:
     frequent = stage(
         line_shares(docs, host, text)
-        .where((F.col("pages") >= min_pages) & (F.col("pages") > F.lit(ratio) * F.col("total")))
+        .where((F.col("pages") >= MIN_PAGES) & (F.col("pages") > F.lit(ratio) * F.col("total")))
         .select(F.col(host).alias("_host"), "line_key", "total")
     )
     lists = frequent.groupBy("_host").agg(F.collect_list("line_key").alias("_bad"), F.max("total").alias("_total"))
@@ -81,12 +92,10 @@ def drop_boilerplate(
         spread = spread.drop("_host", "_last")
         joined = spread.join(salted.drop("_last", "_total"), here & (spread["_salt"] == salted["_salt"]), "left")
     kept = F.filter(_lines(text), lambda x: ~F.coalesce(F.array_contains("_bad", _key(x)), F.lit(False)))
-    work = joined.select(*[docs[c] for c in docs.columns if c != "lines_dropped"], "_bad")
-    work = work.withColumn("_kept", F.when(F.col("_bad").isNotNull(), kept))
+    work = joined.select(*docs.columns, "_bad").withColumn("_kept", F.when(F.col("_bad").isNotNull(), kept))
     dropped = F.coalesce(F.size(_lines(text)) - F.size("_kept"), F.lit(0))
     new_text = F.when(dropped > 0, F.array_join("_kept", "\n")).otherwise(F.col(text))
-    columns = [new_text.alias(c) if c == text else F.col(c) for c in docs.columns if c != "lines_dropped"]
-    return work.select(*columns, dropped.alias("lines_dropped"))
+    return work.select(*[new_text.alias(c) if c == text else F.col(c) for c in docs.columns], dropped.alias("lines_dropped"))
 
 
 OP10_SQL = f"""

@@ -159,13 +159,33 @@ def test_line_dedup_cases(spark, monkeypatch, limit, pages):
     rows += [(20, None, "menu"), (21, None, None), (22, "a", ""), (0, "a", "menu\nbody 0\n\n menu ")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, text string, lines_dropped int")
     got = sorted((r["doc_id"], r["text"] or "", r["lines_dropped"]) for r in linededup.drop_boilerplate(df).collect())
-    expected = [(i, f"body {i}\n", 2) for i in range(10)] + [(i, f"menu\nother {i}", 0) for i in range(10, 13)]
-    assert got == sorted([*expected, (0, "body 0\n", 2), (20, "menu", 0), (21, "", 0), (22, "", 0)])
+    # The row that repeats is two of twelve pages, so its own line goes too.
+    expected = [(i, f"body {i}\n", 2) for i in range(1, 10)] + [(i, f"other {i}", 1) for i in range(10, 13)]
+    assert got == sorted([*expected, (0, "", 3), (0, "", 3), (20, "menu", 0), (21, "", 0), (22, "", 0)])
     assert linededup.drop_boilerplate(df.limit(0)).count() == 0
     shares = {(r["source"], r["total"], r["pages"]) for r in linededup.line_shares(df).where("pages > 5").collect()}
     assert shares == {("a", 12, 11)}
 
 
+def test_line_dedup_goes_by_the_ratio_alone(spark):
+    """Hosts of one page, of four and of forty; internal names as columns of the input."""
+    rows = [(0, "one", "menu\nx"), (1, "one-copy", "a\nb"), (1, "one-copy", "a\nb")]
+    rows += [(10 + i, "four", f"menu\nbody {i}") for i in range(4)]
+    # On forty pages: 4 pages are a tenth and stay, 5 are more and go.
+    rows += [(20 + i, "forty", f"page {i}" + ("\ntenth" if i < 4 else "") + ("\nmore" if i % 8 == 0 else "")) for i in range(40)]
+    df = spark.createDataFrame([(*r, "h", "b", 7) for r in rows], "doc_id long, source string, text string, _host string, _bad string, total int")
+    got = linededup.drop_boilerplate(df)
+    assert got.columns == [*df.columns, "lines_dropped"]
+    text = {(r["source"], r["doc_id"]): (r["text"], r["lines_dropped"], r["_host"], r["_bad"], r["total"]) for r in got.collect()}
+    kept = {k: (v[0], v[1]) for k, v in text.items()}
+    assert all(v[2:] == ("h", "b", 7) for v in text.values())
+    assert kept["one", 0] == ("menu\nx", 0) and kept["one-copy", 1] == ("", 2)
+    assert all(kept["four", 10 + i] == (f"body {i}", 1) for i in range(4))
+    for i in range(40):
+        want = f"page {i}" + ("\ntenth" if i < 4 else "")
+        assert kept["forty", 20 + i] == (want, int(i % 8 == 0))
+
+
 def test_line_dedup_of_odd_rows(spark):
     df = brute.odd_documents(spark)
     assert linededup.drop_boilerplate(df).drop("lines_dropped").columns == df.columns
@@ -227,3 +247,27 @@ def test_neighbouring_licenses_are_told_apart(spark, sf_dir):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan(df, model=licenses.fit(docs)).collect()}
     assert [(cases[i][0], got[i]) for i in got] == [cases[i] for i in got]
+
+
+def test_copies_of_one_junk_text_are_rejected(spark):
+    """Few different texts in many copies still train the scorer."""
+    junk = "BUY NOW!!! $$$ ### CHEAP!!! ||| WIN WIN WIN!!! $$$ %%% BUY BUY NOW!!! ### | | | CLICK!!! $$$"
+    model = quality.fit(spark.range(20_000).select(F.lit(junk).alias("text")))
+    assert model.votes.prior < 0.5 and model.weights.any()
+    df = spark.createDataFrame([(junk,), (brute.PROSE,)], "text string")
+    assert {r["text"]: r["kept"] for r in quality.classify(df, model).collect()}[junk] is False
+
+
+def test_signs_and_capitals_beyond_ascii():
+    """Characters are classed by their Unicode category, so stars are signs and Cyrillic capitals are capitals."""
+    names = [label.name for label in quality.LABELLERS]
+    texts = [
+        "★ ☆ ■ □ ▲ word word word word word ★ ☆ ■ □ ▲ ★ ☆ ■ □ ▲", "КУПИ СЕЙЧАС ДЕШЕВО ТОЛЬКО СЕГОДНЯ", "� � � a b c d e � � �",
+        "Летом мы плыли по реке, и вечером долго смотрели на огни.", "Été naïve, où l’œuvre « française » coûte peu.", None, "",
+    ]
+    r = quality.Reading.of(pa.array(texts, pa.string()))
+    assert np.diff(r.offsets).tolist() == [len(t or "") for t in texts]
+    cast = [{names[j] for j in np.flatnonzero(row != quality.NONE)} for row in quality.votes(r)]
+    assert "signs" in cast[0] and "capitals" in cast[1] and "signs" in cast[2]
+    for i in (3, 4):
+        assert not {"signs", "capitals", "not_letters"} & cast[i] and "varied" in cast[i]
