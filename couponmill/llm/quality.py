@@ -9,8 +9,10 @@ which decides.  No given label is used.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,33 @@ KEEP = 0.5
 _CLASS = np.full(256, 9, np.uint8)  # any other sign
 for _number, _bytes in enumerate((b" \t", b"\n\r", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:", b"!?", b"'\"()-/", b"|")):
     _CLASS[list(_bytes)] = _number
-_CLASS[128:] = 2
 _CLASSES = 10
 BLANK, LINE, LOWER, UPPER, DIGIT, STOP, LOUD, SOFT, BAR, OTHER = range(_CLASSES)
 
 
+# Class of a code point beyond ASCII by the first letters of its Unicode category; others are other signs.
+_CATEGORIES = {"Lu": UPPER, "Lt": UPPER, "L": LOWER, "M": LOWER, "N": DIGIT, "P": SOFT, "Z": BLANK}
+
+
+@lru_cache(maxsize=1)
+def _class_of_code_points() -> np.ndarray:
+    table = np.full(0x110000, OTHER, np.uint8)
+    table[:128] = _CLASS[:128]
+    for point in range(128, 0x110000):
+        category = unicodedata.category(chr(point))
+        table[point] = _CATEGORIES.get(category, _CATEGORIES.get(category[0], OTHER))
+    return table
+
+
+def signs_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of every character of UTF-8 texts, and where each text's characters begin."""
+    if not (data & 0x80).any():
+        return _CLASS[data], offsets
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    begun = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return _class_of_code_points()[points], begun[offsets]
+
+
 @dataclass(frozen=True)
 class Labeller:
     """Votes ``vote`` if its quantity lies above ``above`` and below ``below``, else nothing."""
@@ -69,7 +93,7 @@ def _per_text(values: np.ndarray, index: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Reading:
-    """What one look at some texts gives: byte classes and words."""
+    """What one look at some texts gives: classes of characters, and words."""
 
     kind: np.ndarray
     offsets: np.ndarray
@@ -79,7 +103,7 @@ class Reading:
     @classmethod
     def of(cls, column: pa.Array) -> Reading:
         data, offsets = utf8(column)
-        return cls(_CLASS[data], offsets, *words(data, offsets))
+        return cls(*signs_of(data, offsets), *words(data, offsets))
 
     def repeats(self) -> np.ndarray:
         """Words that equal the word before them in the same text."""
@@ -189,7 +213,7 @@ def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, rounds: int
 
 
 def features(r: Reading) -> np.ndarray:
-    """Hashed features: square-rooted shares of byte-class trigrams and of word repetition patterns."""
+    """Hashed features: square-rooted shares of character-class trigrams and of word repetition patterns."""
     n = len(r.offsets) - 1
     size, n_words = np.diff(r.offsets), np.diff(r.index)
     kind = r.kind.astype(np.int32)
@@ -246,7 +270,7 @@ class QualityModel:
 
 
 def fit(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS) -> QualityModel:
-    """Votes of all documents, then a scorer on about ``train_rows`` of them.
+    """Votes of all documents, then a scorer on about ``train_rows`` of the different texts (all of them, if fewer).
 
     The driver gets the counts of the vote patterns (at most 3^labellers rows)
     and the features of the training rows.  An empty table gives a model that
@@ -263,6 +287,7 @@ def fit(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS) -> Qu
 
     counted = docs.select(text).mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     rows = counted.collect()
+    mark = F.xxhash64(F.coalesce(text, F.lit("")), F.lit("train"))
     pattern = np.array([r["pattern"] for r in rows], np.int64)
     count = np.array([r["n"] for r in rows], np.float64)
     if not len(rows):
@@ -279,13 +304,13 @@ def fit(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS) -> Qu
                     [pa.array(patterns(votes(r))), pa.array(x, pa.binary())], names=["pattern", "features"]
                 )
 
+    # A part of the different texts, whose number is estimated: of few texts in many copies all are taken.
     million = 1_000_000
-    share = min(million, -(-train_rows * million // total))
-    picked = docs.select(text).where(F.pmod(F.xxhash64(F.coalesce(text, F.lit("")), F.lit("train")), F.lit(million)) < share)
+    texts = docs.agg(F.approx_count_distinct(mark, 0.02)).first()[0]
+    share = min(million, -(-train_rows * million // max(texts, 1)))
+    picked = docs.select(text).where(F.pmod(mark, F.lit(million)) < share)
     # Copies of one text carry one label; one row of each is enough.
     sample = picked.distinct().mapInArrow(featured, "pattern long, features binary").limit(2 * train_rows).collect()
-    if not sample:
-        return QualityModel(model, np.zeros(BUCKETS), 1.0, total)
     x = np.stack([np.frombuffer(r["features"], np.float16) for r in sample]).astype(np.float32)
     target = model.posterior(np.array([r["pattern"] for r in sample], np.int64))
     return QualityModel(model, *train(x, target), total)
