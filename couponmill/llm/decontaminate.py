@@ -3,8 +3,9 @@
 Each slice of a partition is a shard.  Its suffix array holds the positions
 whose first words occur in a test item (no other suffix can match one), in the
 order of their next ``window`` words.  The suffixes of the test items are found in
-it by binary search; matches that continue each other add up to the longest
-verbatim match.  No document leaves its partition.
+it by binary search.  The longest verbatim match at a position found is the longer
+common prefix with its two neighbours in the full suffix array of the items; a
+match that no longer one contains is a span.  No document leaves its partition.
 """
 
 from __future__ import annotations
@@ -45,6 +46,93 @@ class TestSuffixes:
     #: length -> (sorted windows as rows of word codes, item of each)
     windows: dict[int, tuple[np.ndarray, np.ndarray]]
     names: list[str]
+    suffixes: ItemSuffixes
+    window: int
+
+
+# Odd multiplier of the hashes that compare runs of words.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _prefix_hashes(code: np.ndarray) -> np.ndarray:
+    """Sums of ``mix(code) * base^position``, by which runs of words are compared wherever they lie."""
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(len(code) - 1, 0), _BASE)]))[: len(code)]
+        return np.concatenate([[np.uint64(0)], np.cumsum(mix(code.astype(np.uint64)) * power)])
+
+
+@dataclass
+class ItemSuffixes:
+    """All suffixes of the items of at least a window's length, in order."""
+
+    code: np.ndarray
+    end: np.ndarray
+    item: np.ndarray
+    order: np.ndarray
+    hashes: np.ndarray
+
+    @classmethod
+    def of(cls, code: np.ndarray, index: np.ndarray, items: np.ndarray) -> ItemSuffixes:
+        """Sorted by doubling: the rank of twice as many words is a pair of ranks.  A suffix that ends sorts first."""
+        end = np.repeat(index[1:], np.diff(index))
+        position = np.arange(len(code))
+        rank, step = code.astype(np.int64), 1
+        order = np.argsort(rank, kind="stable")
+        while len(code):
+            ahead = np.where(position + step < end, rank[np.minimum(position + step, len(code) - 1)], 0)
+            pair = rank * (rank.max() + 1) + ahead
+            order = np.argsort(pair, kind="stable")
+            fresh = np.ones(len(code), np.int64)
+            fresh[1:] = pair[order][1:] != pair[order][:-1]
+            rank = np.empty(len(code), np.int64)
+            rank[order] = np.cumsum(fresh)
+            step *= 2
+            if fresh.all() or step >= (end - position).max():
+                break
+        return cls(code, end, np.repeat(items, np.diff(index)), order, _prefix_hashes(code))
+
+    def common(self, hashes: np.ndarray, at: np.ndarray, end: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        """Words that the text from each of ``at`` has in common with an item suffix: by bisection of the hashes."""
+        low = np.zeros(len(at), np.int64)
+        high = np.minimum(end - at, self.end[suffix] - suffix)
+        shift = np.abs(at - suffix)
+        with np.errstate(over="ignore"):
+            scale = _powers(shift)
+            while (low < high).any():
+                middle = (low + high + 1) // 2
+                text = hashes[at + middle] - hashes[at]
+                item = self.hashes[suffix + middle] - self.hashes[suffix]
+                same = np.where(at > suffix, text == item * scale, text * scale == item)
+                low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+        return low
+
+    def longest(self, code: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Longest match at each of ``at`` in the coded texts, and an item that has it."""
+        hashes = _prefix_hashes(code)
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.order))
+        while (low < high).any():
+            middle = (low + high) // 2
+            suffix = self.order[np.minimum(middle, len(self.order) - 1)]
+            n = self.common(hashes, at, end, suffix)
+            # Where one of the two ends, the shorter is the smaller.
+            text_next = np.where(at + n < end, code[np.minimum(at + n, len(code) - 1)].astype(np.int64), -1)
+            item_next = np.where(suffix + n < self.end[suffix], self.code[np.minimum(suffix + n, len(self.code) - 1)].astype(np.int64), -1)
+            before = (item_next < text_next) & (low < high)
+            low, high = np.where(before, middle + 1, low), np.where(before | (low >= high), high, middle)
+        left, right = self.order[np.maximum(low - 1, 0)], self.order[np.minimum(low, len(self.order) - 1)]
+        by_left, by_right = self.common(hashes, at, end, left), self.common(hashes, at, end, right)
+        better = (by_right > by_left) | ((by_right == by_left) & (self.item[right] < self.item[left]))
+        return np.maximum(by_left, by_right), np.where(better, self.item[right], self.item[left])
+
+
+def _powers(exponent: np.ndarray) -> np.ndarray:
+    """The base to each exponent, modulo 2^64."""
+    out, square, rest = np.ones(len(exponent), np.uint64), _BASE, exponent.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        while rest.any():
+            out = np.where(rest & np.uint64(1), out * square, out)
+            square, rest = square * square, rest >> np.uint64(1)
+    return out
 
 
 def _packed(rows: np.ndarray) -> np.ndarray:
@@ -75,7 +163,19 @@ def prepare(names: list[str], texts: list[str | None], window: int = WINDOW) ->
     if windows:
         runs, _ = ngrams(code.astype(np.uint64), index, lead_words)
         lead = np.unique(runs)
-    return TestSuffixes(vocabulary, lead, lead_words, windows, names)
+    long = np.flatnonzero(np.diff(index) >= window)
+    parts = [code[index[i] : index[i + 1]] for i in long]
+    begins = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+    suffixes = ItemSuffixes.of(np.concatenate([np.zeros(0, np.uint32), *parts]), begins, long)
+    return TestSuffixes(vocabulary, lead, lead_words, windows, names, suffixes, window)
+
+
+def text_codes(test: TestSuffixes, value: np.ndarray) -> np.ndarray:
+    """Codes of the words of texts; 0 for a word that no item has."""
+    if not len(test.vocabulary):
+        return np.zeros(len(value), np.uint32)
+    at, known = _member(test.vocabulary, value)
+    return np.where(known, at + 1, 0).astype(np.uint32)
 
 
 def _member(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +188,8 @@ def matches(test: TestSuffixes, value: np.ndarray, index: np.ndarray) -> Iterato
     """For each window length: positions in the shard and the item that occurs there."""
     if not len(value) or not test.windows:
         return
-    at, known = _member(test.vocabulary, value)
-    code = np.where(known, at + 1, 0).astype(np.uint32)
+    code = text_codes(test, value)
+    known = code > 0
     text_end = np.repeat(index[1:], np.diff(index))
     lead = test.lead_words
     run = np.zeros(len(code), np.uint64)
@@ -122,25 +222,31 @@ def matches(test: TestSuffixes, value: np.ndarray, index: np.ndarray) -> Iterato
                 yield n, suffix_array[low[i] : high[i]], np.int64(item)
 
 
-def _shard_spans(test: TestSuffixes, value: np.ndarray, index: np.ndarray) -> list[list[dict]]:
-    """Matches of every text of a shard: first word, words and item.
-
-    Windows that start one after another are one longer match.
-    """
-    found: dict[tuple[int, int], list[np.ndarray]] = {}
-    for n, position, item in matches(test, value, index):
-        found.setdefault((n, int(item)), []).append(position)
+def _shard_spans(test: TestSuffixes, value: np.ndarray, index: np.ndarray) -> tuple[list[list[dict]], list[list[str]]]:
+    """Longest verbatim matches of every text of a shard (first word, words, item), and all items that occur in it."""
     spans: list[list[dict]] = [[] for _ in range(len(index) - 1)]
-    for (n, item), parts in found.items():
-        position = np.unique(np.concatenate(parts))
+    items: list[set] = [set() for _ in range(len(index) - 1)]
+    starts = [np.zeros(0, np.int64)]
+    for n, position, item in matches(test, value, index):
+        text = np.searchsorted(index, position, "right") - 1
+        for t in np.unique(text):
+            items[t].add(test.names[item])
+        if n < test.window:
+            # A short item occurs as a whole.
+            for t, start in zip(text, position - index[text]):
+                spans[t].append({"start": int(start), "length": int(n), "item": test.names[item]})
+        else:
+            starts.append(position)
+    position = np.unique(np.concatenate(starts))
+    if len(position):
         text = np.searchsorted(index, position, "right") - 1
-        first = np.ones(len(position), bool)
-        first[1:] = (np.diff(position) > 1) | (np.diff(text) > 0)
-        begin = np.flatnonzero(first)
-        end = np.append(begin[1:], len(position)) - 1
-        for t, start, length in zip(text[begin], position[begin] - index[text[begin]], position[end] - position[begin] + n):
-            spans[t].append({"start": int(start), "length": int(length), "item": test.names[item]})
-    return spans
+        length, item = test.suffixes.longest(text_codes(test, value), position, index[text + 1])
+        # A match is left out if the one that starts a word before reaches as far.
+        whole = np.ones(len(position), bool)
+        whole[1:] = (np.diff(position) > 1) | (np.diff(text) > 0) | (length[1:] >= length[:-1])
+        for t, start, n, i in zip(text[whole], (position - index[text])[whole], length[whole], item[whole]):
+            spans[t].append({"start": int(start), "length": int(n), "item": test.names[i]})
+    return spans, [sorted(found) for found in items]
 
 
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[tuple[list[str], list[str | None]]]:
@@ -174,7 +280,8 @@ def contamination(
     strings.  A document is contaminated if at least one in twenty of its words
     is hit.  NULL, empty and wordless texts and items match nothing; items that
     repeat count once; a NULL item id is called ``null``; an empty table of
-    items leaves every document clean; columns of the same names are replaced.
+    items leaves every document clean; columns of the same names are replaced, all others pass through.
+    A span names one item; where several have the match, it is one of them.
 
     The items reach the workers in blocks of BLOCK_WORDS words.  One block, the
     usual case, is one pass over the documents; for more, the documents are
@@ -182,51 +289,56 @@ def contamination(
     """
     spark = docs.sparkSession
     ship(spark)
-    spanned = "_spans"
+    # Own names, so that no column of the input can clash with those made here.
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    docs = docs.toDF(*names)
+    text = next(k for k, c in names.items() if c == text)
     blocks = _blocks(items, item_id, item_text)
     first = next(blocks)
     second = next(blocks, None)
     if second is None:
-        found = _pass(docs, text, first, window, spanned)
+        found = _pass(docs, text, first, window)
     else:
-        docs = stage(docs.withColumn("_row", F.monotonically_increasing_id()))
+        docs = stage(docs.withColumn("row", F.monotonically_increasing_id()))
         parts, block = None, first
         while block is not None:
-            hits = _pass(docs.select("_row", text), text, block, window, spanned)
-            hits = stage(hits.where(F.size(spanned) > 0).select("_row", spanned))
+            hits = _pass(docs.select("row", text), text, block, window)
+            hits = stage(hits.where(F.size("spans") > 0).select("row", "spans", "items"))
             parts = hits if parts is None else parts.union(hits)
             block, second = second, next(blocks, None)
-        merged = parts.groupBy("_row").agg(F.flatten(F.collect_list(spanned)).alias(spanned))
-        counts = _pass(docs, text, ([], []), window, "_none").drop("_none")
-        found = counts.join(merged, "_row", "left").drop("_row")
-        found = found.withColumn(spanned, F.coalesce(spanned, F.array().cast(SPANS)))
-    return _decide(found, docs.drop("_row").columns, spanned)
+        merged = parts.groupBy("row").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items")])
+        counts = _pass(docs, text, ([], []), window).drop("spans", "items")
+        found = counts.join(merged, "row", "left").drop("row")
+        found = found.withColumns({
+            "spans": F.coalesce("spans", F.array().cast(SPANS)), "items": F.coalesce("items", F.array().cast("array<string>")),
+        })
+    return _decide(found, names)
 
 
-def _pass(docs: DataFrame, text: str, block: tuple, window: int, out: str) -> DataFrame:
-    """Add the matches with one block of items and the word count."""
+def _pass(docs: DataFrame, text: str, block: tuple, window: int) -> DataFrame:
+    """Add the word count, and the spans and items of the matches with one block of items."""
     test = docs.sparkSession.sparkContext.broadcast(prepare(*block, window))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_words", T.LongType()), T.StructField(out, SPANS)])
+    made = [("words", T.LongType()), ("spans", SPANS), ("items", T.ArrayType(T.StringType()))]
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in made]])
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("item", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, SHARD_BYTES):
                 value, index = words(*utf8(part.column(text)))
-                spans = _shard_spans(test.value, value, index)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(np.diff(index)), pa.array(spans, spans_type)], names=schema.names
-                )
+                spans, items = _shard_spans(test.value, value, index)
+                columns = [pa.array(np.diff(index)), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def _decide(found: DataFrame, columns: list[str], spanned: str) -> DataFrame:
-    """Count the covered words and apply the rule."""
+def _decide(found: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Count the covered words, apply the rule and give the columns their names back."""
     # Words already covered, and the end of the cover, over the matches in order.
     empty = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("end"))
     cover = F.aggregate(
-        F.array_sort(F.transform(spanned, lambda s: F.struct(s["start"], s["start"] + s["length"]))),
+        F.array_sort(F.transform("spans", lambda s: F.struct(s["start"], s["start"] + s["length"]))),
         empty,
         lambda done, s: F.struct(
             (done["hit"] + F.greatest(s["col2"] - F.greatest(s["start"], done["end"]), F.lit(0).cast("long"))).alias("hit"),
@@ -234,13 +346,13 @@ def _decide(found: DataFrame, columns: list[str], spanned: str) -> DataFrame:
         ),
     )
     made = {
-        "n_words": F.col("_words"),
+        "n_words": F.col("words"),
         "n_hit": cover["hit"],
-        "items": F.array_sort(F.array_distinct(F.transform(spanned, lambda s: s["item"]))),
-        "longest": F.coalesce(F.array_max(F.transform(spanned, lambda s: s["length"])), F.lit(0).cast("long")),
-        "spans": F.col(spanned),
+        "items": F.array_sort(F.array_distinct("items")),
+        "longest": F.coalesce(F.array_max(F.transform("spans", lambda s: s["length"])), F.lit(0).cast("long")),
+        "spans": F.col("spans"),
     }
-    kept = [F.col(c) for c in columns if c not in {*made, "contaminated"}]
+    kept = [F.col(k).alias(c) for k, c in names.items() if c not in {*made, "contaminated"}]
     table = found.select(*kept, *[c.alias(n) for n, c in made.items()])
     return table.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 

@@ -101,7 +101,7 @@ def test_contamination_equals_brute_force(spark, sf_dir, documents):
 def test_contamination_in_several_blocks(spark, sf_dir, documents, monkeypatch):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    columns = ["doc_id", "n_words", "n_hit", "items", "contaminated"]
+    columns = ["doc_id", "n_words", "n_hit", "items", "longest", "contaminated"]
     one = sorted(map(str, decontaminate.contamination(docs, items).select(columns).collect()))
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 1_500)
     assert sorted(map(str, decontaminate.contamination(docs, items).select(columns).collect())) == one
@@ -271,3 +271,47 @@ def test_signs_and_capitals_beyond_ascii():
     assert "signs" in cast[0] and "capitals" in cast[1] and "signs" in cast[2]
     for i in (3, 4):
         assert not {"signs", "capitals", "not_letters"} & cast[i] and "varied" in cast[i]
+
+
+def longest_matches(text, items, window=13):
+    """Longest match from every word of a text that starts a window of an item or a whole shorter one."""
+    w, out = brute.words(text), {}
+    for name, item in items:
+        v = brute.words(item)
+        n = min(window, len(v))
+        for i in range(len(w)):
+            for j in range(len(v) if n else 0):
+                k = 0
+                while i + k < len(w) and j + k < len(v) and w[i + k] == v[j + k]:
+                    k += 1
+                if k >= n and (n == window or (j == 0 and k == n)):
+                    out[i] = max(out.get(i, 0), k)
+    return out
+
+
+def test_longest_matches_equal_brute_force(spark):
+    """Repeated words, items inside items, and matches that follow each other without being one."""
+    random = np.random.default_rng(2)
+    run = [f"w{i}" for i in range(12)]
+    items = [
+        (1, "aa " * 13), (2, " ".join(["a", *run, "q", *run, "b"])), (3, "so " * 20 + "far"), (4, " ".join(run + run[:3])),
+        (5, "two words"), (6, " ".join(random.choice(["x", "y", "z"], 60))), (7, " ".join(random.choice(["x", "y"], 80))), (8, None),
+    ]
+    texts = ["aa " * 100, " ".join(["a", *run, "b"]), "so " * 33 + "far", " ".join(run + run), "two words two words", None, ""]
+    texts += [" ".join(random.choice(["x", "y", "z", "u"], 200, p=[0.4, 0.4, 0.15, 0.05])) for _ in range(12)]
+    texts += [f"u {items[5][1]} {items[6][1]} {items[5][1]} v", " ".join(items[6][1].split()[7:50])]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate(texts)], "doc_id long, text string, _row int, words int, row int")
+    out = decontaminate.contamination(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert out.columns[:4] == ["doc_id", "text", "_row", "words"] and out.columns[4] == "row"
+    rows = {r["doc_id"]: r for r in out.collect()}
+    named = dict((str(n), brute.words(t)) for n, t in items)
+    for i, text in enumerate(texts):
+        found = longest_matches(text, items)
+        assert rows[i]["longest"] == max(found.values(), default=0)
+        w = brute.words(text)
+        for s in rows[i]["spans"]:
+            part, item = w[s["start"] : s["start"] + s["length"]], named[s["item"]]
+            assert any(item[j : j + len(part)] == part for j in range(len(item)))
+        covered = {k for s in rows[i]["spans"] for k in range(s["start"], s["start"] + s["length"])}
+        assert covered == {k for p, n in found.items() for k in range(p, p + n)} and len(covered) == rows[i]["n_hit"]
+    assert rows[0]["longest"] == 13 and rows[1]["longest"] == 13
