@@ -192,9 +192,27 @@ def test_line_dedup_of_odd_rows(spark):
     assert linededup.drop_boilerplate(df).count() == df.count()
 
 
-def test_licenses(spark, sf_dir):
+@pytest.fixture(scope="module")
+def license_model(spark, sf_dir):
+    return licenses.fit(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def test_every_template_is_predicted_and_confirmed(spark, license_model):
+    """Also short identifiers, single clauses, and the share of word pairs against plain Python."""
+    texts = [t for _, t in licenses.TEMPLATES]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licenses.scan(df, model=license_model).collect()}
+    assert [rows[i]["licenses"] for i in range(len(texts))] == [f for f, _ in licenses.TEMPLATES]
+    for i, text in enumerate(texts):
+        own = set(licenses._template_pairs(text))
+        shares = [len(own & set(p)) / len(p) for p in map(licenses._template_pairs, texts)]
+        assert rows[i]["best_similarity"] == pytest.approx(max(shares), abs=1e-6)
+    assert licenses.LEAST_SURE < license_model.threshold < 1
+
+
+def test_licenses(spark, sf_dir, license_model):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = licenses.fit(docs)
+    model = license_model
     added = [
         (-1, "Some text.\nReleased under the MIT License.\nMore."), (-2, "All rights reserved."), (-3, None), (-4, ""),
         (-5, "Licensed under the Apache License, version 2.0\nThis work is licensed under the GNU General Public License, version 3."),
@@ -209,9 +227,8 @@ def test_licenses(spark, sf_dir):
     assert licenses.scan(docs.limit(0), model=model).count() == 0
 
 
-def test_wrapped_license_notices(spark, sf_dir):
+def test_wrapped_license_notices(spark, license_model):
     """Notices broken into lines of any width, with comment signs, alone or between other lines."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     notices = {
         "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy and modify.",
         "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -226,13 +243,12 @@ def test_wrapped_license_notices(spark, sf_dir):
     texts += [f"{brute.PROSE * 20}{notices['bsd']} {brute.PROSE * 20}", "\n".join(textwrap.wrap(brute.PROSE * 9, 70))]
     expected += ["bsd", ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in licenses.scan(df, model=licenses.fit(docs)).collect()}
+    got = {r["doc_id"]: r for r in licenses.scan(df, model=license_model).collect()}
     assert [got[i]["licenses"] for i in range(len(texts))] == expected
     assert [got[i]["n_confirmed"] for i in range(len(texts))] == [int(f != "") for f in expected]
 
 
-def test_neighbouring_licenses_are_told_apart(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+def test_neighbouring_licenses_are_told_apart(spark, license_model):
     gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
     cases = [
         ("This work is licensed under the GNU General Public License, version 2.", "gpl-2"), ("Licensed under CC BY 4.0.", "cc-by-4.0"),
@@ -245,7 +261,7 @@ def test_neighbouring_licenses_are_told_apart(spark, sf_dir):
         *((text, "") for text in licenses.FOREIGN),
     ]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
-    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(df, model=licenses.fit(docs)).collect()}
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(df, model=license_model).collect()}
     assert [(cases[i][0], got[i]) for i in got] == [cases[i] for i in got]
 
 
