@@ -3,10 +3,12 @@
 1. Every text is reduced to its set of word n-grams and a signature: one label
    of ``depth`` minimum hashes for each of ``trees`` sorted prefix tries.
    Texts with the same set form a class; only one of each class goes on.
-2. Classes that share a label prefix in some trie meet in a block.  Prefixes
-   start at full depth and are shortened until a pair at the threshold is
-   found with the target recall.  Pairs whose signatures are far from
-   similar are left out; the others join classes to clusters.
+2. The labels of a trie are sorted, so that classes with long common prefixes
+   stand together.  Classes are joined to clusters from the longest prefixes
+   on, if their signatures are not far from similar.  Prefixes are shortened only
+   where a trie node still holds several clusters, and only classes of
+   different clusters are compared there, until the prefix at which
+   a pair at the threshold is found with the target recall.
 3. The n-gram sets of the clusters are compared exactly, in blocks.
 """
 
@@ -22,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from couponmill.llm.blocks import LINK_SCHEMA, forest, in_blocks, runs, sides
+from couponmill.llm.blocks import LINK_SCHEMA, forest, in_blocks, runs, sides, whole_runs
 from couponmill.llm.components import components
 from couponmill.llm.shipping import ship
-from couponmill.llm.words import mix, ngrams, slices, utf8, words
+from couponmill.llm.words import ngrams, slices, utf8, words
 from couponmill.operators.ordering import sized_broadcast
 from couponmill.session import Scratch, stage
 
@@ -48,7 +50,7 @@ class Forest:
 
     @property
     def prefix(self) -> int:
-        """Longest prefix that finds a pair at the threshold with the target recall."""
+        """Where shortening ends: the longest prefix that finds a pair at the threshold with the target recall."""
         for k in range(self.depth, 0, -1):
             if 1 - (1 - self.threshold**k) ** self.trees >= self.recall:
                 return k
@@ -88,21 +90,12 @@ def sketch(run: np.ndarray, index: np.ndarray, p: Forest) -> np.ndarray:
     return out
 
 
-def prefixes(signature: np.ndarray, p: Forest) -> np.ndarray:
-    """One number for the label prefix of each trie; different tries have different numbers."""
-    labels = signature.reshape(len(signature), p.trees, p.depth).astype(np.uint64)
-    value = np.tile(np.arange(p.trees, dtype=np.uint64), (len(signature), 1))
-    for k in range(p.prefix):
-        value = mix(value + labels[:, :, k] + np.uint64(0x9E3779B97F4A7C15))
-    return value.astype(np.int64)
-
-
 def _binary(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
 
 def _marks(docs: DataFrame, id_col: str, text: str, p: Forest) -> DataFrame:
-    """Set key, size, signature and label prefixes of every text that has words."""
+    """Set key, size and signature of every text that has words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,40 +112,125 @@ def _marks(docs: DataFrame, id_col: str, text: str, p: Forest) -> DataFrame:
                         pa.array(keys, pa.binary()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         _binary(signature),
-                        pa.array(list(prefixes(signature, p)), pa.list_(pa.int64())),
                     ],
-                    names=[id_col, "set_key", "size", "signature", "prefixes"],
+                    names=[id_col, "set_key", "size", "signature"],
                 )
 
-    schema = f"`{id_col}` {kind}, set_key binary, size long, signature binary, prefixes array<long>"
+    schema = f"`{id_col}` {kind}, set_key binary, size long, signature binary"
     return docs.select(id_col, text).mapInArrow(run, schema)
 
 
-def _candidates(classes: DataFrame, p: Forest) -> DataFrame:
-    """Links between classes whose signatures are close and that share a label prefix."""
-    labels = classes.select("node", F.explode("prefixes").alias("bucket"))
-    shared = labels.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
-    chunks = F.ceil(F.col("_n") / p.block_rows).cast("long")
-    members = labels.join(shared, "bucket").select("node", "bucket", chunks.alias("_chunks"))
-    members = members.join(classes.select("node", "signature"), "node")
+def _signatures(table: pa.Table) -> np.ndarray:
+    flat = b"".join(table.column("signature").to_pylist())
+    return np.frombuffer(flat, np.uint32).reshape(table.num_rows, -1)
+
+
+def climb(signature: np.ndarray, trie: np.ndarray, starts: np.ndarray, p: Forest) -> np.ndarray:
+    """First row of the cluster of each row, for sorted pieces of tries that begin at ``starts``.
+
+    Starts at the full labels and shortens them hash by hash.  At each length,
+    neighbours are compared first; then, in the trie nodes that still hold several
+    clusters, all rows of different clusters.
+    """
+    rows = len(signature)
+    at = trie[:, None] * p.depth + np.arange(p.depth)
+    labels = np.take_along_axis(signature, at, axis=1)
+    common = np.cumprod(labels[1:] == labels[:-1], axis=1).sum(axis=1)
+    common[starts[1:] - 1] = -1
+    root = np.arange(rows)
+    for length in range(p.depth, p.prefix - 1, -1):
+        a = np.flatnonzero((common == length) & (root[1:] != root[:-1]))
+        a = a[(signature[a] == signature[a + 1]).mean(axis=1) >= p.floor]
+        both = np.concatenate([a, np.arange(rows)]), np.concatenate([a + 1, root])
+        root = forest(np.arange(rows), both)
+        begins = np.flatnonzero(np.append(True, common < length))
+        ends = np.append(begins[1:], rows)
+        several = np.minimum.reduceat(root, begins) != np.maximum.reduceat(root, begins)
+        # Two rows are neighbours.
+        for i, j in zip(begins[several & (ends - begins > 2)], ends[several & (ends - begins > 2)]):
+            _join_clusters(signature[i:j], root[i:j], p)
+    return root
+
+
+def _join_clusters(signature: np.ndarray, root: np.ndarray, p: Forest) -> None:
+    """Join the clusters of one trie node in place; rows of its largest cluster are only compared with others."""
+    names, counts = np.unique(root, return_counts=True)
+    for i in np.flatnonzero(root != names[np.argmax(counts)]):
+        others = np.flatnonzero(root != root[i])
+        close = others[(signature[others] == signature[i]).mean(axis=1) >= p.floor]
+        if len(close):
+            joined = np.append(np.unique(root[close]), root[i])
+            root[np.isin(root, joined)] = joined.min()
+
+
+def _candidates(classes: DataFrame, p: Forest, work: Scratch) -> DataFrame:
+    """``node`` and ``root`` of the clusters of classes with close signatures and a common label prefix in some trie.
+
+    A trie node of more than ``block_rows`` classes is climbed in pieces, dealt anew
+    in every trie; what is left of it in several clusters is compared in blocks.
+    """
+    trie = F.explode(F.sequence(F.lit(0), F.lit(p.trees - 1))).alias("trie")
+    first = F.col("trie") * (4 * p.depth) + 1
+    prefix = F.substring("signature", first, F.lit(4 * p.prefix))
+    labels = classes.select("node", "signature", trie).select("node", "trie", F.xxhash64("trie", prefix).alias("bucket"))
+    shared = work.stage(labels.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1"))
+    pieces = F.ceil(F.col("_n") / p.block_rows).cast("long")
+    members = labels.join(shared, "bucket")
+    dealt = (
+        members.withColumn("part", F.pmod(F.xxhash64("node", "trie"), pieces))
+        .join(classes.select("node", "signature"), "node")
+        .repartition("bucket", "part")
+        .sortWithinPartitions("bucket", "part", F.substring("signature", first, F.lit(4 * p.depth)), "node")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_runs(batches, ["bucket", "part"]):
+            nodes = table.column("node").to_numpy()
+            root = climb(_signatures(table), table.column("trie").to_numpy(), starts, p)
+            linked = nodes[root] != nodes
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], names=["a", "b"])
+
+    links = work.stage(dealt.select("bucket", "part", "node", "trie", "signature").mapInArrow(run, "a long, b long"))
+    clusters = work.stage(components(links, work.stage))
+    if shared.where(F.col("_n") > p.block_rows).isEmpty():
+        return clusters
+    large = members.where(F.col("_n") > p.block_rows).select("node", "bucket")
+    return components(links.union(_between(classes, large, clusters, p, work)), work.stage)
+
+
+def _between(classes: DataFrame, large: DataFrame, clusters: DataFrame, p: Forest, work: Scratch) -> DataFrame:
+    """Links between clusters that share a large trie node.
+
+    Rows of a node's largest cluster are together already: they meet the
+    other rows, never each other.
+    """
+    placed = work.stage(large.join(clusters, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    tally = placed.groupBy("bucket", "root").agg(F.count("*").alias("_n"))
+    tally = tally.groupBy("bucket").agg(F.max(F.struct("_n", "root")).alias("_most"), F.sum("_n").alias("_all"))
+    tally = tally.select("bucket", F.col("_most.root").alias("_most"), "_all", (F.col("_all") - F.col("_most._n")).alias("_rest"))
+    rows = placed.join(tally.where("_rest > 0"), "bucket").join(classes.select("node", "signature"), "node")
+    blocks = [F.ceil(F.col(c) / p.block_rows).cast("long") for c in ("_rest", "_all")]
+    own = [F.pmod(F.xxhash64("node"), n) for n in blocks]
+    every = [F.explode(F.sequence(F.lit(0).cast("long"), n - 1)) for n in blocks]
+    carry = ["bucket", "root", "signature"]
+    left = rows.where("root <> _most").select(*carry, own[0].alias("lo"), every[1].alias("hi"), F.lit(0).alias("side"))
+    right = rows.select(*carry, every[0].alias("lo"), own[1].alias("hi"), F.lit(1).alias("side"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in runs(batches, ["bucket", "lo", "hi"]):
-            nodes = block.column("node").to_numpy()
-            flat = b"".join(block.column("signature").to_pylist())
-            signature = np.frombuffer(flat, np.uint32).reshape(len(nodes), -1)
-            low, high = sides(block)
-            pairs = [[], []]
-            for i in low:
-                others = high[high > i] if low is high else high
-                close = others[(signature[others] == signature[i]).mean(axis=1) >= p.floor]
-                pairs[0].append(np.full(len(close), i))
-                pairs[1].append(close)
-            root = forest(nodes, (np.concatenate(pairs[0]), np.concatenate(pairs[1]))) if len(low) else nodes
-            linked = root != nodes
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(root[linked])], names=["a", "b"])
+            signature, root = _signatures(block), block.column("root").to_numpy()
+            side = block.column("side").to_numpy()
+            high = np.flatnonzero(side == 1)
+            pairs = [np.zeros((2, 0), np.int64)]
+            for i in np.flatnonzero(side == 0):
+                others = high[root[high] != root[i]]
+                close = np.unique(root[others[(signature[others] == signature[i]).mean(axis=1) >= p.floor]])
+                pairs.append(np.stack([np.full(len(close), root[i]), close]))
+            a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return in_blocks(members, "bucket", "_chunks", ["signature"]).mapInArrow(run, "a long, b long")
+    dealt = left.union(right).repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    return work.stage(dealt.mapInArrow(run, "a long, b long"))
 
 
 def shared_counts(sets: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -183,8 +261,9 @@ def _exact(
     """Link counts and block-wise spanning forests of exactly similar classes."""
     member = clusters.join(classes.select("node", "first_id", "size", "copies"), "node")
     chunks = F.greatest(F.ceil(F.col("_n") / p.block_rows), F.ceil(F.col("_size") / p.block_ngrams)).cast("long")
-    sizes = member.groupBy("root").agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
-    member = member.join(sizes.select(F.col("root").alias("cluster"), chunks.alias("_chunks")), F.col("root") == F.col("cluster"))
+    sizes = member.groupBy(F.col("root").alias("cluster")).agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
+    sizes = sized_broadcast(work.stage(sizes.select("cluster", chunks.alias("_chunks"))))
+    member = member.join(sizes, F.col("root") == F.col("cluster"))
     member = member.select("node", "cluster", "_chunks", "copies", F.col("first_id").alias(id_col))
     # A few numbers per class; many of them are joined by shuffle.
     texts = docs.select(id_col, text).join(sized_broadcast(work.stage(member), MEMBERS_BROADCAST), id_col)
@@ -234,10 +313,10 @@ def _placed(docs: DataFrame, row: str, text: str, p: Forest) -> DataFrame:
     classes = marks.groupBy("set_key").agg(
         F.min(row).alias("first_id"),
         F.count("*").alias("copies"),
-        *[F.any_value(c).alias(c) for c in ("size", "signature", "prefixes")],
+        *[F.any_value(c).alias(c) for c in ("size", "signature")],
     )
     classes = work.stage(classes.withColumn("node", F.monotonically_increasing_id()))
-    clusters = components(_candidates(classes, p), work.stage)
+    clusters = _candidates(classes, p, work)
     exact = work.stage(_exact(classes, docs, row, text, clusters, p, work))
     roots = components(exact.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")), work.stage)
     links = exact.groupBy("node").agg(F.sum("n_links").alias("n_links"))
@@ -272,8 +351,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p:
     ship(docs.sparkSession)
     docs = stage(docs.select(F.col(id_col), F.col(text), F.monotonically_increasing_id().alias("_row")))
     rows = docs.select("_row", id_col).join(_placed(docs, "_row", text, p), "_row", "left")
-    smallest = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(id_col).alias("class_id"))
-    return rows.join(smallest, "root", "left").select(
+    smallest = stage(rows.where("root IS NOT NULL").groupBy("root").agg(F.min(id_col).alias("class_id")))
+    return rows.join(sized_broadcast(smallest), "root", "left").select(
         id_col,
         F.when(F.col("root").isNull(), F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
@@ -287,6 +366,6 @@ def deduplicate(docs: DataFrame, text: str = "text", p: Forest = Forest()) -> Da
     ship(docs.sparkSession)
     numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()))
     rows = _placed(numbered, row, text, p).select(row, "root")
-    first = rows.groupBy("root").agg(F.min(row).alias("_first"))
-    others = stage(rows.join(first, "root").where(F.col(row) > F.col("_first")).select(row))
+    first = stage(rows.groupBy("root").agg(F.min(row).alias("_first")))
+    others = stage(rows.join(sized_broadcast(first), "root").where(F.col(row) > F.col("_first")).select(row))
     return numbered.join(sized_broadcast(others), row, "left_anti").drop(row)

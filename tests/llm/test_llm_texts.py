@@ -77,13 +77,78 @@ def test_jaccard_of_odd_and_empty_tables(spark):
     assert kept.columns == df.columns and kept.count() == df.count() - 3
 
 
-def test_prefix_is_shortened_to_the_recall():
+def test_shortening_ends_at_the_recall():
     p = jaccard.Forest()
     assert p.prefix < p.depth and 1 - (1 - 0.8**p.prefix) ** p.trees >= p.recall
     with pytest.raises(ValueError):
         jaccard.Forest(trees=1).prefix
 
 
+def test_climbing_starts_at_the_longest_prefixes(monkeypatch):
+    """Four labels of one trie: equal, shorter in common, far signatures, and another node."""
+    p = jaccard.Forest(trees=1, depth=4, recall=0.5)
+    assert p.prefix == 3
+    signature = np.array([[1, 2, 3, 4], [1, 2, 3, 4], [1, 2, 3, 9], [1, 7, 3, 4]], np.uint32)
+    trie, starts = np.zeros(4, np.int64), np.zeros(1, np.int64)
+    assert list(jaccard.climb(signature, trie, starts, p)) == [0, 0, 0, 3]
+    # Rows of one cluster are not compared again at shorter prefixes.
+    monkeypatch.setattr(jaccard, "_join_clusters", None)
+    assert list(jaccard.climb(signature, trie, starts, p)) == [0, 0, 0, 3]
+    monkeypatch.undo()
+    far = jaccard.Forest(trees=8, depth=4, recall=0.5)
+    assert far.floor > 0.35
+    signature = np.random.default_rng(1).integers(0, 9999, (3, 32)).astype(np.uint32)
+    signature[:, :4] = [5, 6, 7, 8]
+    signature[2, 4:] = signature[0, 4:]
+    # First and last are alike; the one between shares the label alone.
+    assert list(jaccard.climb(signature, trie[:3], starts, far)) == [0, 1, 0]
+
+
+@pytest.mark.parametrize("block_rows", [8, 512])
+def test_clusters_in_large_trie_nodes_are_all_found(spark, block_rows):
+    """Classes of one label in every trie, in three clusters that only whole signatures tell apart."""
+    p = jaccard.Forest(block_rows=block_rows)
+    random = np.random.default_rng(3)
+    base = random.integers(0, 1 << 32, (3, p.trees * p.depth), dtype=np.uint32)
+    base[:, :6] = base[0, :6]
+    rows = []
+    for i in range(90):
+        own = base[i % 3].copy()
+        own[6 + i % 114] = i
+        rows.append((i, bytearray(own.tobytes())))
+    classes = spark.createDataFrame(rows, "node long, signature binary")
+    work = jaccard.Scratch(spark)
+    got = {r["node"]: r["root"] for r in jaccard._candidates(classes, p, work).collect()}
+    assert got == {i: i % 3 for i in range(90)}
+    # Without what the pieces found, the blocks alone join every cluster.
+    large = classes.select("node", F.lit(1).cast("long").alias("bucket"))
+    nothing = spark.createDataFrame([], "node long, root long")
+    links = jaccard._between(classes, large, nothing, p, work)
+    assert {r["node"]: r["root"] for r in components(links).collect()} == got
+    # Members of the largest cluster meet the others only.
+    known = spark.createDataFrame([(i, i % 3) for i in range(90)], "node long, root long")
+    assert jaccard._between(classes, large, known, p, work).count() == 0
+
+
+@pytest.mark.parametrize("changed", [1, 2, 4])
+def test_measured_recall_of_the_forest(spark, changed):
+    """300 pairs each, of similarities from just above the threshold up."""
+    own, texts = 5, []
+    length = {1: 50, 2: 94, 4: 184}[changed]
+    for k in range(300):
+        base = [f"p{k}w{i}" for i in range(length)]
+        other = list(base)
+        for c in range(changed):
+            other[own + c * (length - 2 * own) // changed] += "x"
+        texts += [" ".join(base), " ".join(other)]
+    links, root = brute.jaccard_links(texts)
+    assert links == [1] * 600
+    got = {r["doc_id"]: r for r in jaccard.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = sum(got[i]["n_links"] for i in range(600)) / 600
+    assert found >= 0.99
+    assert all(got[i]["class_id"] in (i, root[i]) for i in range(600))
+
+
 def test_contamination_equals_brute_force(spark, sf_dir, documents):
     ids, texts = documents
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
