@@ -123,7 +123,10 @@ QUERIES: dict[str, Query] = {
 
 ORACLE: dict[str, str] = {
     "op1_url_filters": urlfilter.OP1_SQL,
+    "op3_benchmark_decontamination": decontaminate.OP3_SQL,
     "op4_embedding_near_dedup": embeddings.OP4_SQL,
+    "op6_chat_formatting": chat.OP6_SQL,
+    "op8_ngram_jaccard_join": jaccard.OP8_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
     "op11_hard_negatives": hyperplanes.OP11_SQL,
     "op12_source_divergence": divergence.OP12_SQL,

@@ -365,3 +365,40 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     return kept.select(*[F.col(k).alias(v) for k, v in names.items()])
 
 
+OP3_SQL = """
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+    FROM documents
+),
+b AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+    FROM benchmark
+),
+test AS (
+    SELECT item_id, j, least(len(w), 13) AS n, array_to_string(w[j : j + least(len(w), 13) - 1], ' ') AS words
+    FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS j FROM b WHERE len(w) > 0)
+),
+here AS (
+    SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS words
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM test) WHERE len(w) >= n)
+),
+found AS (SELECT doc_id, item_id, i, j, n FROM here JOIN test USING (n, words)),
+hits AS (
+    SELECT doc_id, count(DISTINCT k) AS n_hit
+    FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY 1
+),
+-- Windows that follow one another in text and item are one match.
+chains AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, n, i - j ORDER BY i) AS chain FROM found),
+matches AS (SELECT doc_id, max(n) + count(*) - 1 AS length FROM chains GROUP BY doc_id, item_id, n, i - j, chain),
+longest AS (SELECT doc_id, max(length)::BIGINT AS longest FROM matches GROUP BY 1),
+names AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM found) GROUP BY 1
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+    coalesce(longest, 0)::BIGINT AS longest
+FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN names ON d.doc_id = names.doc_id LEFT JOIN longest ON d.doc_id = longest.doc_id
+"""

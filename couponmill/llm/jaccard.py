@@ -369,3 +369,32 @@ def deduplicate(docs: DataFrame, text: str = "text", p: Forest = Forest()) -> Da
     first = stage(rows.groupBy("root").agg(F.min(row).alias("_first")))
     others = stage(rows.join(sized_broadcast(first), "root").where(F.col(row) > F.col("_first")).select(row))
     return numbered.join(sized_broadcast(others), row, "left_anti").drop(row)
+
+
+OP8_SQL = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+    FROM documents
+),
+grams AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS gram
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2
+),
+links AS (
+    SELECT a, b, common.n = x.n AND common.n = y.n AS same
+    FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 5 * common.n >= 4 * (x.n + y.n - common.n)
+),
+reach AS (
+    SELECT a AS doc_id, b AS other FROM links
+    UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+),
+roots AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY 1),
+counts AS (SELECT a AS doc_id, count(*) AS n_links, count(*) FILTER (same) AS n_copies FROM links GROUP BY 1)
+SELECT w.doc_id, least(w.doc_id, coalesce(other, w.doc_id)) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 0) AS n_copies
+FROM w LEFT JOIN roots ON w.doc_id = roots.doc_id LEFT JOIN counts ON w.doc_id = counts.doc_id
+"""
