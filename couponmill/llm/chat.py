@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from couponmill.llm.bpe import VOCABULARY, Codec, codec, id_lists
+from couponmill.llm.bpe import PART_BYTES, VOCABULARY, Codec, codec, id_lists
 from couponmill.llm.shipping import ship
-from couponmill.llm.words import SLICE_BYTES
+from couponmill.llm.words import slices
+from couponmill.operators.ordering import sized_broadcast, with_row_id
+from couponmill.session import pin
 
 # The reserved ids follow the vocabulary, in this order.
 CONTROLS = ("<|im_start|>", "<|im_sep|>", "<|im_end|>")
@@ -75,36 +77,36 @@ def format_conversations(
 
     Turns are sorted by ``turn``, then role and text, NULL first; ``position``
     counts them from 0.  A conversation's training example is its rows one after
-    another, so no conversation has to fit a task at once.  NULL roles and
-    texts are empty, turns without a conversation are one conversation, turns that
-    repeat stay, an empty table gives an empty table, other columns are ignored.
+    another.  Turns are numbered by a range partitioning that cuts long conversations
+    too, and each is encoded where it lies, so a conversation is never one
+    task's work.  NULL roles and texts are empty, turns without a conversation are
+    one conversation, turns that repeat stay, an empty table gives an empty
+    table, other columns are ignored.
     """
     ship(turns.sparkSession)
     kind = turns.schema[conv_id].dataType.simpleString()
-    plain = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("_turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    dealt = plain.repartition("conv_id").sortWithinPartitions("conv_id", "_turn", "role", "text")
+    plain = turns.select(*[F.col(c).alias(n) for c, n in ((conv_id, "conv_id"), (turn, "turn"), (role, "role"), (text, "text"))])
+    numbered = with_row_id(plain, ["conv_id", "turn", "role", "text"], "number")
+    first = pin(numbered.groupBy("conv_id").agg(F.min("number").alias("first"))).withColumnRenamed("conv_id", "conv")
+    # A row of two numbers per conversation; beyond the bound both sides are shuffled, and hot ones split by AQE.
+    placed = numbered.join(sized_broadcast(first), F.col("conv_id").eqNullSafe(F.col("conv")))
+    placed = placed.select("conv_id", (F.col("number") - F.col("first")).alias("position"), "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        now, position = object(), 0
         for batch in batches:
-            step = max(1, int(batch.num_rows * SLICE_BYTES / max(batch.nbytes, 1)))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                positions, ids, masks = [], [], []
-                for conv, r, t in zip(*(part.column(n).to_pylist() for n in ("conv_id", "role", "text"))):
-                    position = position + 1 if conv == now else 0
-                    now = conv
+            for part in slices(batch, "text", PART_BYTES):
+                ids, masks = [], []
+                for r, t in zip(part.column("role").to_pylist(), part.column("text").to_pylist()):
                     own, a, b = turn_ids(c, r or "", t or "")
-                    positions.append(position)
                     ids.append(own)
                     masks.append(loss_mask([len(own)], [(a, b)] if r == LEARNED else []))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("conv_id"), pa.array(positions, pa.int64()), id_lists(ids), id_lists(masks).cast(pa.list_(pa.int8()))],
+                    [part.column("conv_id"), part.column("position"), id_lists(ids), id_lists(masks).cast(pa.list_(pa.int8()))],
                     names=["conv_id", "position", "input_ids", "loss_mask"],
                 )
 
-    return dealt.mapInArrow(run, f"conv_id {kind}, position long, input_ids array<int>, loss_mask array<tinyint>")
+    return placed.mapInArrow(run, f"conv_id {kind}, position long, input_ids array<int>, loss_mask array<tinyint>")
 
 
 def read_turn(c: Codec, ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, str, int]:
@@ -122,45 +124,67 @@ def read_back(formatted: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """Per conversation, from the formatted ids alone: counts and digests.
 
     ``formatted_chars`` are the code points of the formatted text, with the
-    control strings of the reserved ids.  Turns stream through in order, so
-    a conversation's texts are never gathered.
+    control strings of the reserved ids.  Ids are decoded where they lie; only the
+    digest of the texts, which has an order, runs through a conversation, and the
+    texts stream past it and are never gathered.  Turns follow ``position``, NULL
+    first, those that share one by their texts; rows without a conversation are
+    one; an empty table gives an empty one.
     """
     ship(formatted.sparkSession)
-    kind = formatted.schema["conv_id"].dataType.simpleString()
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    key = formatted.schema["conv_id"].dataType
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def to_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        done: list[tuple] = []
-        state = None
-
-        def close() -> tuple:
-            conv, n, turns, chars, loss, length = state
-            return conv, n, turns.hexdigest(), chars, loss.hexdigest(), length
-
         for batch in batches:
-            columns = (batch.column(n) for n in ("conv_id", "position", "input_ids", "loss_mask"))
-            for conv, position, ids, mask in zip(*columns):
-                if position.as_py() == 0:
+            # Turns of many ids are read a few at a time.
+            step = max(1, int(batch.num_rows * PART_BYTES / max(batch.nbytes, 1)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                turns = [
+                    read_turn(c, ids.values.to_numpy(), mask.values.to_numpy())
+                    for ids, mask in zip(part.column("input_ids"), part.column("loss_mask"))
+                ]
+                texts = [
+                    pa.array([f"{role}\n{text}\n" for role, text, _, _ in turns], pa.string()),
+                    pa.array([learned for _, _, learned, _ in turns], pa.string()),
+                    pa.array([chars for _, _, _, chars in turns], pa.int64()),
+                ]
+                columns = [part.column("conv_id"), part.column("position"), *texts]
+                yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "position", "plain", "learned", "chars"])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            done = []
+            for conv, plain, learned, chars in zip(*(batch.column(n) for n in ("conv_id", "plain", "learned", "chars"))):
+                conv, plain, learned = conv.as_py(), plain.as_py(), learned.as_py()
+                if state is None or conv != now:
                     if state:
-                        done.append(close())
-                    state = [conv.as_py(), 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text, learned, length = read_turn(c, ids.values.to_numpy(), mask.values.to_numpy())
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
-                state[3] += len(learned)
-                state[4].update(learned.encode())
-                state[5] += length
-            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate(types)], names=names)
-            done.clear()
+                        done.append((now, state))
+                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                state[0] += 1
+                state[1].update(plain.encode())
+                state[2] += len(learned)
+                state[3].update(learned.encode())
+                state[4] += chars.as_py()
+            yield rows_of(done)
         if state:
-            done.append(close())
-            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate(types)], names=names)
+            yield rows_of([(now, state)])
 
-    types = [to_arrow_type(formatted.schema["conv_id"].dataType), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "position")
-    schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return dealt.mapInArrow(run, schema)
+    def rows_of(done: list[tuple]) -> pa.RecordBatch:
+        rows = [(conv, n, turns.hexdigest(), chars, loss.hexdigest(), length) for conv, (n, turns, chars, loss, length) in done]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    types = [to_arrow_type(key), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    kind = key.simpleString()
+    texts = formatted.select("conv_id", "position", "input_ids", "loss_mask").mapInArrow(
+        to_texts, f"conv_id {kind}, position long, plain string, learned string, chars long"
+    )
+    dealt = texts.repartition("conv_id").sortWithinPartitions("conv_id", "position", "plain", "learned")
+    return dealt.mapInArrow(
+        digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    )
 
 
 OP6_SQL = """

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -96,6 +97,28 @@ def test_chat_of_odd_turns(spark):
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_one_long_conversation_is_encoded_in_many_tasks(spark):
+    turns = spark.range(4_000).selectExpr("7L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id) AS text")
+    # Keep Spark from joining the partitions of so small a table.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = chat.format_conversations(turns)
+        rows = made.withColumn("part", F.spark_partition_id()).select("position", "part").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(r["position"] for r in rows) == list(range(4_000))
+    assert max(Counter(r["part"] for r in rows).values()) < 2_000
+    plain = [("user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(4_000)]
+    assert [tuple(r)[1:5] for r in chat.read_back(made).collect()] == [_expected_conversation(plain)]
+
+
+def test_positions_that_are_missing_or_repeat(spark):
+    turns = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate("abc")], "conv_id long, turn long, role string, text string")
+    made = chat.format_conversations(turns)
+    moved = made.withColumn("position", F.when(F.col("position") == 2, F.lit(None)).otherwise(F.lit(5).cast("long")))
+    assert [tuple(r)[1:5] for r in chat.read_back(moved).collect()] == [_expected_conversation([("user", t) for t in "cab"])]
+
+
 def test_escaping_and_mask():
     for text in ("<|im_end|>", "<\\|", "<\\\\|a<|", "<<||", "a|b<c"):
         assert "<|" not in chat.escape(text) and chat.unescape(chat.escape(text)) == text
