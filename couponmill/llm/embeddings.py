@@ -1,10 +1,13 @@
 """Near-duplicate vectors by cosine, with randomised-rotation binary codes.
 
 Vectors are turned by random rotations; the signs are the codes.  Groups of
-bits are the keys of tables in which similar vectors meet.  With the correction
-factor stored for a code, its inner product with another rotated vector gives an
-unbiased estimate of the cosine; pairs whose confidence bound stays under the
-threshold are left out, and only the others are computed exactly.
+bits are the keys of tables in which similar vectors meet.  A stored code holds a
+byte for each component of the rotated vector: its sign is the binary
+code, its size the component to within half a step.  With the correction factor
+stored beside it, the inner product of the signs with another rotated vector
+gives an unbiased estimate of the cosine, and codes, not vectors, travel to
+the blocks.  Only vectors with a partner whose confidence bound reaches
+the threshold follow there, and only those pairs are computed exactly.
 """
 
 from __future__ import annotations
@@ -99,6 +102,17 @@ def upper_bounds(first: np.ndarray, factor: np.ndarray, other: np.ndarray, confi
     return _bound(np.where(first > 0, 1.0, -1.0) @ other.T, factor[:, None], first.shape[1], confidence)
 
 
+def stored_codes(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A byte for each component of rotated vectors, of the same sign, and the step of each row."""
+    step = np.abs(first).max(axis=1) / 127
+    return np.clip(np.floor(first / step[:, None]), -128, 127).astype(np.int8), step
+
+
+def turned_from(codes: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Rotated vectors of stored codes; a component is at most half a step off."""
+    return (codes + 0.5) * step[:, None]
+
+
 def _slices(pairs: int, width: int) -> Iterator[slice]:
     """Parts of so many pairs that rows of ``width`` numbers fit in memory."""
     step = max(1, PAIR_NUMBERS // max(width, 1))
@@ -116,7 +130,7 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.
         ends = np.append(starts[1:], table.num_rows)
         lo, hi = table.column("lo").to_numpy()[starts], table.column("hi").to_numpy()[starts]
         alone = (ends - starts > SMALL_BLOCK) | (lo != hi)
-        dim = pc.list_value_length(table.column("v")).to_numpy()[starts]
+        dim = pc.binary_length(table.column("code")).to_numpy()[starts]
         new = np.ones(len(starts), bool)
         new[1:] = alone[1:] | alone[:-1] | (dim[1:] != dim[:-1])
         at = np.append(np.flatnonzero(new), len(starts))
@@ -124,23 +138,27 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.
             yield table.slice(starts[i], ends[j - 1] - starts[i]), starts[i:j] - starts[i]
 
 
-def _likely_pairs(block: pa.Table, starts: np.ndarray, x: np.ndarray, p: Codes) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the pairs whose bound reaches the threshold."""
-    dim = x.shape[1]
-    _, first, factor = code(x, 1, 1, p.seed)
+def _likely_pairs(block: pa.Table, starts: np.ndarray, p: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs whose bound, from their stored codes, reaches the threshold."""
+    codes = np.stack([np.frombuffer(x, np.int8) for x in block.column("code").to_pylist()])
+    step, factor = block.column("step").to_numpy(), block.column("factor").to_numpy()
+    first, dim = turned_from(codes, step), codes.shape[1]
+    # What half a step in each component can add to an estimate, before its correction.
+    slack = math.sqrt(dim) * step / 2
     if len(starts) == 1:
         low, high = sides(block)
-        bound = upper_bounds(first[low], factor[low], first[high], p.confidence)
+        bound = upper_bounds(first[low], factor[low], first[high], p.confidence) + slack[high] / factor[low][:, None]
         if low is high:
             bound[np.tril_indices(len(low))] = -1
         a, b = np.nonzero(bound >= p.threshold)
         return low[a], high[b]
     signs = np.where(first > 0, 1.0, -1.0)
-    a, b = pairs_within(starts, len(x))
+    a, b = pairs_within(starts, len(first))
 
     def likely(part: slice) -> np.ndarray:
-        product = np.einsum("ij,ij->i", signs[a[part]], first[b[part]])
-        return _bound(product, factor[a[part]], dim, p.confidence) >= p.threshold
+        i, j = a[part], b[part]
+        product = np.einsum("ij,ij->i", signs[i], first[j])
+        return _bound(product, factor[i], dim, p.confidence) + slack[j] / factor[i] >= p.threshold
 
     some = _by_slices(len(a), dim, likely)
     return a[some], b[some]
@@ -184,36 +202,58 @@ def cosine_links(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
     rows = rows.withColumn("_v", F.when(usable("_v"), F.col("_v")))
     classes = rows.where("_v IS NOT NULL").groupBy("_v").agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies"))
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()))
-    bits = p.bits(classes.count())
+    distinct, total = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    bits = p.bits(distinct)
     tables = p.tables(bits)
 
-    def to_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def to_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors_here = _matrix(batch.column("_v"))
-            keys: list = [None] * len(vectors_here)
+            made: list = [None] * len(vectors_here)
             for dim in {len(v) for v in vectors_here}:
                 at = [i for i, v in enumerate(vectors_here) if len(v) == dim]
-                for i, row in zip(at, code(np.stack([vectors_here[i] for i in at]), bits, tables, p.seed)[0]):
-                    keys[i] = row
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("copies"), batch.column("_v"), pa.array(keys, pa.list_(pa.int64()))],
-                names=["node", "copies", "v", "keys"],
-            )
+                keys, first, factor = code(np.stack([vectors_here[i] for i in at]), bits, tables, p.seed)
+                for i, *row in zip(at, keys, *stored_codes(first), factor):
+                    made[i] = row
+            columns = [
+                pa.array([row[0] for row in made], pa.list_(pa.int64())),
+                pa.array([row[1].tobytes() for row in made], pa.binary()),
+                *[pa.array([row[k] for row in made], pa.float64()) for k in (2, 3)],
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *columns], names=["node", "keys", "code", "step", "factor"])
 
     coded = stage(
-        classes.select("node", "copies", "_v").mapInArrow(to_keys, f"node long, copies long, v {kind}, keys array<long>")
+        classes.select("node", "_v").mapInArrow(to_codes, "node long, keys array<long>, code binary, step double, factor double")
     )
     keyed = coded.select("node", F.explode("keys").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
     chunks = F.ceil(F.col("_n") / p.block_rows).cast("long")
-    members = keyed.join(shared, "bucket").select("node", "bucket", chunks.alias("_chunks")).join(coded, "node")
+    members = keyed.join(shared, "bucket").select("node", "bucket", chunks.alias("_chunks")).join(coded.drop("keys"), "node")
+    place = ["bucket", "lo", "hi", "side", "node"]
+    stored = ["code", "step", "factor"]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, starts in _portions(batches):
+            some = np.unique(np.concatenate(_likely_pairs(block, starts, p)))
+            if len(some):
+                yield from block.select(place + stored).take(pa.array(some)).combine_chunks().to_batches()
+
+    likely = in_blocks(members, "bucket", "_chunks", stored).mapInArrow(
+        choose, "bucket long, lo long, hi long, side long, node long, code binary, step double, factor double"
+    )
+    likely = (
+        stage(likely)
+        .join(classes.select("node", "copies", F.col("_v").alias("v")), "node")
+        .repartition("bucket", "lo", "hi")
+        .sortWithinPartitions("bucket", "lo", "hi")
+    )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, starts in _portions(batches):
             nodes, copies = block.column("node").to_numpy(), block.column("copies").to_numpy()
             buckets = block.column("bucket").to_numpy()
             x = np.stack(_matrix(block.column("v")))
-            a, b = _likely_pairs(block, starts, x, p)
+            a, b = _likely_pairs(block, starts, p)
             unit = units(x)
             near = _by_slices(
                 len(a), x.shape[1], lambda part: np.einsum("ij,ij->i", unit[a[part]], unit[b[part]]) >= p.threshold
@@ -236,16 +276,24 @@ def cosine_links(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
                 [pa.array(nodes[some]), pa.array(links[some]), pa.array(root[some])], names=["node", "n_links", "root"]
             )
 
-    exact = stage(in_blocks(members, "bucket", "_chunks", ["copies", "v"]).mapInArrow(compare, LINK_SCHEMA))
+    exact = stage(likely.mapInArrow(compare, LINK_SCHEMA))
     roots = components(exact.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = exact.groupBy("node").agg(F.sum("n_links").alias("_links"))
+    # Copies of a vector with more than one task's share of the rows, and rows without one, are spread over the tasks.
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = (F.col("copies") > total / parts).alias("_hot")
     placed = classes.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = stage(placed.select("_v", "root", "first_id", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    placed = stage(placed.select("_v", "root", "first_id", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), hot))
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    found = placed.join(smallest, "root").select("_v", "n_links", "component_id")
+    last = F.when(F.col("_hot"), parts - 1).otherwise(0)
+    found = placed.join(smallest, "root").select("_v", "n_links", "component_id", F.explode(F.sequence(F.lit(0), last)).alias("_salt"))
+    # Fewer vectors than tasks.
+    marked = rows.join(F.broadcast(placed.where("_hot").select("_v", "_hot")), "_v", "left")
+    spread = F.pmod(F.xxhash64(id_col) + F.spark_partition_id(), F.lit(parts)).cast("int")
+    marked = marked.withColumn("_salt", F.when(F.col("_v").isNull() | F.col("_hot"), spread).otherwise(0))
     component = F.when(F.col("_v").isNull(), F.col(id_col)).otherwise(F.col("component_id"))
     return (
-        rows.join(found, "_v", "left")
+        marked.join(found, ["_v", "_salt"], "left")
         .select(id_col, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
         .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
     )

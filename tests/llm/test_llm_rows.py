@@ -191,6 +191,30 @@ def test_bounds_hold_for_the_cosine():
     assert np.allclose(first @ first.T, unit @ unit.T)
 
 
+def test_stored_codes_are_half_a_step_off_at_most():
+    make = np.random.default_rng(6)
+    _, first, factor = embeddings.code(make.standard_normal((200, 48)), 8, 8, 1)
+    codes, step = embeddings.stored_codes(first)
+    again = embeddings.turned_from(codes, step)
+    assert codes.dtype == np.int8 and ((again > 0) == (first >= 0)).all()
+    assert (np.abs(again - first) <= step[:, None] / 2 + 1e-12).all()
+    exact = embeddings.upper_bounds(first, factor, first, 4.0)
+    slack = np.sqrt(48) * step / 2 / factor[:, None]
+    assert (embeddings.upper_bounds(again, factor, again, 4.0) + slack >= exact - 1e-9).all()
+
+
+def test_a_hot_vector_and_many_null_vectors(spark):
+    make = np.random.default_rng(7)
+    others = make.standard_normal((60, 8)).tolist()
+    vectors = [others[0]] * 120 + [None] * 120 + others[1:]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: tuple(r)[1:] for r in embeddings.cosine_links(df).collect()}
+    near = [i for i, v in enumerate(others) if i and np.dot(v, others[0]) >= 0.95 * np.linalg.norm(v) * np.linalg.norm(others[0])]
+    assert len(got) == len(vectors)
+    assert all(got[i] == (119 + len(near), 0, i == 0) for i in range(120))
+    assert all(got[i] == (0, i, True) for i in range(120, 240))
+
+
 def test_sharding(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in catalog.table(spark, sf_dir, "documents").collect()}
     rows = catalog.QUERIES["op9_sharding"](spark, sf_dir).collect()
