@@ -7,21 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from couponmill.session import stage
+from couponmill.session import BROADCAST_ROWS, stage
 
 
 def components(links: DataFrame, put: Callable[[DataFrame], DataFrame] = stage) -> DataFrame:
     """``node`` and ``root``, the smallest node it reaches, for links ``a``, ``b`` of long ids.
 
-    Large-star and small-star steps alternate until nothing changes; a node's
-    neighbours are never gathered, only their minimum is.  Every step is
+    Large-star and small-star steps alternate until every node is linked to its root
+    alone; a node's neighbours are never gathered, only their minimum is.  The minima of
+    few links are broadcast, those of many joined by shuffle.  Every step is
     written by ``put``, into the checkpoint folder.  Nodes without a link have no row.
     """
     links = put(_ordered(links.where("a <> b")))
-    seen = None
-    while (state := _state(links)) != seen:
-        seen = state
-        links = put(_small_star(_large_star(links)))
+    while not _settled(links):
+        small = 2 * links.count() <= BROADCAST_ROWS
+        links = put(_small_star(_large_star(links, small), small))
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         links.select("b", F.col("b").alias("root")).distinct()
     )
@@ -31,20 +31,28 @@ def _ordered(links: DataFrame) -> DataFrame:
     return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    mark = F.xxhash64("a", "b").cast("decimal(38,0)")
-    return tuple(links.agg(F.count("*"), F.sum(mark), F.sum("b").cast("string")).first())
+def _settled(links: DataFrame) -> bool:
+    """Whether every node has one link at most, and none that others are linked to has its own."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("own"), F.lit(0).alias("others")).union(
+        links.select("b", F.lit(0), F.lit(1))
+    )
+    ends = ends.groupBy("node").agg(F.sum("own").alias("own"), F.max("others").alias("others"))
+    return ends.where("own > 1 OR own + others > 1").isEmpty()
+
+
+def _joined(links: DataFrame, least: DataFrame, small: bool) -> DataFrame:
+    return links.join(F.broadcast(least) if small else least, "a")
 
 
-def _large_star(links: DataFrame) -> DataFrame:
-    """Link the larger neighbours of every node to the smallest one."""
+def _large_star(links: DataFrame, small: bool) -> DataFrame:
+    """Link the larger neighbours of every node to the smallest one; links may repeat."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+    return _joined(both.where("b > a"), least, small).select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, small: bool) -> DataFrame:
     """Link every node and its smaller neighbours to the smallest one."""
     least = links.groupBy("a").agg(F.min("b").alias("least"))
-    others = links.join(least, "a").where("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    others = _joined(links, least, small).where("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return others.union(least).distinct()

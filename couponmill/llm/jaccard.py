@@ -195,7 +195,12 @@ def _candidates(classes: DataFrame, p: Forest, work: Scratch) -> DataFrame:
     if shared.where(F.col("_n") > p.block_rows).isEmpty():
         return clusters
     large = members.where(F.col("_n") > p.block_rows).select("node", "bucket")
-    return components(links.union(_between(classes, large, clusters, p, work)), work.stage)
+    # Only clusters are joined there, so the links inside them need no second round.
+    upper = work.stage(components(_between(classes, large, clusters, p, work), work.stage))
+    upper = sized_broadcast(upper.select(F.col("node").alias("_lower"), F.col("root").alias("_upper")))
+    joined = clusters.join(upper, F.col("root") == F.col("_lower"), "left").select("node", F.coalesce("_upper", "root").alias("root"))
+    alone = upper.join(sized_broadcast(clusters.select("node")), F.col("_lower") == F.col("node"), "left_anti")
+    return work.stage(joined.union(alone.select("_lower", "_upper")))
 
 
 def _between(classes: DataFrame, large: DataFrame, clusters: DataFrame, p: Forest, work: Scratch) -> DataFrame:

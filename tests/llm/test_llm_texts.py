@@ -16,6 +16,7 @@ from couponmill.llm import catalog, decontaminate, jaccard, licenses, linededup,
 from couponmill.llm.blocks import forest  # noqa: E402
 from couponmill.llm.components import components  # noqa: E402
 from couponmill.llm.words import ngrams, utf8, words  # noqa: E402
+from couponmill.session import stage  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +45,28 @@ def test_components_of_chains_and_stars(spark):
     assert list(forest(np.arange(5), (np.array([3, 1]), np.array([4, 3])))) == [0, 1, 2, 1, 1]
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 1])
+def test_settled_links_are_not_written_again(spark, monkeypatch, capsys, limit):
+    """Stars need no step, and the steps of few links broadcast their minima instead of shuffling."""
+    from couponmill.llm import components as module
+
+    monkeypatch.setattr(module, "BROADCAST_ROWS", limit)
+    written = []
+
+    def put(df):
+        df.explain("extended")
+        written.append(capsys.readouterr().out)
+        return stage(df)
+
+    star = [(i, 1) for i in range(2, 40)] + [(i, 50) for i in range(51, 60)]
+    got = dict(map(tuple, components(spark.createDataFrame(star, "a long, b long"), put).collect()))
+    assert got == {i: 1 if i < 40 else 50 for i in [*range(1, 40), *range(50, 60)]}
+    assert len(written) == 1
+    chain = spark.range(30).selectExpr("id AS a", "id + 1 AS b")
+    assert dict(map(tuple, components(chain, put).collect())) == dict.fromkeys(range(31), 0)
+    assert all(("strategy=broadcast" in plan) == (limit > 1) for plan in written[2:])
+
+
 def test_jaccard_join_equals_brute_force(spark, sf_dir, documents):
     ids, texts = documents
     links, root = brute.jaccard_links(texts)
