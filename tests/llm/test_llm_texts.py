@@ -315,6 +315,15 @@ def test_licenses(spark, sf_dir, license_model):
     assert licenses.scan(docs.limit(0), model=model).count() == 0
 
 
+def test_the_license_classifier_counts_every_piece(spark):
+    """More different lines than any sample held, equal counts in one row, notices and empty lines left out."""
+    lines = [(f"line{i} of a granted copy\n\nline{i} was lost" if i % 3 else f"line{i} is at sea\n",) for i in range(9_000)]
+    lines += [("Released under the MIT License.\nThe software is old.",), (None,), ("",), (" \n--",)]
+    docs = spark.createDataFrame(lines, "text string")
+    got = {tuple(r["terms"]): r["n"] for r in licenses.background(*licenses.telling(docs, "text")).collect()}
+    assert got == {(): 6_000 + 3_000, ("copy", "granted"): 6_000, ("software", "software is", "the software"): 1}
+
+
 def test_wrapped_license_notices(spark, license_model):
     """Notices broken into lines of any width, with comment signs, alone or between other lines."""
     notices = {
