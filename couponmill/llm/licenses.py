@@ -269,7 +269,8 @@ def telling(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
 def background(found: DataFrame, others: int) -> DataFrame:
     """``terms`` and the number ``n`` of all pieces of the corpus that have them, but of those with a notice in them."""
     notice = F.size(_confirmable(F.col("words"), F.col("terms"))) > 0
-    rest = found.where(F.size("terms") > 0).where(F.col("words").isNull() | ~notice)
+    # Every word stands in one line; stretches repeat them and cut notices, whose parts are no background.
+    rest = found.where(F.col("is_line") & (F.size("terms") > 0)).where(F.col("words").isNull() | ~notice)
     empty = found.sparkSession.createDataFrame([([], others)], "terms array<string>, n long").where("n > 0")
     return rest.groupBy("terms").agg(F.count("*").alias("n")).union(empty)
 
